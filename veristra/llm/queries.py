@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristra.llm import mixing, packing, quality, sharding
+from veristra.llm import minhash, mixing, packing, quality, sharding
 from veristra.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_documents(read(spark, sf_dir, "documents"))
     base = [F.col(f"measures.{x}") for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -39,6 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op5_minhash": op5_minhash,
     "op6_quality_rules": op6_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
