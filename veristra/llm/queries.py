@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristra.llm import minhash, mixing, packing, quality, sharding
+from veristra.llm import minhash, mixing, packing, quality, sharding, substring
 from veristra.llm.common import read
 
 
@@ -32,6 +32,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *base, "base_failed", "kept", F.col("quality").alias("posterior"))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_words(read(spark, sf_dir, "documents"), 35)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mixture(read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op5_minhash": op5_minhash,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring": op7_substring,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
