@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristra.llm import minhash, mixing, packing, quality, sharding, substring
+from veristra.llm import ann, minhash, mixing, packing, quality, sharding, substring, toxicity
 from veristra.llm.common import read
 
 
@@ -22,6 +22,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), toxicity.third)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.third(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -47,6 +59,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_hash_forest": op2_hash_forest,
+    "op4_toxicity": op4_toxicity,
     "op5_minhash": op5_minhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring": op7_substring,
