@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristra.llm import ann, minhash, mixing, packing, quality, sharding, substring, toxicity
+from veristra.llm import ann, licenses, minhash, mixing, packing, quality, sharding, substring, toxicity, urls
 from veristra.llm.common import read
 
 
@@ -27,6 +27,13 @@ def op2_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths of their own: their folder is source, then language."""
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan_licenses(docs.select("doc_id", "text", path.alias("path")))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), toxicity.third)
@@ -48,6 +55,10 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_words(read(spark, sf_dir, "documents"), 35)
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mixture(read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -60,10 +71,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_hash_forest": op2_hash_forest,
+    "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op5_minhash": op5_minhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring": op7_substring,
+    "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
