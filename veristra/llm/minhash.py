@@ -4,11 +4,11 @@
    go on as one class, so copies cost nothing further.
 2. A class gets BANDS * ROWS minima of universal hashes. Classes that share a band's minima share a bucket.
    Two sets of similarity 0.8 share none with a probability of 3e-6.
-3. First each member of a bucket is paired with the bucket's least class, which is linear in the bucket. Pairs
+3. First each member of a bucket is paired with the class there that meets most others, which is linear in the bucket. Pairs
    are confirmed on full sets, and confirmed links give components by large-star and small-star.
 4. Then only members of one bucket in different components can hide a link. Those pairs are compared by
-   signature, in blocks of at most BLOCK members, each pair in the first band that it shares; what comes near
-   the threshold is confirmed on full sets too. A bucket beyond the block size is dealt to pairs of blocks.
+   signature and, where sets are small, by their sets at 32 bits an element, in blocks of at most BLOCK members,
+   each pair in the first band that it shares; what comes near the threshold is confirmed on full sets too. A bucket beyond the block size is dealt to pairs of blocks.
 
 No bucket is cut short. Only (class, class) pairs that pass the signatures become rows.
 """
@@ -32,6 +32,10 @@ BLOCK = 4096
 #: Pairs whose signatures agree in less than the threshold less this share are not confirmed: 3.8 deviations at 0.8.
 SLACK = 0.12
 WORDS, PERCENT = 5, 80
+#: Elements of a set that travels with its signature.
+BRIEF = 2048
+#: Ids that are broadcast instead of shuffling all texts to them: 8 bytes each.
+FEW = 500_000
 
 
 def _families() -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +128,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _near(members: DataFrame, percent: int) -> DataFrame:
     """(u, v): classes of one bucket in different components whose signatures come near the threshold.
 
-    members: bucket, id, component, size (of the bucket), bands, signature.
+    members: bucket, id, component, size (of the bucket), bands, signature, n, brief. Small sets travel along in
+    brief, so that only pairs that are links, or nearly, become rows.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -146,6 +151,9 @@ def _near(members: DataFrame, percent: int) -> DataFrame:
             # members of the most common component only meet those of others, so others are walked through
             common = np.unique(part, return_counts=True)
             outside = np.flatnonzero(part != common[0][common[1].argmax()])
+            brief = [None if x is None else np.frombuffer(x, np.uint32) for x in table.column("brief").to_pylist()]
+            small = np.array([x is not None for x in brief])
+            size = table.column("n").to_numpy()
             rank = np.full(len(ids), -1)
             rank[outside] = np.arange(len(outside))
             for a in outside.tolist():
@@ -155,6 +163,14 @@ def _near(members: DataFrame, percent: int) -> DataFrame:
                 b = b[(signature[b] == signature[a]).sum(1) >= least]
                 if at and len(b):
                     b = b[~(bands[b, :at] == bands[a, :at]).any(1)]
+                if brief[a] is not None and small[b].any():
+                    rest, b = b[~small[b]], b[small[b]]
+                    flat = np.concatenate([brief[x] for x in b])
+                    starts = np.concatenate([[0], np.cumsum([len(brief[x]) for x in b])[:-1]])
+                    place = np.minimum(np.searchsorted(brief[a], flat), len(brief[a]) - 1)
+                    # two elements of a set may share 32 bits, hence the 2
+                    both = np.add.reduceat(brief[a][place] == flat, starts, dtype=np.int64) + 2
+                    b = np.concatenate([rest, b[100 * both >= percent * (size[a] + size[b] - both)]])
                 found.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1))
         found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pa.table({"u": pa.array(found[:, 0], pa.int64()), "v": pa.array(found[:, 1], pa.int64())})
@@ -175,17 +191,25 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
     some = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = cut_lineage(some.groupBy(*print_).agg(F.min("id").alias("class"), F.min_by("bands", "id").alias("bands"), F.min_by("signature", "id").alias("signature")))
     banded = classes.select(F.col("class").alias("id"), F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
-    members = cut_lineage(banded.join(buckets, "bucket"))
-    wanted = members.select("id").distinct()
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = cut_lineage(banded.join(sizes, "bucket"))
+    # the member that meets most others in all its buckets is the text that the others are copies of
+    fame = shared.groupBy("id").agg(F.sum("size").alias("fame"))
+    famous = cut_lineage(shared.join(fame, "id"))
+    hubs = famous.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("id")).alias("minus"))).alias("top"))
+    members = cut_lineage(famous.join(hubs, "bucket").select("bucket", "id", "size", (-F.col("top.minus")).alias("hub")))
+    wanted = cut_lineage(members.select("id").distinct())
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in chunks(batch.column(1)):
-                sets = [s.tobytes() for s in shingle_sets(batch.column(1).slice(low, high - low), k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sets, pa.binary())], names=["id", "set"])
+                sets = shingle_sets(batch.column(1).slice(low, high - low), k)
+                brief = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() if len(s) <= BRIEF else None for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(brief, pa.binary())], names=["id", "set", "n", "brief"])
 
-    sets = cut_lineage(source.join(wanted, "id", "left_semi").mapInArrow(to_sets, "id long, set binary").dropDuplicates(["id"]))
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    sets = cut_lineage(source.join(wanted, "id", "left_semi").mapInArrow(to_sets, "id long, set binary, n long, brief binary").dropDuplicates(["id"]))
     links = cut_lineage(_confirm(members.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct(), sets, percent))
     parts = cut_lineage(connected_components(links))
 
@@ -193,8 +217,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
     label = parts.select(F.col("node").alias("id"), "component")
     named = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_ = named.join(mixed, "bucket", "left_semi").join(classes.select(F.col("class").alias("id"), "bands", "signature"), "id")
-    more = cut_lineage(_confirm(_near(open_.select("bucket", "id", "component", "size", "bands", "signature"), percent).distinct(), sets, percent))
+    open_ = named.join(mixed, "bucket", "left_semi").join(classes.select(F.col("class").alias("id"), "bands", "signature"), "id").join(sets.select("id", "n", "brief"), "id")
+    more = cut_lineage(_confirm(_near(open_.select("bucket", "id", "component", "size", "bands", "signature", "n", "brief"), percent).distinct(), sets, percent))
     if more.head(1):
         parts = cut_lineage(connected_components(links.unionByName(more)))
 
