@@ -21,7 +21,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veristra-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # shuffles that only the cut lineage held are deleted once the driver has collected its objects
+    spark.sparkContext._jvm.System.gc()
+    return done
 
 
 def words(text: Column) -> Column:

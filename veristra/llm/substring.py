@@ -26,6 +26,8 @@ from veristra.llm.common import cut_lineage
 from veristra.llm.wordhash import _powers, chunks, mix, window_hashes, word_hashes
 
 LENGTH = 35
+#: Text hashes that are broadcast instead of shuffling all texts to them: 8 bytes each.
+FEW = 500_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -53,7 +55,8 @@ class Windows:
 
 
 def _first_level(docs: DataFrame, length: int) -> DataFrame:
-    """(id, n, s1, s2, sha, key, halves): words, hash of the word sequence, hash of the words joined by a space."""
+    """(id, n, s1, s2, sha, key, halves, again): words, hash of the word sequence, hash of the words joined by a
+    space, distinct chosen halves, and those that the text has more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,17 +73,22 @@ def _first_level(docs: DataFrame, length: int) -> DataFrame:
                     s1[some_words] = np.add.reduceat(w.words * up[local], at)
                     s2[some_words] = np.add.reduceat(mix(w.words ^ mix(local.astype(np.uint64))), at)
                 chosen = np.unique(w.chosen)
-                values = w.halves[chosen].view(np.int64)
-                cuts = np.searchsorted(chosen, w.first)
-                halves = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int64()))
+                values, doc = w.halves[chosen].view(np.int64), w.doc[chosen]
+                order = np.lexsort((values, doc))
+                values, doc = values[order], doc[order]
+                same = (values[1:] == values[:-1]) & (doc[1:] == doc[:-1])
+                first = np.append(True, ~same)[: len(values)]
+                again = first & np.append(same, False)[: len(values)]
+                edges = np.arange(len(texts) + 1)
+                lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[keep], edges), pa.int32()), pa.array(values[keep], pa.int64())) for keep in (first, again)]
                 sha = [hashlib.sha256(b" ".join(t.encode().split())).hexdigest() if t else EMPTY for t in texts.to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(w.n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(sha), some.column(2), halves], names=["id", "n", "s1", "s2", "sha", "key", "halves"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(w.n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(sha), some.column(2), *lists], names=["id", "n", "s1", "s2", "sha", "key", "halves", "again"])
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, sha string, key long, halves array<long>")
+    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, sha string, key long, halves array<long>, again array<long>")
 
 
 def _second_level(candidates: DataFrame, length: int) -> DataFrame:
-    """(key, alone, start, window) of full windows whose half is in ``halves``. candidates: key, text, alone, halves."""
+    """(key, alone, starts, windows) of full windows whose half is in ``halves``. candidates: key, text, alone, halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,8 +109,7 @@ def _second_level(candidates: DataFrame, length: int) -> DataFrame:
                 full = pa.ListArray.from_arrays(cuts, pa.array(w.full[at].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([some.column("key"), some.column("alone"), starts, full], names=["key", "alone", "starts", "windows"])
 
-    found = candidates.select("key", "alone", "text", "halves").mapInArrow(run, "key long, alone boolean, starts array<int>, windows array<long>")
-    return found.select("key", "alone", F.explode(F.arrays_zip("starts", "windows")).alias("x")).select("key", "alone", F.col("x.starts").alias("start"), F.col("x.windows").alias("window"))
+    return candidates.select("key", "alone", "text", "halves").mapInArrow(run, "key long, alone boolean, starts array<int>, windows array<long>")
 
 
 def _without(found: DataFrame, length: int) -> DataFrame:
@@ -136,18 +143,26 @@ def _repeats(docs: DataFrame, length: int, text: str, key: str) -> tuple[DataFra
     source = docs.select(F.col(f"`{key}`").cast("long").alias("id"), content.alias("text"), F.xxhash64(content).alias("key"))
     rows = cut_lineage(_first_level(source, length))
     long_ = rows.where(F.col("n") >= length)
-    first = F.struct("id", "key")
-    classes = cut_lineage(long_.groupBy("s1", "s2", "n").agg(F.count("*").alias("copies"), F.min(first).alias("rep"), F.min_by("halves", first).alias("halves")))
-    halves = classes.select(F.col("rep.key").alias("key"), F.explode("halves").alias("half"))
-    repeated = halves.groupBy("half").count().where(F.col("count") > 1).select("half")
-    wanted = halves.join(repeated, "half").groupBy("key").agg(F.collect_set("half").alias("halves"))
-    chosen = classes.select(F.col("rep.id").alias("_id"), F.col("rep.key").alias("_key"), (F.col("copies") == 1).alias("alone")).join(wanted.withColumnRenamed("key", "_key"), "_key")
-    candidates = cut_lineage(source.join(chosen, (source["key"] == chosen["_key"]) & source["id"].eqNullSafe(chosen["_id"])).select("key", "alone", "text", "halves").dropDuplicates(["key"]))
-    windows = cut_lineage(_second_level(candidates, length))
-    twice = windows.groupBy("window").count().where(F.col("count") > 1).select("window")
-    starts = windows.where("alone").join(twice, "window").groupBy("key").agg(F.collect_list("start").alias("starts"))
-    left = _without(candidates.select("key", "text").join(starts, "key"), length)
-    return rows, classes.select("s1", "s2", "n", (F.col("copies") > 1).alias("several"), F.col("rep.key").alias("key")), left
+    halves = long_.select("key", "s1", F.explode("halves").alias("half"))
+    # a half repeats if two different texts have it, or one has it twice; copies of a text count as one
+    repeated = halves.groupBy("half").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b").select("half")
+    repeated = repeated.unionByName(long_.select(F.explode("again").alias("half"))).distinct()
+    wanted = halves.select("key", "half").join(repeated, "half").groupBy("key").agg(F.collect_set("half").alias("halves"))
+    classes = cut_lineage(long_.groupBy("s1", "s2", "n").agg(F.count("*").alias("copies"), F.min(F.struct("id", "key")).alias("rep")).select("s1", "s2", "n", (F.col("copies") > 1).alias("several"), F.col("rep.id").alias("_id"), F.col("rep.key").alias("_key")))
+    chosen = cut_lineage(classes.select("_id", "_key", (~F.col("several")).alias("alone")).join(wanted.withColumnRenamed("key", "_key"), "_key"))
+    few = chosen.select("_key").distinct()
+    if few.count() <= FEW:
+        few = F.broadcast(few)
+    # only texts that can share a window are shuffled
+    near = source.join(few, source["key"] == few["_key"], "left_semi")
+    candidates = near.join(chosen, (near["key"] == chosen["_key"]) & near["id"].eqNullSafe(chosen["_id"])).select("key", "alone", "text", "halves").dropDuplicates(["key"])
+    level = cut_lineage(_second_level(candidates, length))
+    windows = lambda df: df.select("key", F.explode(F.arrays_zip("starts", "windows")).alias("x")).select("key", F.col("x.starts").alias("start"), F.col("x.windows").alias("window"))
+    twice = windows(level).groupBy("window").count().where(F.col("count") > 1).select("window")
+    starts = cut_lineage(windows(level.where("alone")).join(twice, "window").groupBy("key").agg(F.collect_list("start").alias("starts")))
+    texts = near.select("key", "text").join(starts.select(F.col("key").alias("_key"), "starts"), F.col("key") == F.col("_key"))
+    left = _without(texts.select("key", "text", "starts"), length).dropDuplicates(["key"])
+    return rows, classes.select("s1", "s2", "n", "several", F.col("_key").alias("key")), left
 
 
 def repeated_words(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
