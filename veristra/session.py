@@ -19,9 +19,18 @@ def local_session(app: str = "veristra", cores: int | str = 8, shuffle_partition
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.unionOutputPartitioning", "false")
         .getOrCreate()
     )
 
 
+def steady(spark: SparkSession) -> SparkSession:
+    """Spark 4.1 takes a union of equally partitioned inputs as still partitioned; after adaptive coalescing it no longer is,
+    and sums over it come out wrong. This turns that off for the session."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    steady(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
