@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veristra.session import steady
+
 #: Characters between words: space, and tab to carriage return.
 WHITE = "\\x20\\x09-\\x0D"
 WORD = f"[^{WHITE}]+"
@@ -17,7 +19,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The folder is ``spark.checkpoint.dir``; a local one is made only where that is unset, as in tests.
     """
-    spark = df.sparkSession
+    spark = steady(df.sparkSession)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veristra-"))
@@ -82,4 +84,4 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], rank: str = "r
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return steady(spark).read.parquet(f"{sf_dir}/{name}.parquet")
