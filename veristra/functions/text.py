@@ -111,8 +111,9 @@ def estimate_tokens(text: Column) -> Column:
     return F.aggregate(pieces, F.lit(0).cast("long"), lambda a, p: a + size(p).cast("long"))
 
 
-def sha_id(*parts: Column) -> Column:
+def sha_id(*parts: Column | str) -> Column:
     """SHA-256 of the parts joined by the unit separator; null if a part is null."""
+    parts = tuple(F.col(p) if isinstance(p, str) else p for p in parts)
     missing = F.lit(False)
     for p in parts:
         missing = missing | p.isNull()
@@ -209,7 +210,10 @@ def fixed_spans(most: int):
     return spans
 
 
-@F.pandas_udf("struct<samples:int,rms:int,duration_ms:double,trailing_silence_ms:double>")
+PCM = T.StructType([T.StructField("samples", T.IntegerType()), T.StructField("rms", T.IntegerType()), T.StructField("duration_ms", T.DoubleType()), T.StructField("trailing_silence_ms", T.DoubleType())])
+
+
+@F.pandas_udf(PCM)
 def pcm_stats(audio: pd.Series) -> pd.DataFrame:
     """Of 16-bit little-endian mono samples at 16 kHz; silence: below 80 in size at the end."""
     import numpy as np
