@@ -1,0 +1,219 @@
+"""Small fixtures against brute force: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+
+from veristra.llm import ann, licenses, minhash, mixing, packing, quality, sharding, substring, toxicity, urls
+from veristra.llm.queries import tokenizer_file
+
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string"
+
+
+def _texts():
+    rng = random.Random(3)
+    w = lambda n: " ".join(rng.choice("ab cd ef gh ij kl mn op qr st uv wx".split()) + str(rng.randrange(40)) for _ in range(n))
+    base, passage = w(120), w(50)
+    near = base.split()
+    near[60] = "changed"
+    return [None, "", "  \n\t ", "one", "One", "two words", base, base, " ".join(near), base.upper(), w(20) + " " + passage + " " + w(30), passage + "\n" + w(40), w(3000), "x y " * 60, "é ü 日本", *[w(rng.randrange(5, 90)) for _ in range(25)]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", None if i % 7 == 0 else f"s{i % 3}", len(t or ""), 9, "clash") for i, t in enumerate(_texts())]
+    return spark.createDataFrame([*rows, rows[6]], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_shards(docs, none):
+    got = sharding.plan_shards(docs.drop("size", "key"), 4).collect()
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(got) == docs.count()
+    shard = {}
+    slots = collections.defaultdict(list)
+    for r in got:
+        t = text[r.doc_id]
+        assert r["size"] == len(t.encode()) + 1 and r.text_crc32 == zlib.crc32(t.encode())
+        assert shard.setdefault(t, r.shard) == r.shard
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.plan_shards(none, 4).count() == 0
+
+
+def test_minimax_is_optimal(spark):
+    rng = random.Random(1)
+    for n, shards in ((1, 3), (7, 3), (60, 5), (400, 8)):
+        groups = sorted((rng.randrange(1 << 63), rng.randrange(1, 1000)) for _ in range(n))
+        cuts, capacity = sharding.minimax_cuts(spark.createDataFrame(groups, "key long, bytes long"), shards)
+        load = collections.Counter()
+        for k, b in groups:
+            load[sum(k >= c for c in cuts)] += b
+        assert max(load.values()) <= capacity
+
+        def fits(c):
+            used, held = 1, 0
+            for _, b in groups:
+                if held + b > c:
+                    used, held = used + 1, 0
+                held += b
+            return used <= shards
+
+        largest = max(b for _, b in groups)
+        assert fits(capacity) and (capacity == largest or not fits(capacity - 1))
+
+
+def test_near_duplicates(docs, none):
+    def sets(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+
+    s = {r.doc_id: sets(r.text) for r in docs.collect()}
+    part = {i: i for i in s}
+    for a, b in itertools.combinations(sorted(s), 2):
+        if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]):
+            old, new = max(part[a], part[b]), min(part[a], part[b])
+            part = {k: new if v == old else v for k, v in part.items()}
+    got = minhash.near_duplicates(docs, 2, 80).collect()
+    assert len(got) == docs.count()
+    assert all((r.n_shingles, r.component_id, r.kept) == (len(s[r.doc_id]), part[r.doc_id], part[r.doc_id] == r.doc_id) for r in got)
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_substrings(docs, none):
+    rows = [(r.doc_id, (r.text or "").encode().split()) for r in docs.collect()]
+    seen = collections.Counter(tuple(w[i : i + 35]) for _, w in rows for i in range(len(w) - 34))
+    want = {}
+    for i, w in rows:
+        covered = [False] * len(w)
+        for j in range(len(w) - 34):
+            if seen[tuple(w[j : j + 35])] > 1:
+                covered[j : j + 35] = [True] * 35
+        kept = b" ".join(x for x, c in zip(w, covered, strict=True) if not c)
+        want[i] = (len(w), sum(covered), hashlib.sha256(kept).hexdigest())
+    got = substring.repeated_words(docs).collect()
+    assert len(got) == len(rows) and all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
+    assert sum(v[1] > 0 for v in want.values()) >= 5
+    assert substring.repeated_words(none).count() == 0
+    left = {r.doc_id: r for r in substring.drop_repeats(docs).collect()}
+    assert 6 not in left and 12 in left
+
+
+def test_quality(docs, none):
+    for r in quality.score_documents(docs).collect():
+        t = next(x.text for x in docs.collect() if x.doc_id == r.doc_id) or ""
+        w = WORD.findall(t)
+        count = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {j for i in range(len(w) - 7) if count[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        m = r.measures
+        assert (m.n_words, m.word_chars, m.n_repeat_words) == (len(w), sum(map(len, w)), len(covered))
+        assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.kept and r.base_failed)
+    assert quality.score_documents(none).count() == 0 and quality.keep_good(none).count() == 0
+
+
+def test_mixture(docs, none):
+    plan = mixing.plan_mixture(docs).collect()
+    size = {r.doc_id: len(WORD.findall(r.text or "")) for r in docs.collect()}
+    assert len(plan) == docs.count() and all(r["size"] == size[r.doc_id] and r.taken <= 3 * r["size"] for r in plan)
+    target = {r.source: r.target for r in plan}
+    assert abs(sum(target.values()) - sum(r["size"] for r in plan)) < 1e-6
+    for s, t in target.items():
+        own = [r for r in plan if r.source == s]
+        assert t <= 3 * own[0].source_size + 1e-9 and abs(sum(r.taken for r in own) - t) <= 2 * max(r["size"] for r in own)
+    again = {(r.doc_id, r.taken) for r in mixing.plan_mixture(docs.repartition(5)).collect()}
+    assert again == {(r.doc_id, r.taken) for r in plan}
+    assert mixing.mix(docs).columns == docs.columns and mixing.plan_mixture(none).count() == 0
+
+
+def test_packing(docs, none):
+    rows = packing.pack_documents(docs, tokenizer_file(), ids=True).collect()
+    library = packing.encoder(tokenizer_file()).library
+    whole = collections.defaultdict(list)
+    for r in rows:
+        whole[r.doc_id].append((r.start, r.ids))
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+    for r in docs.dropDuplicates(["doc_id"]).collect():
+        want = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+        assert b"".join(x for _, x in sorted(set(whole[r.doc_id]))) == want
+    for _, group in itertools.groupby(sorted(rows, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
+        at = 0
+        for r in group:
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+    assert packing.pack_documents(none, tokenizer_file()).count() == 0
+
+
+def test_word_encoder_equals_library():
+    e = packing.encoder(tokenizer_file())
+    for t in ("Don't STOP <|endoftext|> it", "naïve ΣΑΣ İ ½ x² a\x1fb", "日本語 we'll'd 12345", "a" * 300, "", " x y", "THE### %%% the,"):
+        assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == e.library.encode(t, add_special_tokens=False).ids
+
+
+def test_forest(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 16))
+    x[50:90] = x[50]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [1.0, None] * 8), (903, [float("inf")] * 16), (None, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), 10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 300, 20):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        assert got[q] == np.lexsort((np.arange(300), -s))[:10].tolist()
+    assert ann.search(df.limit(0), df, 5).count() == 0
+
+
+def test_licenses(spark):
+    rows = [(1, "a/b/x.py", "code\nReleased under the MIT License.\nmore"), (2, "a/LICENSE", "This work is licensed under the GNU General Public License, version 3."), (3, "a/b/c/y.py", "nothing here"), (4, "z/w.py", None), (5, None, "All rights reserved."), (6, "a/v.py", "")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got[1].effective_license == "MIT" and got[2].is_license_file and got[5].license == "Proprietary"
+    assert (got[3].effective_license, got[3].inherited_from) == ("GPL-3.0", "a") and got[6].effective_license == "GPL-3.0"
+    assert got[4].effective_license is None and len(got) == 6
+
+
+def test_toxicity(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("red blue green tree house river stone cloud".split()) for _ in range(20)) + (" idiot" if i % 3 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels, toxicity.third)).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(scored) == 302 and all((scored[i] >= 0.7) == (i % 3 == 0) for i in held)
+    assert 0 <= scored[900] <= 1 and scored[900] == scored[901]
+    assert toxicity.train([]).score("x") <= 0.5
+
+
+def test_urls(spark):
+    rows = [(1, "http://A.net/x?q"), (2, "https://b.example.net/en/1"), (3, "ftp://example.com/de/1#f"), (4, "http://sub.example.com/fr/"), (5, "http://x.org/fr/2"), (6, "http://x.org/en/"), (7, None), (8, "no url"), (9, "http://net"), (10, "http://far.away.test/")]
+    pages = spark.createDataFrame([(i, u, None if i == 1 else '<a href="http://x.org/z">z</a>' if i == 10 else "") for i, u in rows], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    assert [got[i].rule for i in range(1, 11)] == ["net/", "example.net/en/", "example.com/de/", None, "org/fr/", None, None, None, None, None]
+    assert [got[i].verdict for i in range(1, 11)] == ["block", "allow", "block", "block", "allow", "allow", "allow", "allow", "allow", "allow"]
+    assert (got[1].host, got[1].path, got[7].host) == ("a.net", "/x", "")
+
+
+def test_pipeline(docs):
+    import corpus_pipeline
+
+    spark, now = docs.sparkSession, docs.select("doc_id", "text", "lang", "source", "n_chars")
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "")
+        assert now.columns == columns, name
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() > 0
+

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from veristra.llm.common import cut_lineage
 
 THRESHOLD = 0.6
+#: A file whose whole text comes so near a template is little else than a licence.
+WHOLE = 0.85
 #: Names of licence files, without case and extension.
 NAMES = "license|licence|copying|notice|unlicense"
 
@@ -89,7 +91,7 @@ def scan_licenses(files: DataFrame, text: str = "text", path: str = "path", key:
     """(doc_id, path, license, similarity, is_license_file, effective_license, inherited_from), a row for each row of ``files``.
 
     license: of the file itself. A licence file by name speaks for its directory, as does a file whose whole text
-    reaches the threshold. Of several in a directory the one of highest similarity counts, then the first path. Null
+    reaches WHOLE. Of several in a directory the one of highest similarity counts, then the first path. Null
     and empty texts have no licence of their own; a null path inherits none and passes none on. Other columns are
     dropped.
     """
@@ -119,7 +121,7 @@ def scan_licenses(files: DataFrame, text: str = "text", path: str = "path", key:
     kind = source.schema["doc_id"].dataType.simpleString()
     scanned = cut_lineage(source.mapInArrow(scan, f"doc_id {kind}, path string, license string, similarity double, whole double"))
     named = F.coalesce(F.regexp_extract("path", "([^/]*)$", 1).rlike(f"(?i)^({NAMES})(\\.[a-z]+)?$"), F.lit(False))
-    marked = scanned.withColumn("is_license_file", F.col("license").isNotNull() & (named | (F.col("whole") >= THRESHOLD)))
+    marked = scanned.withColumn("is_license_file", F.col("license").isNotNull() & (named | (F.col("whole") >= WHOLE)))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     best = F.min_by("license", F.struct((-F.col("similarity")).alias("s"), F.col("path")))
     holders = marked.where(F.col("is_license_file") & F.col("path").isNotNull()).groupBy(folder.alias("dir")).agg(best.alias("dir_license"))
