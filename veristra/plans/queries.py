@@ -350,7 +350,7 @@ def language_analysis(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("conv_id", "turn", "a.language", F.array_join("a.scripts", ",").alias("scripts"), "a.code_mixed", "a.source")
 
 
-@query("""WITH t AS (SELECT conv_id, turn, regexp_extract_all(""" + FOLD.format("text") + """, '[\p{L}\p{M}\p{N}]+') AS w, regexp_matches(""" + FOLD.format("text") + """, '[A-Za-z]') AS latin FROM conversations),
+@query(r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(""" + FOLD.format("text") + r""", '[\p{L}\p{M}\p{N}]+') AS w, regexp_matches(""" + FOLD.format("text") + """, '[A-Za-z]') AS latin FROM conversations),
 k AS (SELECT *, CASE WHEN len(w) <= 8 AND (list_has_any(w, ['what','when','where','who','which']) OR regexp_matches(array_to_string(w, ' '), '[0-9]')) THEN 'short_factual' WHEN list_has_any(w, ['why','how','explain','describe']) THEN 'descriptive' ELSE 'general' END AS category FROM t)
 SELECT conv_id, turn, CASE WHEN latin THEN 'en' ELSE 'unknown' END AS language, category, CASE category WHEN 'short_factual' THEN 0.45 WHEN 'descriptive' THEN 0.75 ELSE 0.65 END::DOUBLE AS dense_weight FROM k""")
 def route_plans(spark: SparkSession, d: str) -> DataFrame:
@@ -531,7 +531,6 @@ def corpus_size_marginals(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- sessions
 
-FORM = r"trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}\p{M}]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
 @query()
@@ -541,8 +540,9 @@ def stable_partials(spark: SparkSession, d: str) -> DataFrame:
     return sessions.batch(turns, sessions.stability, "conv_id", ["at_ns"], "conv_id long, generation long, text string, accepted_ns long, events long").select("conv_id", "generation", "accepted_ns", "events")
 
 
-@query("WITH f AS (SELECT conv_id, turn, " + FORM + " AS f FROM conversations), p AS (SELECT conv_id, turn, f, lag(f) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM f) SELECT conv_id, turn, round(CASE WHEN f = '' OR g = '' THEN 0 WHEN f = g THEN 1 ELSE 1 - levenshtein(f, g) / greatest(length(f), length(g)) END, 6)::DOUBLE AS similarity FROM p WHERE g IS NOT NULL")
+@query()
 def edit_similarity_turns(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: the other engine's edit distance counts bytes, not code points."""
     f = table(spark, d, "conversations").select("conv_id", "turn", X.plain_transcript(F.col("text")).alias("f"))
     p = f.withColumn("g", F.lag("f").over(W.partitionBy("conv_id").orderBy("turn"))).where("g is not null")
     return p.select("conv_id", "turn", F.round(X.edit_similarity(F.col("f"), F.col("g")), 6).alias("similarity"))
