@@ -66,8 +66,8 @@ def _without(text: Column, signs: str) -> Column:
     return F.length(F.translate(text, signs, ""))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one more column, ``measures``: a struct of MEASURES. A null text has none of anything.
+def measures_of(text: str) -> Column:
+    """Struct of MEASURES of a text column. A null text has none of anything.
 
     n_lines: lines with a word. n_stutters: words equal to the word before.
     """
@@ -82,7 +82,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     signs = {"word_chars": _without(content, " \t\n\x0b\x0c\r"), "n_symbols": F.length(content) - _without(content, SYMBOLS), "n_capitals": F.length(content) - _without(content, CAPITALS), "n_exclaims": F.length(content) - _without(content, "!")}
     parts = F.struct(let(words(F.col(f"`{text}`")), counts).alias("a"), of_lines.alias("b"), *[v.cast("long").alias(k) for k, v in signs.items()])
     flat = let(parts, lambda p: F.struct(*[(p["a"][m] if m in ("n_words", "n_repeat_words", "n_stutters") else p["b"][m] if m in ("n_lines", "n_dup_lines") else p[m]).alias(m) for m in MEASURES]))
-    return docs.withColumn("measures", flat)
+    return flat
 
 
 def _vote(bad: Column, good: Column, when: Column | None = None) -> Column:
@@ -91,9 +91,9 @@ def _vote(bad: Column, good: Column, when: Column | None = None) -> Column:
     return vote if when is None else F.when(when, vote).otherwise(0)
 
 
-def votes() -> dict[str, Column]:
-    """The rules, over ``measures``."""
-    m = {x: F.col(f"measures.{x}") for x in MEASURES}
+def votes(of: Column) -> dict[str, Column]:
+    """The rules, over a struct of measures."""
+    m = {x: of[x] for x in MEASURES}
     n, some = m["n_words"], m["n_words"] > 0
     share = lambda x, bad, good: _vote(m[x] > bad * n, m[x] <= good * n, some)
     return {
@@ -118,19 +118,23 @@ class LabelModel:
     bad: float
     rates: dict[str, tuple[float, float]]
 
-    def posterior(self) -> Column:
-        """Probability that a document is good."""
+    def posterior(self, of: Column) -> Column:
+        """Probability that a document of these measures is good."""
         odds = F.lit(math.log((1 - self.bad) / self.bad))
-        for name, vote in votes().items():
+        for name, vote in votes(of).items():
             b, g = self.rates[name]
             odds = odds + F.when(vote == -1, math.log(g / b)).when(vote == 1, math.log((1 - g) / (1 - b))).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
 
-def fit(measured: DataFrame, rounds: int = ROUNDS) -> LabelModel:
-    """Expectation-maximisation over the patterns of votes; an empty table gives the prior."""
-    patterns = measured.groupBy(*[v.alias(k) for k, v in votes().items()]).count().collect()
-    cases = [(tuple(r[x] for x in RULES), r["count"]) for r in sorted(patterns, key=tuple)]
+def patterns(of: Column) -> Column:
+    return F.struct(*[v.alias(k) for k, v in votes(of).items()])
+
+
+def fit(voted: DataFrame, rounds: int = ROUNDS) -> LabelModel:
+    """Expectation-maximisation over the column ``votes`` of patterns; an empty table gives the prior."""
+    counted = voted.groupBy("votes").count().collect()
+    cases = [(tuple(r["votes"][x] for x in RULES), r["count"]) for r in sorted(counted, key=lambda r: tuple(r["votes"]))]
     belief = [0.9 if -1 in votes_ else 0.02 for votes_, _ in cases]
     bad, rates = 0.1, {}
     for _ in range(rounds):
@@ -154,21 +158,26 @@ def fit(measured: DataFrame, rounds: int = ROUNDS) -> LabelModel:
     return LabelModel(bad, rates)
 
 
-def judge(measured: DataFrame, model: LabelModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``measured`` with quality (posterior), base_failed and kept."""
-    n, repeated = F.col("measures.n_words"), F.col("measures.n_repeat_words")
-    failed = (n < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * n)
-    return measured.withColumn("quality", model.posterior()).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= threshold))
+def verdict(of: Column, model: LabelModel, threshold: float = THRESHOLD) -> Column:
+    """struct<quality, base_failed, kept>: the posterior, whether the base rules fail, and what follows."""
+    failed = (of["n_words"] < LEAST_WORDS) | (100 * of["n_repeat_words"] > MOST_REPEATED * of["n_words"])
+    quality = model.posterior(of)
+    return F.struct(quality.alias("quality"), failed.alias("base_failed"), (~failed & (quality >= threshold)).alias("kept"))
 
 
 def score_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` less its text, with measures, quality, base_failed and kept. Texts are read once."""
     kept = [c for c in docs.columns if c != text and c.lower() not in ("measures", "quality", "base_failed", "kept")]
-    measured = cut_lineage(measure(docs, text).select(*[F.col(f"`{c}`") for c in kept], "measures"))
-    return judge(measured, fit(measured))
+    measured = cut_lineage(docs.select(*[F.col(f"`{c}`") for c in kept], measures_of(text).alias("measures")))
+    model = fit(measured.select(patterns(F.col("measures")).alias("votes")))
+    return measured.select("*", verdict(F.col("measures"), model).alias("v")).select(*measured.columns, "v.*")
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, unchanged. Texts are measured twice, and never shuffled or stored."""
-    measured = measure(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text")))
-    return judge(measured, fit(measured)).where("kept").select("row.*")
+    """The rows of ``docs`` that are kept, unchanged.
+
+    Texts are measured once to fit and once to filter, and never shuffled or stored. Votes and verdict are bound to
+    one evaluation of the measures.
+    """
+    model = fit(docs.select(let(measures_of(text), patterns).alias("votes")))
+    return docs.where(let(measures_of(text), lambda m: verdict(m, model)["kept"]))
