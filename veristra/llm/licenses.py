@@ -23,6 +23,8 @@ from veristra.llm.common import cut_lineage
 THRESHOLD = 0.6
 #: A file whose whole text comes so near a template is little else than a licence.
 WHOLE = 0.85
+#: Slices of a folder's files when they learn what they inherit.
+SLICES = 64
 #: Names of licence files, without case and extension.
 NAMES = "license|licence|copying|notice|unlicense"
 
@@ -125,10 +127,14 @@ def scan_licenses(files: DataFrame, text: str = "text", path: str = "path", key:
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     best = F.min_by("license", F.struct((-F.col("similarity")).alias("s"), F.col("path")))
     holders = marked.where(F.col("is_license_file") & F.col("path").isNotNull()).groupBy(folder.alias("dir")).agg(best.alias("dir_license"))
-    # folders, not files, look for an ancestor: one row a folder and level
-    folders = marked.where(F.col("path").isNotNull() & F.col("license").isNull()).select(folder.alias("of")).distinct()
+    # folders, not files, look for an ancestor: one row a folder and level; the answer goes back to a folder's files
+    # in SLICES, as one folder may hold a third of them
+    part = F.pmod(F.xxhash64("doc_id", "path", "similarity", "whole"), F.lit(SLICES))
+    slices = marked.where(F.col("path").isNotNull() & F.col("license").isNull()).select(folder.alias("of"), part.alias("part")).distinct()
+    folders = slices.select("of").distinct()
     parts = F.split("of", "/")
     above = folders.select("of", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).withColumn("dir", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
     near = above.join(holders, "dir").groupBy("of").agg(F.max_by("dir", "depth").alias("inherited_from"), F.max_by("dir_license", "depth").alias("dir_license"))
-    found = marked.join(near, (folder == F.col("of")) & F.col("license").isNull(), "left")
+    answers = slices.join(near, "of")
+    found = marked.join(answers, (folder == F.col("of")) & (part == F.col("part")) & F.col("license").isNull(), "left")
     return found.select("doc_id", "path", "license", "similarity", "is_license_file", F.coalesce("license", "dir_license").alias("effective_license"), "inherited_from")
