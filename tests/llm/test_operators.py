@@ -186,6 +186,14 @@ def test_licenses(spark):
     assert got[4].effective_license is None and len(got) == 6
 
 
+def test_licenses_of_a_hot_folder(spark):
+    rows = [(0, "a/LICENSE", "Released under the MIT License."), *[(i, f"a/b/{i}.txt", "plain words") for i in range(1, 301)], *[(7, "a/b/7.txt", "plain words")] * 3, (400, "c/d.txt", "plain words")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert len(got) == len(rows)
+    assert all((r.effective_license, r.inherited_from) == ("MIT", "a") for r in got if 0 < r.doc_id < 400)
+    assert [r.effective_license for r in got if r.doc_id == 400] == [None]
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice("red blue green tree house river stone cloud".split()) for _ in range(20)) + (" idiot" if i % 3 == 0 else "")) for i in range(300)]
