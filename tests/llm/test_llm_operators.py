@@ -206,6 +206,21 @@ def test_toxicity(spark):
     assert toxicity.train([]).score("x") <= 0.5
 
 
+def test_toxic_pairs():
+    """Which of two insults meets which of two groups decides: additive weights judge all four pairs alike."""
+    rng = random.Random(5)
+    pairs = list(itertools.product(("aaa", "bbb"), ("ccc", "ddd")))
+    toxic = {("aaa", "ccc"), ("bbb", "ddd")}
+    text = lambda pair: " ".join([*rng.choices("red blue green tree house river stone cloud".split(), k=12), *pair])
+    known = [(int(p in toxic), text(p)) for p in [*rng.choices(pairs, k=3000), *[()] * 3000]]
+    model = toxicity.train([(y, np.array(sorted({x for w in toxicity.distinct_words(t) for x in toxicity.word_terms(w)}), np.int64)) for y, t in known])
+    for p in [*pairs, ()] * 20:
+        assert (model.score(text(p)) >= toxicity.THRESHOLD) == (p in toxic), p
+    plain = toxicity.FactorizationMachine(model.bias, model.terms, model.weights, model.factors * 0)
+    seen = [plain.score(text(p)) for p in pairs]
+    assert not min(seen[0], seen[3]) >= toxicity.THRESHOLD > max(seen[1], seen[2])
+
+
 def test_urls(spark):
     rows = [(1, "http://A.net/x?q"), (2, "https://b.example.net/en/1"), (3, "ftp://example.com/de/1#f"), (4, "http://sub.example.com/fr/"), (5, "http://x.org/fr/2"), (6, "http://x.org/en/"), (7, None), (8, "no url"), (9, "http://net"), (10, "http://far.away.test/")]
     pages = spark.createDataFrame([(i, u, None if i == 1 else '<a href="http://x.org/z">z</a>' if i == 10 else "") for i, u in rows], "page_id long, url string, html string")

@@ -2,7 +2,8 @@
 
 Terms of a text: its distinct words (letter runs, lower case) and the first 4 and 5 letters of longer words, hashed
 to 40 bits. The score is a logistic of bias, one weight a term and, for each pair of terms, the product of
-their factors, so that two terms can mean more together than each alone.
+their factors, so that two terms can mean more together than each alone. The weights are fitted first; the factors
+then learn, at a rate at which pairs form, what the weights leave open. Fitted at once, they would take up noise.
 
 The model is fitted on the driver from a bounded sample of labelled rows: at most POSITIVES and NEGATIVES of either label, the
 least by hash of doc_id, so the same rows each time. Linear weights carry an L1 penalty: most terms get none, and a
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 POSITIVES, NEGATIVES = 3000, 7000
 FACTORS = 4
 LEAST_ROWS = 10
-ROUNDS, BATCH = 6, 64
-RATE, FACTOR_RATE, L1, L2 = 0.7, 0.002, 2.5, 0.01
+ROUNDS, PAIR_ROUNDS, BATCH = 6, 6, 64
+RATE, FACTOR_RATE, L1, L2 = 0.7, 0.05, 2.5, 0.01
 THRESHOLD = 0.7
 SEED = 11
 #: Words whose terms a worker keeps.
@@ -107,7 +108,8 @@ def train(rows: list[tuple[int, np.ndarray]]) -> FactorizationMachine:
     v, gv = rng.normal(0, 0.01, (m, FACTORS)), np.full((m, FACTORS), 1.0)
     bias = float(np.log(labels.mean() / (1 - labels.mean())))
     gb = 1.0
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS + PAIR_ROUNDS):
+        pairs = turn >= ROUNDS
         for batch in np.array_split(rng.permutation(len(rows)), -(-len(rows) // BATCH)):
             sizes = first[batch + 1] - first[batch]
             row = np.repeat(np.arange(len(batch)), sizes)
@@ -122,14 +124,16 @@ def train(rows: list[tuple[int, np.ndarray]]) -> FactorizationMachine:
             off = 1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels[batch]
             slope = off[row]
             dw = np.bincount(local, slope, len(own))
-            dv = np.stack([np.bincount(local, slope * (sums[row, f] - va[:, f]), len(own)) for f in range(FACTORS)], 1) + L2 * vo
+            if pairs:
+                dv = np.stack([np.bincount(local, slope * (sums[row, f] - va[:, f]), len(own)) for f in range(FACTORS)], 1) + L2 * vo
+                gv[own] += dv**2
+                v[own] -= FACTOR_RATE / np.sqrt(gv[own]) * dv
+                continue
             # follow the regularised leader for the weights: exact zeros where the evidence is below L1
             grown = gw[own] + dw**2
             zo = z[own] + dw - (np.sqrt(grown) - np.sqrt(gw[own])) / RATE * wo
             w[own] = np.where(np.abs(zo) > L1, -(zo - np.sign(zo) * L1) / ((1 + np.sqrt(grown)) / RATE), 0)
             z[own], gw[own] = zo, grown
-            gv[own] += dv**2
-            v[own] -= FACTOR_RATE / np.sqrt(gv[own]) * dv
             gb += off.sum() ** 2
             bias -= RATE / np.sqrt(gb) * off.sum()
     used = (w != 0) | (np.abs(v).max(1) > 0.05)
