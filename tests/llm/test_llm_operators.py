@@ -194,6 +194,19 @@ def test_licenses_of_a_hot_folder(spark):
     assert [r.effective_license for r in got if r.doc_id == 400] == [None]
 
 
+def test_licenses_of_wrapped_headers():
+    import textwrap
+
+    scanner = licenses.Scanner({t: 3.0 for t in licenses.VOCABULARY}, 6.0)
+    prose = [f"value{i} = compute{i}(other{i}, third{i})" for i in range(150)]
+    for name, width in itertools.product(("MIT", "GPL-3.0", "Apache-2.0"), (80, 60, 40)):
+        notice = max((text for n, text in licenses.TEMPLATES if n == name and len(text) < 400), key=len)
+        lines = [*prose[:50], *[f"# {x}" for x in textwrap.wrap(notice, width)], *prose[50:]]
+        found, score, whole = scanner.scan("\n".join(lines))
+        assert (found, whole < licenses.THRESHOLD) == (name, True) and score > 0.99, (name, width)
+    assert scanner.scan("\n".join([*prose, "free", *prose]))[0] is None
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice("red blue green tree house river stone cloud".split()) for _ in range(20)) + (" idiot" if i % 3 == 0 else "")) for i in range(300)]

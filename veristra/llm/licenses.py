@@ -1,7 +1,7 @@
-"""Licence scan: TF-IDF cosine of lines and licence files to templates, then inheritance from directories.
+"""Licence scan: TF-IDF cosine of lines, headers and whole texts to templates, then inheritance from directories.
 
-Every line of every whole text is compared to short notices, and the text of a licence file (by name, or a file that
-is little else) to all templates, full grants included. The templates' vocabulary is fixed, so the counts behind the
+Every line of every text, every run of consecutive lines up to REACH words and the whole text are compared to all
+templates, so that a notice is found however it is wrapped. The templates' vocabulary is fixed, so the counts behind the
 idf, taken over all files, are one bounded row; words outside it weigh as words never seen. A file without a licence
 of its own takes that of the nearest directory above it that holds a licence file. That is an equi-join of each
 file's directories, as many as its path is deep, with the directories that have a licence.
@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,8 @@ def tokens(text: str) -> list[str]:
 
 
 VOCABULARY = tuple(sorted({t for _, text in TEMPLATES for t in tokens(text)}))
+#: Words of a run of lines: the longest template and a quarter for lines between, as of a copyright.
+REACH = max(len(tokens(text)) for _, text in TEMPLATES) * 5 // 4
 #: Words of which any notice has one.
 TRIGGER = re.compile(r"licen[sc]|rights|permission|redistribution|software|free|source|creative|permitted", re.I)
 
@@ -62,31 +65,77 @@ class Scanner:
 
     def __init__(self, idf: dict[str, float], unseen: float):
         self.idf, self.unseen = idf, unseen
-        self.templates = []
-        for name, text in TEMPLATES:
-            vector, norm = self.vector(tokens(text))
-            self.templates.append((name, {t: w / norm for t, w in vector.items()}))
-
-    def vector(self, found: list[str]) -> tuple[dict[str, float], float]:
-        vector = {t: (1 + math.log(n)) * self.idf.get(t, self.unseen) for t, n in Counter(found).items()}
-        return vector, math.sqrt(sum(w * w for w in vector.values())) or 1.0
-
-    def best(self, text: str) -> tuple[float, str | None]:
-        """Highest cosine and its licence; ties go to the first by name."""
-        vector, norm = self.vector(tokens(text))
-        found = [(sum(w * vector.get(t, 0.0) for t, w in template.items()) / norm, name) for name, template in self.templates]
+        self.place = {t: i for i, t in enumerate(VOCABULARY)}
+        self.names = [name for name, _ in TEMPLATES]
+        self.templates = np.zeros((len(TEMPLATES), len(VOCABULARY)))
+        for row, (_, text) in zip(self.templates, TEMPLATES, strict=True):
+            for t, n in Counter(tokens(text)).items():
+                row[self.place[t]] = self.weight(t, n)
+            row /= np.sqrt((row * row).sum())
+
+    def weight(self, term: str, n: int) -> float:
+        return (1 + math.log(n)) * self.idf.get(term, self.unseen)
+
+    def best(self, counts: dict[str, int], square: float | None = None) -> tuple[float, str | None]:
+        """Highest cosine and its licence; ties go to the first by name. square: of the vector's length, if known."""
+        if square is None:
+            square = sum(self.weight(t, n) ** 2 for t, n in counts.items())
+        if not square:
+            return 0.0, min(self.names)
+        vector = np.zeros(len(VOCABULARY))
+        for t, n in counts.items():
+            if (at := self.place.get(t)) is not None:
+                vector[at] = self.weight(t, n)
+        found = zip((self.templates @ vector / math.sqrt(square)).tolist(), self.names, strict=True)
         return min(found, key=lambda x: (-x[0], x[1]))
 
+    def runs(self, lines: list[str], least: float) -> Iterator[tuple[dict[str, int], float]]:
+        """Runs of two lines and more, with a TRIGGER word and up to REACH words, that can have a cosine of ``least``.
+
+        Left out is only what cannot: a run is no nearer to a template than its share of known words allows, and a
+        line without any at its border takes it further away.
+        """
+        words = [tokens(line) for line in lines]
+        known = [any(t in self.place for t in w) for w in words]
+        marked = [i for i, line in enumerate(lines) if TRIGGER.search(line)]
+        before = np.cumsum([0, *map(len, words)]).tolist()
+        after = 0
+        for start in range(len(lines)):
+            while after < len(marked) and marked[after] < start:
+                after += 1
+            if after == len(marked):
+                return
+            if not known[start] or before[marked[after] + 1] - before[start] > REACH:
+                continue
+            counts: dict[str, int] = {}
+            square, inside = 0.0, 0.0
+            for end in range(start, len(lines)):
+                if before[end + 1] - before[start] > REACH:
+                    break
+                for t in words[end]:
+                    n = counts[t] = counts.get(t, 0) + 1
+                    more = self.weight(t, n) ** 2 - (self.weight(t, n - 1) ** 2 if n > 1 else 0.0)
+                    square += more
+                    if t in self.place:
+                        inside += more
+                if end > start and end >= marked[after] and known[end] and inside >= least * least * square * (1 - 1e-9):
+                    yield counts, square
+
     def scan(self, text: str | None) -> tuple[str | None, float, float]:
-        """Licence of the best line that reaches the threshold, its cosine, and the cosine of the whole text."""
+        """Licence of the best line, run of lines or whole text that reaches the threshold, its cosine, and the cosine of the whole text.
+
+        Below the threshold the cosine is that of the best line or the whole text.
+        """
         if not text or not TRIGGER.search(text):
             return None, 0.0, 0.0
-        lines = [line for line in text.split("\n") if TRIGGER.search(line)]
-        score, name = min((self.best(line) for line in dict.fromkeys(lines)), key=lambda x: (-x[0], x[1] or ""))
-        whole, whole_name = self.best(text)
-        if whole > score:
-            score, name = whole, whole_name
-        return (name if score >= THRESHOLD else None), score, whole
+        lines = text.split("\n")
+        found = [self.best(Counter(tokens(line))) for line in dict.fromkeys(lines) if TRIGGER.search(line)]
+        whole = self.best(Counter(tokens(text)))
+        found.append(whole)
+        if len(lines) > 1:
+            found += [x for x in (self.best(*run) for run in self.runs(lines, THRESHOLD)) if x[0] >= THRESHOLD]
+        score, name = min(found, key=lambda x: (-x[0], x[1] or ""))
+        return (name if score >= THRESHOLD else None), score, whole[0]
 
 
 def scan_licenses(files: DataFrame, text: str = "text", path: str = "path", key: str = "doc_id") -> DataFrame:
