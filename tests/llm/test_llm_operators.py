@@ -253,3 +253,21 @@ def test_pipeline(docs):
         assert now.columns == columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() > 0
 
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, none):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    w = lambda n: " ".join(f"{rng.choice(('river', 'stone', 'cloud', 'house'))}{rng.randrange(900)}" for _ in range(n))
+    twice, nameless, near, short, other = w(60), w(60), w(90), w(12), w(50)
+    nearly = " ".join([*near.split()[:-1], "changed"])
+    rows = [(1, twice), (1, twice), (None, nameless), (None, nameless), (2, near), (None, nearly), (3, short), (3, short), (4, other), (5, other), (5, other)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 9, "clash") for i, t in rows], SCHEMA)
+    want = sorted([twice, nameless, near, short, other])
+    left = minhash.keep_first(docs)
+    assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == want
+    assert {r.text: r.doc_id for r in left.collect()} == {twice: 1, nameless: None, near: 2, short: 3, other: 4}
+    # the stages from here up to mixing, which may draw a document more than once
+    after = corpus_pipeline.unrepeated(spark, corpus_pipeline.unique(spark, docs, ""), "")
+    assert sorted(r.text for r in after.collect()) == want
+    assert minhash.keep_first(none).count() == 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristra.llm.common import cut_lineage
+from veristra.llm.common import cut_lineage, fresh
 from veristra.llm.components import connected_components
 from veristra.llm.wordhash import chunks, mix, window_hashes, word_hashes
 
@@ -230,6 +230,19 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
 
 
 def keep_first(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` less those near-duplicates that aren't the least of their component."""
-    gone = near_duplicates(docs, k, percent, text, key).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
+    """One row of ``docs`` for each component: that of its least doc_id, and one only where rows repeat id and text.
+
+    Rows without a doc_id are compared like all others and come after those that have one; they go by their text, so
+    repeated ones are one row too. Different texts under one doc_id are not repeats and share its fate.
+    """
+    id_, print_ = fresh(docs, "__id", "__print")
+    # ids from 2 ** 62 on, by text, for rows without
+    own = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`").cast("string")), 2))
+    named = docs.withColumn(print_, F.xxhash64(F.col(f"`{text}`").cast("string"))).withColumn(id_, own)
+    kept = near_duplicates(named.select(F.col(id_).alias("doc_id"), F.col(f"`{text}`").alias("text")), k, percent)
+    gone = kept.where(~F.col("kept")).select("doc_id").distinct().withColumn("gone", F.lit(True))
+    rows = named.groupBy(F.col(id_).alias("doc_id"), F.col(print_).alias("print")).agg(F.count("*").alias("n"))
+    fate = cut_lineage(rows.join(gone, "doc_id", "left").where("gone or n > 1").select(F.col("doc_id").alias(id_), F.col("print").alias(print_), F.coalesce("gone", F.lit(False)).alias("gone")))
+    single = named.join(fate.select(id_, print_), [id_, print_], "left_anti")
+    repeated = named.join(fate.where(~F.col("gone")).select(id_, print_), [id_, print_], "left_semi").dropDuplicates([id_, print_])
+    return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
