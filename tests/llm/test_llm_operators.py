@@ -207,6 +207,18 @@ def test_licenses_of_wrapped_headers():
     assert scanner.scan("\n".join([*prose, "free", *prose]))[0] is None
 
 
+def test_neighbouring_licenses():
+    scanner = licenses.Scanner({t: 3.0 for t in licenses.VOCABULARY}, 6.0)
+    for name, text in licenses.TEMPLATES:
+        if not text.startswith("Redistribution") or len(text) > 200:
+            assert scanner.scan(text)[0] == name, text
+            assert scanner.scan("Copyright 2020 Ann Other\n\n" + text.replace(". ", ".\n").replace(", ", ",\n"))[0] == name, text
+    opening = next(text for name, text in licenses.TEMPLATES if name == "BSD-3-Clause")
+    assert scanner.scan(opening)[0] is None and scanner.scan("Licensed under the GNU General Public License")[0] is None
+    told = {name for name, _ in licenses.TEMPLATES}
+    assert told >= {"GPL-2.0", "LGPL-2.1", "AGPL-3.0", "BSD-2-Clause", "ISC", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC0-1.0", "Unlicense"}
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice("red blue green tree house river stone cloud".split()) for _ in range(20)) + (" idiot" if i % 3 == 0 else "")) for i in range(300)]
