@@ -31,6 +31,12 @@ def steady(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if it comes in a few splits for many cores; a large table never does."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    steady(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(steady(spark).read.parquet(f"{sf_dir}/{name}.parquet"))

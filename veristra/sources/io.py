@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veristra.checkpoints import cut_lineage
+from veristra.checkpoints import ranked
 
 
 def fixture(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -68,14 +68,5 @@ def unique_or_fail(df: DataFrame, key: Column) -> None:
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Row numbers in a total order without one task for all rows: range partitions, then each one's offset."""
-    laid = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    at = F.monotonically_increasing_id()
-    part = F.shiftrightunsigned(at, 33).cast("int")
-    counts = sorted((r[0], r[1]) for r in laid.groupBy(part.alias("p")).count().collect())
-    offsets, total = [], 0
-    for p, n in counts:
-        offsets.append((p, total))
-        total += n
-    table = df.sparkSession.createDataFrame(offsets, "__p int, __before long")
-    return laid.withColumn("__at", at).withColumn("__p", F.shiftrightunsigned("__at", 33).cast("int")).join(F.broadcast(table), "__p").withColumn("row_number", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__before", "__at")
+    """Row numbers from 0 in a total order without one task for all rows."""
+    return ranked(df, [], [F.col(c) for c in order], "row_number")
