@@ -2,39 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristra.session import steady
+from veristra import checkpoints
+from veristra.checkpoints import ranked
+from veristra.session import steady, table
 
 #: Characters between words: space, and tab to carriage return.
 WHITE = "\\x20\\x09-\\x0D"
 WORD = f"[^{WHITE}]+"
+#: Rows of a table that is broadcast instead of shuffling the other side to it.
+FEW = 500_000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder that the cluster shares; lost executors then cost no recomputation.
-
-    The folder is ``spark.checkpoint.dir``; a local one is made only where that is unset, as in tests.
-    """
+    """Checkpoint into the folder that the cluster shares; lost executors then cost no recomputation."""
     spark = steady(df.sparkSession)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veristra-"))
-    done = df.checkpoint(eager=True)
+    done = checkpoints.cut_lineage(df)
     # shuffles that only the cut lineage held are deleted once the driver has collected its objects
     spark.sparkContext._jvm.System.gc()
     return done
 
 
-def words(text: Column) -> Column:
-    """Array of words of a text; empty for null. A single-character split avoids the regex engine."""
-    flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.array_remove(F.split(flat, " "), "")
-
-
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
@@ -51,37 +41,13 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def ranked(df: DataFrame, groups: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
-    """``df`` with each row's 0-based position in its group, without bringing a group into one task.
-
-    Rows are range-partitioned by group and order, so a hot group spreads over many tasks; positions follow
-    from the partitions' row counts (one row per partition is broadcast) and each group's first position.
-    """
-    laid = cut_lineage(df.repartitionByRange(*[F.col(g) for g in groups], *order).sortWithinPartitions(*[F.col(g) for g in groups], *order))
-    at, before, pos, first, part = "__at", "__before", "__pos", "__first", "__part"
-    numbered = laid.withColumn(at, F.monotonically_increasing_id())
-    part_of = F.shiftrightunsigned(F.col(at), 33).cast("int")
-    counts = sorted((r[0], r[1]) for r in numbered.groupBy(part_of.alias(part)).count().collect())
-    offsets, total = [], 0
-    for number, n in counts:
-        offsets.append((number, total))
-        total += n
-    spark = df.sparkSession
-    table = spark.createDataFrame(offsets, f"{part} int, {before} long")
-    placed = (
-        numbered.withColumn(part, part_of)
-        .join(F.broadcast(table), part)
-        .withColumn(pos, F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop(at, before, part)
-    )
-    named = [f"__g{i}" for i in range(len(groups))]
-    starts = placed.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, named, strict=True)]).agg(F.min(pos).alias(first))
-    on = None
-    for g, n in zip(groups, named, strict=True):
-        same = placed[g].eqNullSafe(starts[n])
-        on = same if on is None else on & same
-    return placed.join(starts, on).withColumn(rank, F.col(pos) - F.col(first)).drop(pos, first, *named)
+def small(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df``, to be broadcast if it has at most so many rows; larger ones are left to the join's own strategy."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return steady(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return table(spark, sf_dir, name)
+
+
+__all__ = ["FEW", "WHITE", "WORD", "cut_lineage", "fresh", "ranked", "read", "small", "word_count"]
