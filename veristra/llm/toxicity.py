@@ -2,13 +2,13 @@
 
 Terms of a text: its distinct words (letter runs, lower case) and the first 4 and 5 letters of longer words, hashed
 to 40 bits. The score is a logistic of bias, one weight a term and, for each pair of terms, the product of
-their factors, so that two terms can mean more together than each alone. The weights are fitted first; the factors
-then learn, at a rate at which pairs form, what the weights leave open. Fitted at once, they would take up noise.
+their factors, so that two terms can mean more together than each alone. Weights and factors are fitted together.
 
-The model is fitted on the driver from a bounded sample of labelled rows: at most POSITIVES and NEGATIVES of either label, the
-least by hash of doc_id, so the same rows each time. Linear weights carry an L1 penalty: most terms get none, and a
-long text doesn't gather noise. Its size depends on the sample alone, so executors can hold it; every document is
-then scored over its whole text in one scan without a shuffle.
+The model is fitted from a bounded sample of labelled rows: at most POSITIVES and NEGATIVES of either label, the
+least by hash of doc_id, so the same rows each time. Spark counts the terms of the sample's whole texts by label; only
+terms that go with toxicity take part (``telling``), at most TERMS of them, so that a long text doesn't gather
+noise. Rows reach the driver as lists of such terms. Every document is then scored over its whole text in one scan
+without a shuffle; the model's size depends on the sample alone.
 """
 
 from __future__ import annotations
@@ -23,11 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veristra.llm.common import fresh
+
 POSITIVES, NEGATIVES = 3000, 7000
+#: Terms that a model may know, the most telling first.
+TERMS = 20_000
+#: A telling term: in so many rows, of a likelihood ratio (twice its log) and a lower bound of its share of toxic rows.
+LEAST_ROWS, LEAST_RATIO, LEAST_SHARE = 3, 12.0, 0.3
 FACTORS = 4
-LEAST_ROWS = 10
-ROUNDS, PAIR_ROUNDS, BATCH = 6, 6, 64
-RATE, FACTOR_RATE, L1, L2 = 0.7, 0.05, 2.5, 0.01
+ROUNDS, BATCH = 12, 64
+RATE, FACTOR_RATE, L1, L2 = 0.7, 0.1, 1.0, 0.02
 THRESHOLD = 0.7
 SEED = 11
 #: Words whose terms a worker keeps.
@@ -50,6 +55,10 @@ def distinct_words(text: str | None) -> set[str]:
     return set(_letters.findall(text.lower())) if text else set()
 
 
+def text_terms(text: str | None) -> set[int]:
+    return {x for w in distinct_words(text) for x in word_terms(w)}
+
+
 @dataclass
 class FactorizationMachine:
     bias: float
@@ -90,26 +99,18 @@ class FactorizationMachine:
 
 def train(rows: list[tuple[int, np.ndarray]]) -> FactorizationMachine:
     """Fit on (label, terms). Without both labels there is nothing to tell them apart: the score is the same for all."""
-    rows = [(y, t) for y, t in rows if len(t)]
     labels = np.array([y for y, _ in rows], np.float32)
     if not 0 < labels.sum() < len(labels):
         p = (float(labels.sum()) + 1) / (len(labels) + 20)
         return FactorizationMachine(float(np.log(p / (1 - p))), {}, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
-    flat = np.concatenate([t for _, t in rows])
-    names, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(rows)), [len(t) for _, t in rows])
-    enough = counts >= LEAST_ROWS
-    number = np.cumsum(enough) - 1
-    keep = enough[inverse]
-    at, owner, names = number[inverse[keep]], owner[keep], names[enough]
+    names, at = np.unique(np.concatenate([t for _, t in rows]).astype(np.int64), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum([len(t) for _, t in rows])]).astype(np.int64)
     m, rng = len(names), np.random.default_rng(SEED)
-    first = np.searchsorted(owner, np.arange(len(rows) + 1))
     w, z, gw = np.zeros(m), np.zeros(m), np.zeros(m)
-    v, gv = rng.normal(0, 0.01, (m, FACTORS)), np.full((m, FACTORS), 1.0)
+    v, gv = rng.normal(0, 0.01, (m, FACTORS)), np.ones((m, FACTORS))
     bias = float(np.log(labels.mean() / (1 - labels.mean())))
     gb = 1.0
-    for turn in range(ROUNDS + PAIR_ROUNDS):
-        pairs = turn >= ROUNDS
+    for _ in range(ROUNDS):
         for batch in np.array_split(rng.permutation(len(rows)), -(-len(rows) // BATCH)):
             sizes = first[batch + 1] - first[batch]
             row = np.repeat(np.arange(len(batch)), sizes)
@@ -123,44 +124,81 @@ def train(rows: list[tuple[int, np.ndarray]]) -> FactorizationMachine:
             margin = bias + total(wo[local]) + 0.5 * (sums**2 - squares).sum(1)
             off = 1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels[batch]
             slope = off[row]
-            dw = np.bincount(local, slope, len(own))
-            if pairs:
-                dv = np.stack([np.bincount(local, slope * (sums[row, f] - va[:, f]), len(own)) for f in range(FACTORS)], 1) + L2 * vo
-                gv[own] += dv**2
-                v[own] -= FACTOR_RATE / np.sqrt(gv[own]) * dv
-                continue
+            dv = np.stack([np.bincount(local, slope * (sums[row, f] - va[:, f]), len(own)) for f in range(FACTORS)], 1) + L2 * vo
+            gv[own] += dv**2
+            v[own] -= FACTOR_RATE / np.sqrt(gv[own]) * dv
             # follow the regularised leader for the weights: exact zeros where the evidence is below L1
+            dw = np.bincount(local, slope, len(own))
             grown = gw[own] + dw**2
             zo = z[own] + dw - (np.sqrt(grown) - np.sqrt(gw[own])) / RATE * wo
             w[own] = np.where(np.abs(zo) > L1, -(zo - np.sign(zo) * L1) / ((1 + np.sqrt(grown)) / RATE), 0)
             z[own], gw[own] = zo, grown
             gb += off.sum() ** 2
             bias -= RATE / np.sqrt(gb) * off.sum()
-    used = (w != 0) | (np.abs(v).max(1) > 0.05)
-    return FactorizationMachine(float(bias), {int(t): i for i, t in enumerate(names[used].tolist())}, w[used].astype(np.float32), v[used].astype(np.float32))
+    return FactorizationMachine(float(bias), {int(t): i for i, t in enumerate(names.tolist())}, w.astype(np.float32), v.astype(np.float32))
+
+
+def telling(counts: DataFrame, positives: int, total: int) -> DataFrame:
+    """(term, ratio): terms that go with toxicity. counts: (term, toxic, n), rows of the sample that hold the term.
+
+    ratio: G, twice the log likelihood ratio of label and term against independence. A term also needs LEAST_ROWS
+    rows, and a share of toxic rows whose lower bound (Wilson, 95 % one-sided) is LEAST_SHARE.
+    """
+    a, n = F.col("toxic").cast("double"), F.col("n").cast("double")
+    p, rest = F.lit(positives / total), F.lit((total - positives) / total)
+    part = lambda seen, due: F.when(seen > 0, seen * F.log(seen / due)).otherwise(0.0)
+    ratio = 2 * (part(a, n * p) + part(n - a, n * rest) + part(positives - a, (total - n) * p) + part(total - positives - n + a, (total - n) * rest))
+    z = 1.645
+    low = (a / n + z * z / 2 / n - z * F.sqrt(a / n * (1 - a / n) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+    return counts.where((F.col("n") >= LEAST_ROWS) & (ratio >= LEAST_RATIO) & (low >= LEAST_SHARE)).select("term", ratio.alias("ratio"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], text: str = "text", key: str = "doc_id", label: str = "toxic") -> FactorizationMachine:
-    """Fit on labelled rows that ``held_out`` (a Column function of the key) leaves. Null labels and keys are left out."""
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("__id")).agg((F.max(label) > 0).cast("int").alias("y"))
-    draw = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n)
+    """Fit on labelled rows that ``held_out`` (a Column function of the key) leaves.
+
+    Null labels and keys are left out; a key that is labelled more than once is toxic if one label says so; a document
+    that occurs more than once counts as often. Null and empty texts count as rows without terms. Without rows of
+    both labels all texts get one score. Other columns play no part.
+    """
+    known = labels.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").cast("double").alias("label"))
+    known = known.where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg((F.max("label") > 0).cast("int").alias("y"))
+    draw = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
     # at most POSITIVES + NEGATIVES rows of two numbers
     sample = F.broadcast(draw(1, POSITIVES).unionByName(draw(0, NEGATIVES)))
+    source = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).join(sample, "id").select("y", "t")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(t, y) for y, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in text_terms(raw)]
+            names, of = np.unique(np.array([t for t, _ in found], np.int64), return_inverse=True)
+            toxic = np.bincount(of, [y for _, y in found], len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(toxic), pa.array(np.bincount(of, minlength=len(names)), pa.int64())], names=["term", "toxic", "n"])
+
+    rows_by_label = {r[0]: r[1] for r in source.groupBy("y").count().collect()}
+    positives, total = rows_by_label.get(1, 0), sum(rows_by_label.values())
+    if not 0 < positives < total:
+        return train([(y, np.zeros(0, np.int64)) for y, n in rows_by_label.items() for _ in range(n)])
+    counted = source.mapInArrow(count, "term long, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    kept = frozenset(r[0] for r in telling(counted, positives, total).orderBy(F.col("ratio").desc(), "term").limit(TERMS).collect())
 
     def to_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted({x for w in distinct_words(t) for x in word_terms(w)}) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(f, "<u8").tobytes() for f in found], pa.binary())], names=["y", "terms"])
+            found = [sorted(kept & text_terms(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["y", "terms"])
 
-    rows = docs.join(sample, docs[key] == F.col("__id")).select("y", F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(to_terms, "y int, terms binary").collect()
-    return train(sorted(((r[0], np.frombuffer(r[1], "<u8").astype(np.int64)) for r in rows), key=lambda r: (r[0], r[1].tobytes())))
+    rows = source.mapInArrow(to_terms, "y int, terms array<long>").collect()
+    return train(sorted(((r[0], np.array(r[1], np.int64)) for r in rows), key=lambda r: (r[0], r[1].tobytes())))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` less its text, with a score from 0 to 1. Null and empty texts, and words without a weight, leave the bias."""
-    kept = [c for c in docs.columns if c not in (text, to)]
+    """``docs`` less its text, with a score from 0 to 1. Null and empty texts, and words without a weight, leave the bias.
+
+    A column of ``docs`` named as ``to`` is replaced; all others pass through.
+    """
+    kept = [c for c in docs.columns if c.lower() not in (text.lower(), to.lower())]
+    (content,) = fresh(docs, "content")
     held = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(content))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]], f"`{to}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,5 +211,5 @@ def score(docs: DataFrame, model: FactorizationMachine, text: str = "text", to:
 
 
 def third(key: Column) -> Column:
-    """The third of rows that is held out."""
-    return F.crc32(key.cast("string")) % 3 == 1
+    """The third of rows that is held out; never for a null key."""
+    return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
