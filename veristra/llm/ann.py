@@ -7,8 +7,10 @@ shares with its string, then all trees ascend together, one bit at a time, until
 hold enough different candidates. These are scored on the original vectors, and each block hands over its best.
 
 Blocks are random, so neither a dense region nor a vector that a third of all rows share makes one larger. Queries
-meet every block, in chunks. ``share``: of a block's rows that count as enough. Where vectors are spread evenly over
-a sphere of many dimensions, near and far hardly differ, and only a large share finds nine in ten.
+meet every block, in chunks large enough that building a block's forest costs little beside asking it. ``share``: of a
+block's rows that count as enough; it holds for blocks of every size. Where vectors are spread evenly over a
+sphere of many dimensions, near and far hardly differ, and only a large share finds nine in ten; ``looked_at`` tells
+how many rows were scored.
 """
 
 from __future__ import annotations
@@ -21,11 +23,9 @@ from pyspark.sql import Window as W
 
 from veristra.llm.common import cut_lineage
 
-TREES, BITS = 16, 32
-BLOCK, CHUNK = 16384, 1024
-SHARE = 0.6
-#: Rows of a block that are looked at in any case, if it has so many.
-LEAST = 1024
+TREES, BITS = 256, 32
+BLOCK, CHUNK = 16384, 8192
+SHARE = 1 / 3
 SEED = 5
 
 
@@ -36,56 +36,62 @@ class Forest:
         self.vectors = vectors
         self.bits = bits
         norms = (vectors**2).sum(1)
-        top = norms.max(initial=0.0)
-        lift = np.sqrt(np.maximum(top - norms, 0))
-        rng = np.random.default_rng(seed)
-        self.planes = rng.normal(size=(trees, vectors.shape[1] + 1, bits))
-        self.order, self.strings = [], []
-        for plane in self.planes:
-            code = self._code(np.column_stack([vectors, lift]), plane)
-            order = np.argsort(code, kind="stable")
-            self.order.append(order)
-            self.strings.append(code[order])
+        lift = np.sqrt(np.maximum(norms.max(initial=0.0) - norms, 0))
+        self.planes = np.random.default_rng(seed).normal(size=(trees, vectors.shape[1] + 1, bits))
+        lifted = np.column_stack([vectors, lift])
+        self.order = np.empty((trees, len(vectors)), np.int32)
+        self.strings = np.empty((trees, len(vectors)), np.uint32)
+        for t, plane in enumerate(self.planes):
+            code = self._code(lifted, plane)
+            self.order[t] = np.argsort(code, kind="stable")
+            self.strings[t] = code[self.order[t]]
 
     def _code(self, vectors: np.ndarray, plane: np.ndarray) -> np.ndarray:
-        signs = (vectors @ plane > 0).astype(np.uint64)
-        return (signs << np.arange(self.bits - 1, -1, -1, dtype=np.uint64)).sum(1, dtype=np.uint64)
-
-    def ranges(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last place, by tree, prefix length and query, of strings that share the prefix."""
-        flat = np.column_stack([queries, np.zeros(len(queries))])
-        low = np.empty((len(self.planes), self.bits + 1, len(queries)), np.int64)
-        high = np.empty_like(low)
-        for t, plane in enumerate(self.planes):
-            code = self._code(flat, plane)
-            for x in range(self.bits + 1):
-                rest = np.uint64((1 << (self.bits - x)) - 1)
-                low[t, x] = np.searchsorted(self.strings[t], code & ~rest, "left")
-                high[t, x] = np.searchsorted(self.strings[t], code | rest, "right")
+        signs = np.packbits(vectors @ plane > 0, axis=1)
+        padded = np.zeros((len(vectors), 4), np.uint8)
+        padded[:, : signs.shape[1]] = signs
+        return padded.view(">u4")[:, 0].astype(np.uint32)
+
+    def ranges(self, codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place, by tree and query, of strings that share ``depth`` bits with the query's."""
+        rest = np.uint32(((1 << (32 - depth)) - 1) & 0xFFFFFFFF)
+        low, high = np.empty(codes.shape, np.int64), np.empty(codes.shape, np.int64)
+        for t in range(len(codes)):
+            low[t] = np.searchsorted(self.strings[t], codes[t] & ~rest, "left")
+            high[t] = np.searchsorted(self.strings[t], codes[t] | rest, "right")
         return low, high
 
     def candidates(self, queries: np.ndarray, enough: int):
         """For each query, the rows found when the ascent stops."""
-        low, high = self.ranges(queries)
-        found_at = (high - low).sum(0)
         n = len(self.vectors)
-        for q in range(len(queries)):
-            # the ranges overlap, so fewer rows than this differ: no need to look where even the sum is too small
-            x = int(np.flatnonzero(found_at[:, q] >= min(enough, n))[-1]) if n else 0
-            while True:
+        flat = np.column_stack([queries, np.zeros(len(queries))])
+        codes = np.stack([self._code(flat, plane) for plane in self.planes])
+        shift = (np.arange(len(codes)) * n)[:, None]
+        order = self.order.ravel()
+        open_ = np.arange(len(queries))
+        for depth in range(self.bits, -1, -1):
+            if not len(open_):
+                return
+            low, high = self.ranges(codes[:, open_], depth)
+            sizes, starts = (high - low).T, (low + shift).T
+            left = np.ones(len(open_), bool)
+            # the ranges overlap, so fewer rows than their sum differ: no need to look where even the sum is too small
+            for i in np.flatnonzero((sizes.sum(1) >= min(enough, n)) | (depth == 0)):
+                count = sizes[i]
+                places = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts[i], count)
                 seen = np.zeros(n, bool)
-                for t, order in enumerate(self.order):
-                    seen[order[low[t, x, q] : high[t, x, q]]] = True
-                if x == 0 or seen.sum() >= enough:
-                    yield q, np.flatnonzero(seen)
-                    break
-                x -= 1
-
-
-def _best(forest: Forest, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float) -> list[tuple]:
-    out = []
-    enough = max(LEAST, 4 * k, int(np.ceil(share * len(ids))))
-    for q, rows in forest.candidates(queries, enough):
+                seen[order[places]] = True
+                if depth == 0 or np.count_nonzero(seen) >= enough:
+                    left[i] = False
+                    yield int(open_[i]), np.flatnonzero(seen)
+            open_ = open_[left]
+
+
+def best_of(forest: Forest, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float) -> tuple[list[tuple], int]:
+    """(query id, id, score) of each query's k best candidates, and how many rows were scored."""
+    out, looked_at = [], 0
+    for q, rows in forest.candidates(queries, max(4 * k, int(np.ceil(share * len(ids))))):
+        looked_at += len(rows)
         rows = rows[ids[rows] != query_ids[q]]
         if not len(rows):
             continue
@@ -96,7 +102,7 @@ def _best(forest: Forest, ids: np.ndarray, query_ids: np.ndarray, queries: np.nd
         exact = (forest.vectors[rows] * queries[q]).sum(1)
         order = np.lexsort((ids[rows], -exact))[:k]
         out += [(int(query_ids[q]), int(i), float(s)) for i, s in zip(ids[rows[order]], exact[order], strict=True)]
-    return out
+    return out, looked_at
 
 
 def valid(vector: Column) -> Column:
@@ -130,10 +136,10 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, share: float = SHAR
         return table.column("id").to_numpy(), np.asarray(values.flatten()).reshape(len(values), -1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, vectors = matrix(left.sort_by("id"))
-        found = _best(Forest(vectors), ids, *matrix(right), k, share)
+        found: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            ids, vectors = matrix(left.sort_by("id"))
+            found, _ = best_of(Forest(vectors), ids, *matrix(right), k, share)
         a, b, c = zip(*found, strict=True) if found else ((), (), ())
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
