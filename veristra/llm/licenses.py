@@ -4,7 +4,9 @@ Every line of every text, every run of consecutive lines up to REACH words and t
 templates, so that a notice is found however it is wrapped. Templates are notices, and whole grants of the short
 licences (MIT, BSD, ISC, Unlicense); of long ones (GPL family, Apache, MPL, Creative Commons) the notices alone, not
 the legal code. A text that is as near to a second licence (MARGIN), as a GPL notice without a version, is left open. The templates' vocabulary is fixed, so the counts behind the
-idf, taken over all files, are one bounded row; words outside it weigh as words never seen. A file without a licence
+idf, taken over all files, are one bounded row; words outside it weigh as words never seen. Texts, lines and runs without
+any of the ``heavy`` words are left out before they are scored, which loses nothing: what lacks them can't come near any
+template. A file without a licence
 of its own takes that of the nearest directory above it that holds a licence file. That is an equi-join of each
 file's directories, as many as its path is deep, with the directories that have a licence.
 """
@@ -28,8 +30,8 @@ THRESHOLD = 0.6
 MARGIN = 0.01
 #: A file whose whole text comes so near a template is little else than a licence.
 WHOLE = 0.85
-#: Slices of a folder's files when they learn what they inherit.
-SLICES = 64
+#: Files that one slice of a folder holds when they learn what they inherit; there are 64 slices at least.
+SLICE = 1_000_000
 #: Names of licence files, without case and extension.
 NAMES = "license|licence|copying|notice|unlicense"
 
@@ -90,8 +92,6 @@ def tokens(text: str) -> list[str]:
 VOCABULARY = tuple(sorted({t for _, text in TEMPLATES for t in tokens(text)}))
 #: Words of a run of lines: the longest template and a quarter for lines between, as of a copyright.
 REACH = max(len(tokens(text)) for _, text in TEMPLATES) * 5 // 4
-#: Words of which any notice has one.
-TRIGGER = re.compile(r"licen[sc]|rights|permission|redistribution|software|free|source|creative|permitted", re.I)
 
 
 class Scanner:
@@ -106,6 +106,21 @@ class Scanner:
             for t, n in Counter(tokens(text)).items():
                 row[self.place[t]] = self.weight(t, n)
             row /= np.sqrt((row * row).sum())
+        self.heavy = self._heavy(THRESHOLD)
+
+    def _heavy(self, least: float) -> frozenset[str]:
+        """Words of which any text that reaches the cosine ``least`` has one.
+
+        A text that shares only some words with a template is no nearer to it than the root of these words' share of
+        the template's square. So of each template the heaviest words count, until the rest cannot come to ``least``.
+        """
+        words = np.array(VOCABULARY)
+        found: set[str] = set()
+        for row in self.templates:
+            order = np.argsort(-row, kind="stable")
+            rest = 1 - np.cumsum(row[order] ** 2)
+            found.update(words[order[: int(np.argmax(rest < least * least * (1 - 1e-9))) + 1]].tolist())
+        return frozenset(found)
 
     def weight(self, term: str, n: int) -> float:
         return (1 + math.log(n)) * self.idf.get(term, self.unseen)
@@ -126,14 +141,14 @@ class Scanner:
         return float(found.max()), name if found.max() - second >= MARGIN else None
 
     def runs(self, lines: list[str], least: float) -> Iterator[tuple[dict[str, int], float]]:
-        """Runs of two lines and more, with a TRIGGER word and up to REACH words, that can have a cosine of ``least``.
+        """Runs of two lines and more, with a heavy word and up to REACH words, that can have a cosine of ``least``.
 
         Left out is only what cannot: a run is no nearer to a template than its share of known words allows, and a
         line without any at its border takes it further away.
         """
         words = [tokens(line) for line in lines]
         known = [any(t in self.place for t in w) for w in words]
-        marked = [i for i, line in enumerate(lines) if TRIGGER.search(line)]
+        marked = [i for i, w in enumerate(words) if not self.heavy.isdisjoint(w)]
         before = np.cumsum([0, *map(len, words)]).tolist()
         after = 0
         for start in range(len(lines)):
@@ -160,13 +175,15 @@ class Scanner:
     def scan(self, text: str | None) -> tuple[str | None, float, float]:
         """Licence of the best line, run of lines or whole text that reaches the threshold, its cosine, and the cosine of the whole text.
 
-        Below the threshold the cosine is that of the best line or the whole text.
+        Below the threshold the cosine is that of the best line with a heavy word or the whole text; a text without
+        a heavy word has 0.
         """
-        if not text or not TRIGGER.search(text):
+        counts = Counter(tokens(text)) if text else Counter()
+        if self.heavy.isdisjoint(counts):
             return None, 0.0, 0.0
         lines = text.split("\n")
-        found = [self.best(Counter(tokens(line))) for line in dict.fromkeys(lines) if TRIGGER.search(line)]
-        whole = self.best(Counter(tokens(text)))
+        found = [self.best(Counter(w)) for w in map(tokens, dict.fromkeys(lines)) if not self.heavy.isdisjoint(w)]
+        whole = self.best(counts)
         found.append(whole)
         if len(lines) > 1:
             found += [x for x in (self.best(*run) for run in self.runs(lines, THRESHOLD)) if x[0] >= THRESHOLD]
@@ -181,8 +198,8 @@ def scan_licenses(files: DataFrame, text: str = "text", path: str = "path", key:
 
     license: of the file itself. A licence file by name speaks for its directory, as does a file whose whole text
     reaches WHOLE. Of several in a directory the one of highest similarity counts, then the first path. Null
-    and empty texts have no licence of their own; a null path inherits none and passes none on. Other columns are
-    dropped.
+    and empty texts have no licence of their own; a null path inherits none and passes none on. Repeated rows are
+    judged alike. Other columns are dropped. An empty table gives no rows.
     """
     source = files.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{text}`").cast("string").alias("text"))
 
@@ -215,8 +232,8 @@ def scan_licenses(files: DataFrame, text: str = "text", path: str = "path", key:
     best = F.min_by("license", F.struct((-F.col("similarity")).alias("s"), F.col("path")))
     holders = marked.where(F.col("is_license_file") & F.col("path").isNotNull()).groupBy(folder.alias("dir")).agg(best.alias("dir_license"))
     # folders, not files, look for an ancestor: one row a folder and level; the answer goes back to a folder's files
-    # in SLICES, as one folder may hold a third of them
-    part = F.pmod(F.xxhash64("doc_id", "path", "similarity", "whole"), F.lit(SLICES))
+    # in slices, as one folder may hold a third of them
+    part = F.pmod(F.xxhash64("doc_id", "path", "similarity", "whole"), F.lit(max(64, total // SLICE)))
     slices = marked.where(F.col("path").isNotNull() & F.col("license").isNull()).select(folder.alias("of"), part.alias("part")).distinct()
     folders = slices.select("of").distinct()
     parts = F.split("of", "/")
