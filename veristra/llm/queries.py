@@ -106,6 +106,14 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM documents JOIN component USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
+#: Windows of 35 words, 70, and so on, as hashes of two halves; 14 levels reach beyond any text of 280,000 words.
+_LEVELS = [35 << k for k in range(14)]
+DOUBLED = "of_35 AS (SELECT doc_id, i, md5(window_text) AS h FROM starts), " + ", ".join(
+    f"of_{2 * n} AS (SELECT a.doc_id, a.i, md5(a.h || b.h) AS h FROM of_{n} a JOIN of_{n} b ON a.doc_id = b.doc_id AND b.i = a.i + {n})" for n in _LEVELS[:-1]
+) + ", longest AS (SELECT doc_id, max(size) AS longest_repeat FROM (" + " UNION ALL ".join(
+    f"SELECT DISTINCT doc_id, {n} AS size FROM of_{n} WHERE h IN (SELECT h FROM of_{n} GROUP BY h HAVING count(*) > 1)" for n in _LEVELS
+) + ") GROUP BY doc_id)"
+
 REPEATS_SQL = f"""
 WITH worded AS (
     SELECT doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents
@@ -114,7 +122,7 @@ WITH worded AS (
     FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM worded)
 ), repeated AS (
     SELECT doc_id, i FROM starts WHERE window_text IN (SELECT window_text FROM starts GROUP BY window_text HAVING count(*) > 1)
-), covered AS (
+), {DOUBLED}, covered AS (
     SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM repeated
 ), single AS (
     SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM worded
@@ -122,8 +130,8 @@ WITH worded AS (
     SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept_text, count(*) AS n_kept
     FROM single ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
 )
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
-FROM worded LEFT JOIN rest USING (doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256, coalesce(longest_repeat, 0)::INT AS longest_repeat
+FROM worded LEFT JOIN rest USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 #: The other operators fit models, iterate to a fixed point or draw by hash; tests hold them against brute force.

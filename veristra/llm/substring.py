@@ -1,15 +1,18 @@
 """Removal of word windows that occur more than once, by level-wise doubling.
 
-A window of ``length`` words can only repeat if its halves do. Level 1 looks at windows of half the length: of
-the halves in a full window it is enough to look at one that the words themselves choose (the least hash), as
-equal full windows choose the same; that is about a tenth of all positions. Halves that occur once end there.
-Level 2 extends those that repeat to the full length and keeps the windows that repeat at that length.
+A window of ``length`` words can only repeat if all parts of it do. Level 1 looks at windows of a quarter of the length,
+level 2 at those of half, level 3 at the full length: each level counts only what lies in a full window whose parts
+repeated at the level before. Of the parts in a full window it is enough to look at one that the words themselves
+choose (the least hash), as equal full windows choose the same; at level 1 that is about one position in fourteen.
+From the full length on windows are put together from two of half the length that both repeat, and doubled until no
+candidates survive (``longest``); what is removed is settled at the full length.
 
 Texts of the same words are one class from the start. All words of a class of several documents are covered
 (if they fill a window), so only its first document goes on, for the sake of others that share windows with it.
 
-Counts combine before they are shuffled, joins have unique keys on one side, and the only lists are those of
-one document. Windows are compared by 64-bit hash.
+Counts combine before they are shuffled. A window that a large share of rows has is found by a broadcast of the hot
+windows, of which there are at most HOT_KEYS, and all others by a shuffle (``_among``). The only lists are those of one
+document. Texts are told apart by 128-bit hash, full windows by their own 64 bits and those of the half they choose.
 """
 
 from __future__ import annotations
@@ -22,41 +25,67 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veristra.llm.common import cut_lineage
+from veristra.llm.common import cut_lineage, fresh
 from veristra.llm.wordhash import _powers, chunks, mix, window_hashes, word_hashes
 
 LENGTH = 35
 #: Text hashes that are broadcast instead of shuffling all texts to them: 8 bytes each.
 FEW = 500_000
+#: A key is hot if it has more than HOT rows and more than one in HOT_KEYS of all; so at most HOT_KEYS are.
+HOT, HOT_KEYS = 4096, 50_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+def _among(rows: DataFrame, counted: DataFrame, *by: str) -> DataFrame:
+    """Those of ``rows`` whose key is in ``counted`` (key, n: its number of rows), without bringing a hot key to one task."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT, total // HOT_KEYS)
+    hot = F.broadcast(counted.where(F.col("n") > limit).select(*by))
+    cold = counted.where(F.col("n") <= limit).select(*by)
+    return rows.join(hot, list(by), "left_semi").unionByName(rows.join(hot, list(by), "left_anti").join(cold, list(by), "left_semi"))
+
+
 class Windows:
-    """The full windows of the texts of one chunk, and the half that each chooses."""
+    """The full windows of the texts of one chunk, and the parts that each chooses."""
 
     def __init__(self, texts: pa.Array, length: int):
-        half = (length + 1) // 2
+        self.length = length
         self.words, self.first = word_hashes(texts, lower=False)
         self.n = np.diff(self.first)
-        count = len(self.words) - length + 1
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
-        if count <= 0:
-            self.start = self.chosen = np.zeros(0, np.int64)
-            self.halves = self.full = np.zeros(0, np.uint64)
-            return
-        self.halves = window_hashes(self.words, half)
-        self.full = window_hashes(self.words, length)
-        self.start = np.flatnonzero(self.doc[:count] == self.doc[length - 1 :])
-        choice = np.lib.stride_tricks.sliding_window_view(self.halves, length - half + 1)
-        self.chosen = np.empty(len(self.start), np.int64)
-        for a in range(0, len(self.start), 1 << 15):
-            s = self.start[a : a + (1 << 15)]
-            self.chosen[a : a + (1 << 15)] = choice[s].argmin(1) + s
+        count = max(0, len(self.words) - length + 1)
+        self.start = np.flatnonzero(self.doc[:count] == self.doc[length - 1 :][:count])
+
+    def hashes(self, k: int) -> np.ndarray:
+        return window_hashes(self.words, k)
+
+    def chosen(self, hashes: np.ndarray, k: int, start: np.ndarray) -> np.ndarray:
+        """Place of the part of k words with the least hash in each full window that begins at ``start``."""
+        out = np.empty(len(start), np.int64)
+        if len(start):
+            choice = np.lib.stride_tricks.sliding_window_view(hashes, self.length - k + 1)
+            for a in range(0, len(start), 1 << 15):
+                s = start[a : a + (1 << 15)]
+                out[a : a + (1 << 15)] = choice[s].argmin(1) + s
+        return out
+
+    def lists(self, places: np.ndarray, hashes: np.ndarray) -> list[pa.Array]:
+        """Of each text: the distinct hashes at these places, and those that stand at two of them."""
+        places = np.unique(places)
+        values, doc = hashes[places].view(np.int64), self.doc[places]
+        order = np.lexsort((values, doc))
+        values, doc = values[order], doc[order]
+        same = (values[1:] == values[:-1]) & (doc[1:] == doc[:-1])
+        first = np.append(True, ~same)[: len(values)]
+        again = first & np.append(same, False)[: len(values)]
+        edges = np.arange(len(self.n) + 1)
+        return [pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[keep], edges), pa.int32()), pa.array(values[keep], pa.int64())) for keep in (first, again)]
 
 
 def _first_level(docs: DataFrame, length: int) -> DataFrame:
-    """(id, n, s1, s2, sha, key, halves, again): words, hash of the word sequence, hash of the words joined by a
-    space, distinct chosen halves, and those that the text has more than once."""
+    """(id, n, s1, s2, sha, k1, k2, parts, again): words, hash of the word sequence, hash of the words joined by a
+    space, distinct chosen parts, and those that the text has more than once."""
+    k = -(-length // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,48 +101,46 @@ def _first_level(docs: DataFrame, length: int) -> DataFrame:
                     at = w.first[:-1][some_words]
                     s1[some_words] = np.add.reduceat(w.words * up[local], at)
                     s2[some_words] = np.add.reduceat(mix(w.words ^ mix(local.astype(np.uint64))), at)
-                chosen = np.unique(w.chosen)
-                values, doc = w.halves[chosen].view(np.int64), w.doc[chosen]
-                order = np.lexsort((values, doc))
-                values, doc = values[order], doc[order]
-                same = (values[1:] == values[:-1]) & (doc[1:] == doc[:-1])
-                first = np.append(True, ~same)[: len(values)]
-                again = first & np.append(same, False)[: len(values)]
-                edges = np.arange(len(texts) + 1)
-                lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[keep], edges), pa.int32()), pa.array(values[keep], pa.int64())) for keep in (first, again)]
+                hashes = w.hashes(k)
+                lists = w.lists(w.chosen(hashes, k, w.start), hashes)
                 sha = [hashlib.sha256(b" ".join(t.encode().split())).hexdigest() if t else EMPTY for t in texts.to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(w.n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(sha), some.column(2), *lists], names=["id", "n", "s1", "s2", "sha", "key", "halves", "again"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(w.n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(sha), some.column(2), some.column(3), *lists], names=["id", "n", "s1", "s2", "sha", "k1", "k2", "parts", "again"])
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, sha string, key long, halves array<long>, again array<long>")
+    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, sha string, k1 long, k2 long, parts array<long>, again array<long>")
 
 
-def _second_level(candidates: DataFrame, length: int) -> DataFrame:
-    """(key, alone, starts, windows) of full windows whose half is in ``halves``. candidates: key, text, alone, halves."""
+def _full_windows(candidates: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, alone, parts, again, windows) of candidates (k1, k2, text, alone, wanted).
+
+    windows: start, hash and half of each full window whose part of level 1 is wanted; parts, again: its halves.
+    """
+    quarter, half = -(-length // 4), -(-length // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in chunks(batch.column("text")):
                 some = batch.slice(low, high - low)
                 w = Windows(some.column("text"), length)
+                short, middle, full = w.hashes(quarter), w.hashes(half), w.hashes(length)
+                part = short[w.chosen(short, quarter, w.start)]
                 edges = np.searchsorted(w.start, w.first)
                 keep = np.zeros(len(w.start), bool)
                 for i in range(some.num_rows):
                     a, b = edges[i], edges[i + 1]
                     if b > a:
-                        wanted = np.asarray(some.column("halves")[i].values).view(np.uint64)
-                        keep[a:b] = np.isin(w.halves[w.chosen[a:b]], wanted)
+                        keep[a:b] = np.isin(part[a:b], np.asarray(some.column("wanted")[i].values).view(np.uint64))
                 at = w.start[keep]
-                doc = w.doc[at]
-                cuts = pa.array(np.searchsorted(at, w.first), pa.int32())
-                starts = pa.ListArray.from_arrays(cuts, pa.array(at - w.first[:-1][doc], pa.int32()))
-                full = pa.ListArray.from_arrays(cuts, pa.array(w.full[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([some.column("key"), some.column("alone"), starts, full], names=["key", "alone", "starts", "windows"])
+                halves = w.chosen(middle, half, at)
+                lists = w.lists(halves, middle)
+                row = pa.StructArray.from_arrays([pa.array(at - w.first[:-1][w.doc[at]], pa.int32()), pa.array(full[at].view(np.int64)), pa.array(middle[halves].view(np.int64))], names=["start", "window", "half"])
+                windows = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, w.first), pa.int32()), row)
+                yield pa.RecordBatch.from_arrays([some.column("k1"), some.column("k2"), some.column("alone"), *lists, windows], names=["k1", "k2", "alone", "parts", "again", "windows"])
 
-    return candidates.select("key", "alone", "text", "halves").mapInArrow(run, "key long, alone boolean, starts array<int>, windows array<long>")
+    return candidates.select("k1", "k2", "alone", "text", "wanted").mapInArrow(run, "k1 long, k2 long, alone boolean, parts array<long>, again array<long>, windows array<struct<start:int,window:long,half:long>>")
 
 
 def _without(found: DataFrame, length: int) -> DataFrame:
-    """(key, removed, kept_text, kept_sha) of (key, text, starts)."""
+    """(k1, k2, removed, kept_text, kept_sha) of (k1, k2, text, starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,67 +155,107 @@ def _without(found: DataFrame, length: int) -> DataFrame:
                 kept = b" ".join(x for x, c in zip(ws, covered.tolist(), strict=True) if not c)
                 out.append((int(covered.sum()), kept.decode(), hashlib.sha256(kept).hexdigest()))
             removed, texts, shas = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), pa.array(shas, pa.string())], names=["key", "removed", "kept_text", "kept_sha"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), pa.array(shas, pa.string())], names=["k1", "k2", "removed", "kept_text", "kept_sha"])
 
-    return found.select("key", "text", "starts").mapInArrow(run, "key long, removed long, kept_text string, kept_sha string")
+    return found.select("k1", "k2", "text", "starts").mapInArrow(run, "k1 long, k2 long, removed long, kept_text string, kept_sha string")
 
 
-def text_key(text: str) -> Column:
-    return F.xxhash64(F.col(f"`{text}`"))
+def text_keys(content: Column) -> tuple[Column, Column]:
+    """128 bits of a text, as two hashes of different seeds; of a null text too."""
+    return F.xxhash64(content), F.xxhash64(F.lit(LENGTH), content)
 
 
-def _repeats(docs: DataFrame, length: int, text: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of the first level; classes (s1, s2, n, several, key); and what is left of single documents."""
+def _repeats(docs: DataFrame, length: int, text: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows of level 1; classes (s1, s2, n, several, k1, k2); what is left of single documents; repeated full windows.
+
+    The last: (k1, k2, start, window, half) of single documents and of the first of each class.
+    """
     content = F.col(f"`{text}`").cast("string")
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("id"), content.alias("text"), F.xxhash64(content).alias("key"))
+    k1, k2 = text_keys(content)
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("id"), content.alias("text"), k1.alias("k1"), k2.alias("k2"))
     rows = cut_lineage(_first_level(source, length))
     long_ = rows.where(F.col("n") >= length)
-    halves = long_.select("key", "s1", F.explode("halves").alias("half"))
-    # a half repeats if two different texts have it, or one has it twice; copies of a text count as one
-    repeated = halves.groupBy("half").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b").select("half")
-    repeated = repeated.unionByName(long_.select(F.explode("again").alias("half"))).distinct()
-    wanted = halves.select("key", "half").join(repeated, "half").groupBy("key").agg(F.collect_set("half").alias("halves"))
-    classes = cut_lineage(long_.groupBy("s1", "s2", "n").agg(F.count("*").alias("copies"), F.min(F.struct("id", "key")).alias("rep")).select("s1", "s2", "n", (F.col("copies") > 1).alias("several"), F.col("rep.id").alias("_id"), F.col("rep.key").alias("_key")))
-    chosen = cut_lineage(classes.select("_id", "_key", (~F.col("several")).alias("alone")).join(wanted.withColumnRenamed("key", "_key"), "_key"))
-    few = chosen.select("_key").distinct()
+    parts = long_.select("k1", "k2", "s1", F.explode("parts").alias("part"))
+    # a part repeats if two different texts have it, or one has it twice; copies of a text count as one
+    shared = parts.groupBy("part").agg(F.count("*").alias("n"), F.min("s1").alias("a"), F.max("s1").alias("b"))
+    again = long_.select(F.explode("again").alias("part")).distinct().withColumn("twice", F.lit(True))
+    counted = cut_lineage(shared.join(again, "part", "left").where("a <> b or twice").select("part", "n"))
+    wanted = _among(parts, counted, "part").groupBy("k1", "k2").agg(F.collect_set("part").alias("wanted"))
+    first = F.min(F.struct("id", "k1", "k2")).alias("rep")
+    classes = cut_lineage(long_.groupBy("s1", "s2", "n").agg(F.count("*").alias("copies"), first).select("s1", "s2", "n", (F.col("copies") > 1).alias("several"), "rep"))
+    reps = classes.select("rep.id", "rep.k1", "rep.k2", (~F.col("several")).alias("alone"))
+    chosen = cut_lineage(reps.join(wanted, ["k1", "k2"]).select(*[F.col(c).alias(f"_{c}") for c in ("id", "k1", "k2")], "alone", "wanted"))
+    few = chosen.select("_k1").distinct()
     if few.count() <= FEW:
         few = F.broadcast(few)
     # only texts that can share a window are shuffled
-    near = source.join(few, source["key"] == few["_key"], "left_semi")
-    candidates = near.join(chosen, (near["key"] == chosen["_key"]) & near["id"].eqNullSafe(chosen["_id"])).select("key", "alone", "text", "halves").dropDuplicates(["key"])
-    level = cut_lineage(_second_level(candidates, length))
-    windows = lambda df: df.select("key", F.explode(F.arrays_zip("starts", "windows")).alias("x")).select("key", F.col("x.starts").alias("start"), F.col("x.windows").alias("window"))
-    twice = windows(level).groupBy("window").count().where(F.col("count") > 1).select("window")
-    starts = cut_lineage(windows(level.where("alone")).join(twice, "window").groupBy("key").agg(F.collect_list("start").alias("starts")))
-    texts = near.select("key", "text").join(starts.select(F.col("key").alias("_key"), "starts"), F.col("key") == F.col("_key"))
-    left = _without(texts.select("key", "text", "starts"), length).dropDuplicates(["key"])
-    return rows, classes.select("s1", "s2", "n", "several", F.col("_key").alias("key")), left
+    near = source.join(few, source["k1"] == few["_k1"], "left_semi")
+    candidates = near.join(chosen, (near["k1"] == chosen["_k1"]) & (near["k2"] == chosen["_k2"]) & near["id"].eqNullSafe(chosen["_id"])).select("k1", "k2", "alone", "text", "wanted").dropDuplicates(["k1", "k2"])
+    level = cut_lineage(_full_windows(candidates, length))
+    halves = level.select(F.explode("parts").alias("half")).groupBy("half").agg(F.count("*").alias("n"))
+    twice = level.select(F.explode("again").alias("half")).distinct().withColumn("twice", F.lit(True))
+    counted = cut_lineage(halves.join(twice, "half", "left").where("n > 1 or twice").select("half", "n"))
+    windows = cut_lineage(_among(level.select("k1", "k2", "alone", F.inline("windows")), counted, "half"))
+    full = cut_lineage(windows.groupBy("window", "half").agg(F.count("*").alias("n")).where("n > 1"))
+    found = cut_lineage(_among(windows, full, "window", "half"))
+    starts = cut_lineage(found.where("alone").groupBy("k1", "k2").agg(F.collect_list("start").alias("starts")))
+    texts = near.select("k1", "k2", "text").join(starts, ["k1", "k2"])
+    left = _without(texts, length).dropDuplicates(["k1", "k2"])
+    return rows, classes.select("s1", "s2", "n", "several", "rep.k1", "rep.k2"), left, found.drop("alone")
+
+
+def longest(found: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, longest): the greatest of length, twice that, and so on at which a text has a repeated window.
+
+    found: repeated windows of ``length`` words (k1, k2, start, window, half). A window of twice the length repeats only
+    if both its halves do, so it is put together from two of them; levels go on until none is left.
+    """
+    now, size, out = found, length, None
+    while now.head(1):
+        reached = now.select("k1", "k2").distinct().withColumn("longest", F.lit(size))
+        out = reached if out is None else out.unionByName(reached)
+        next_ = now.select("k1", "k2", (F.col("start") - size).alias("start"), F.col("window").alias("w"), F.col("half").alias("h"))
+        joined = now.join(next_, ["k1", "k2", "start"]).select("k1", "k2", "start", F.xxhash64("window", "w").alias("window"), F.xxhash64("h", "half").alias("half"))
+        joined = cut_lineage(joined)
+        counted = cut_lineage(joined.groupBy("window", "half").agg(F.count("*").alias("n")).where("n > 1"))
+        now, size = cut_lineage(_among(joined, counted, "window", "half")), 2 * size
+    if out is None:
+        return found.select("k1", "k2", F.lit(0).alias("longest"))
+    return out.groupBy("k1", "k2").agg(F.max("longest").alias("longest"))
 
 
 def repeated_words(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256), a row for each row of ``docs``; other columns are dropped.
+    """(doc_id, n_words, n_removed, kept_sha256, longest_repeat), a row for each row of ``docs``; other columns are dropped.
 
     A word is removed if a window of ``length`` words that covers it also starts anywhere else, in this or another
-    row. Null and empty texts, and those of fewer words than a window, lose nothing. Repeated rows are copies of
-    each other and lose every word. A null doc_id stays null.
+    row. longest_repeat: the greatest of length, twice that, and so on at which the row has such a window; 0 if at none.
+    Null and empty texts, and those of fewer words than a window, lose nothing. Repeated rows are copies of
+    each other and lose every word. A null doc_id stays null. An empty table gives no rows.
     """
-    rows, classes, left = _repeats(docs, length, text, key)
-    left = cut_lineage(left.select("key", "removed", "kept_sha"))
-    of = classes.join(left, "key", "left").where("several or removed is not null").select(*[F.col(c).alias(f"_{c}") for c in ("s1", "s2", "n")], "several", "removed", "kept_sha")
+    rows, classes, left, windows = _repeats(docs, length, text, key)
+    left = cut_lineage(left.select("k1", "k2", "removed", "kept_sha"))
+    runs = longest(windows, length)
+    of = classes.join(left, ["k1", "k2"], "left").join(runs, ["k1", "k2"], "left").where("several or removed is not null").select(*[F.col(c).alias(f"_{c}") for c in ("s1", "s2", "n")], "several", "removed", "kept_sha", "longest")
     same = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") == F.col("_n"))
     found = rows.select("id", "n", "s1", "s2", "sha").join(of, same, "left")
     removed = F.when(F.col("several"), F.col("n")).otherwise(F.coalesce("removed", F.lit(0)))
     kept = F.when(F.col("several"), F.lit(EMPTY)).otherwise(F.coalesce("kept_sha", "sha"))
-    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), removed.cast("long").alias("n_removed"), kept.alias("kept_sha256"))
+    # copies repeat as a whole
+    whole = (length * F.pow(F.lit(2.0), F.floor(F.log2(F.col("n") / length)))).cast("int")
+    run = F.when(F.col("several"), whole).otherwise(F.coalesce("longest", F.lit(0)))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), removed.cast("long").alias("n_removed"), kept.alias("kept_sha256"), run.alias("longest_repeat"))
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with repeated windows taken out of the texts; rows of which nothing is left go.
 
-    Texts that lose words have one space between those left; all other texts stay as they are.
+    Texts that lose words have one space between those left; all other texts stay as they are, null and empty ones too.
+    Repeated rows of a window's length or more are copies of each other, so none of them is left.
     """
-    rows, classes, left = _repeats(docs, length, text, key)
-    keyed = rows.select("s1", "s2", "n", "key").join(classes.where("several").select("s1", "s2", "n"), ["s1", "s2", "n"]).select(F.col("key").alias("_key"), F.lit("").alias("_text")).distinct()
-    fate = cut_lineage(keyed.unionByName(left.select(F.col("key").alias("_key"), F.col("kept_text").alias("_text"))))
-    joined = docs.join(fate, text_key(text) == F.col("_key"), "left").where(F.coalesce(F.col("_text") != "", F.lit(True)))
-    return joined.select(*[F.coalesce(F.col("_text"), F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    rows, classes, left, _ = _repeats(docs, length, text, key)
+    k1, k2, kept = fresh(docs, "k1", "k2", "kept_text")
+    whole = rows.select("s1", "s2", "n", "k1", "k2").join(classes.where("several").select("s1", "s2", "n"), ["s1", "s2", "n"]).select("k1", "k2", F.lit("").alias("kept_text")).distinct()
+    fate = cut_lineage(whole.unionByName(left.select("k1", "k2", "kept_text")).toDF(k1, k2, kept))
+    a, b = text_keys(F.col(f"`{text}`").cast("string"))
+    joined = docs.withColumns({k1: a, k2: b}).join(fate, [k1, k2], "left").where(F.coalesce(F.col(kept) != "", F.lit(True)))
+    return joined.select(*[F.coalesce(F.col(kept), F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
