@@ -22,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristra.llm.common import cut_lineage, fresh
+from veristra.llm.common import cut_lineage, fresh, small
 from veristra.llm.components import connected_components
 from veristra.llm.wordhash import chunks, mix, window_hashes, word_hashes
 
 BANDS, ROWS = 32, 5
 SEED = 20_26
-BLOCK = 4096
-#: Pairs whose signatures agree in less than the threshold less this share are not confirmed: 3.8 deviations at 0.8.
-SLACK = 0.12
+BLOCK = 512
+#: Pairs whose signatures agree in less than the threshold less this share are not confirmed: 5 deviations of 160 minima at
+#: 0.8, which a pair at the threshold falls short of with a probability of 2e-6 (of 160 at 0.8, 102 or fewer agree).
+SLACK = 0.16
 WORDS, PERCENT = 5, 80
 #: Elements of a set that travels with its signature.
 BRIEF = 2048
@@ -207,9 +208,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
                 brief = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() if len(s) <= BRIEF else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(brief, pa.binary())], names=["id", "set", "n", "brief"])
 
-    if wanted.count() <= FEW:
-        wanted = F.broadcast(wanted)
-    sets = cut_lineage(source.join(wanted, "id", "left_semi").mapInArrow(to_sets, "id long, set binary, n long, brief binary").dropDuplicates(["id"]))
+    sets = cut_lineage(source.join(small(wanted, FEW), "id", "left_semi").mapInArrow(to_sets, "id long, set binary, n long, brief binary").dropDuplicates(["id"]))
     links = cut_lineage(_confirm(members.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct(), sets, percent))
     parts = cut_lineage(connected_components(links))
 
@@ -235,14 +234,14 @@ def keep_first(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text: st
     Rows without a doc_id are compared like all others and come after those that have one; they go by their text, so
     repeated ones are one row too. Different texts under one doc_id are not repeats and share its fate.
     """
-    id_, print_ = fresh(docs, "__id", "__print")
+    id_, print_, gone_ = fresh(docs, "id", "print", "gone")
     # ids from 2 ** 62 on, by text, for rows without
     own = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`").cast("string")), 2))
-    named = docs.withColumn(print_, F.xxhash64(F.col(f"`{text}`").cast("string"))).withColumn(id_, own)
+    named = docs.withColumns({print_: F.xxhash64(F.col(f"`{text}`").cast("string")), id_: own})
     kept = near_duplicates(named.select(F.col(id_).alias("doc_id"), F.col(f"`{text}`").alias("text")), k, percent)
     gone = kept.where(~F.col("kept")).select("doc_id").distinct().withColumn("gone", F.lit(True))
     rows = named.groupBy(F.col(id_).alias("doc_id"), F.col(print_).alias("print")).agg(F.count("*").alias("n"))
-    fate = cut_lineage(rows.join(gone, "doc_id", "left").where("gone or n > 1").select(F.col("doc_id").alias(id_), F.col("print").alias(print_), F.coalesce("gone", F.lit(False)).alias("gone")))
+    fate = cut_lineage(rows.join(gone, "doc_id", "left").where("gone or n > 1").select(F.col("doc_id").alias(id_), F.col("print").alias(print_), F.coalesce("gone", F.lit(False)).alias(gone_)))
     single = named.join(fate.select(id_, print_), [id_, print_], "left_anti")
-    repeated = named.join(fate.where(~F.col("gone")).select(id_, print_), [id_, print_], "left_semi").dropDuplicates([id_, print_])
+    repeated = named.join(fate.where(~F.col(gone_)).select(id_, print_), [id_, print_], "left_semi").dropDuplicates([id_, print_])
     return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
