@@ -6,17 +6,16 @@ number of copies, target over size. The running sum of these in the source's ord
 moved by one random offset a source, gives a document one copy for each integer it crosses. As sizes fall along
 the order, the taken words differ from the target by about the source's largest document at most.
 
-Positions come from ``common.ranked``, so a hot source is spread over many tasks; the offset comes from a hash of
-seed and source, so reruns agree. The loop that shares targets works on one row a source, in Spark.
+Positions come from ``ranked``, so a hot source is spread over many tasks, and targets (a row a source) are broadcast
+where sources are few; the offset comes from a hash of seed and source, so reruns agree. The loop that shares targets works on one row a source, in Spark.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from veristra.llm.common import cut_lineage, ranked, word_count
+from veristra.llm.common import cut_lineage, ranked, small, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -26,12 +25,12 @@ SEED = 2026
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """(source, source_size, weight, target), a row a source. sized: (source, size).
 
-    Weights repeat over the sources by code point, null last. The window sees one row a source.
+    Weights repeat over the sources by code point, null last.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     each = F.array(*[F.lit(float(w)) for w in weights])
-    sources = cut_lineage(sums.withColumn("weight", F.element_at(each, (place % len(weights) + 1).cast("int"))))
+    placed = ranked(sums, [], [F.col("source").asc_nulls_last()], "place")
+    sources = cut_lineage(placed.withColumn("weight", F.element_at(each, (F.col("place") % len(weights) + 1).cast("int"))).drop("place"))
     ceiling = F.col("source_size") * F.lit(float(cap))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     level, before = 0.0, None
@@ -50,12 +49,12 @@ def plan_mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: flo
     a source. Ties of size stand by key, then content hash; repeated rows are documents of their own. keep: pass
     the text on, for ``mix``.
     """
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if keep else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
     sized = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), *row)
     narrow = cut_lineage(sized)
     targets = source_targets(narrow, weights, cap)
     placed = ranked(narrow, ["source"], [F.col("size").desc(), F.col("doc_id"), F.col("tie")], "place")
-    goals = targets.select(F.col("source").alias("goal"), "source_size", "target")
+    goals = small(targets.select(F.col("source").alias("goal"), "source_size", "target"))
     joined = placed.join(goals, placed["source"].eqNullSafe(goals["goal"])).drop("goal")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # 53 bits of a hash, as a fraction
@@ -66,6 +65,6 @@ def plan_mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: flo
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixture: whole rows of ``docs``, each as often as it was drawn."""
+    """The mixture: whole rows of ``docs``, each as often as it was drawn. Rows without words are drawn like others of their source."""
     drawn = plan_mixture(docs, keep=True, **options).where(F.col("copies") > 0)
-    return drawn.select(F.col("__row"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
