@@ -164,12 +164,13 @@ def test_word_encoder_equals_library():
 
 def test_forest(spark):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(300, 16))
+    x = rng.normal(size=(300, 6))
     x[50:90] = x[50]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [1.0, None] * 8), (903, [float("inf")] * 16), (None, [1.0] * 16)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 6), (902, [1.0, None] * 3), (903, [float("inf")] * 6), (None, [1.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = collections.defaultdict(list)
-    for r in ann.search(df, df.where("vec_id % 20 = 0"), 10).orderBy("query_id", "rank").collect():
+    # a share of 1 looks at all rows: the exact answer, ties included
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), 10, share=1.0).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     for q in range(0, 300, 20):
         s = (x * x[q]).sum(1)
@@ -231,14 +232,18 @@ def test_toxicity(spark):
     assert toxicity.train([]).score("x") <= 0.5
 
 
-def test_toxic_pairs():
+def test_toxic_pairs(spark):
     """Which of two insults meets which of two groups decides: additive weights judge all four pairs alike."""
     rng = random.Random(5)
     pairs = list(itertools.product(("aaa", "bbb"), ("ccc", "ddd")))
     toxic = {("aaa", "ccc"), ("bbb", "ddd")}
     text = lambda pair: " ".join([*rng.choices("red blue green tree house river stone cloud".split(), k=12), *pair])
     known = [(int(p in toxic), text(p)) for p in [*rng.choices(pairs, k=3000), *[()] * 3000]]
-    model = toxicity.train([(y, np.array(sorted({x for w in toxicity.distinct_words(t) for x in toxicity.word_terms(w)}), np.int64)) for y, t in known])
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(known)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (y, _) in enumerate(known)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, toxicity.third)
+    right = [sum((m.score(text(p)) >= toxicity.THRESHOLD) == (p in toxic) for p in pairs * 50) / 200 for m in (model, toxicity.FactorizationMachine(model.bias, model.terms, model.weights, model.factors * 0))]
+    assert right[0] >= 0.9 and right[1] <= 0.7
     for p in [*pairs, ()] * 20:
         assert (model.score(text(p)) >= toxicity.THRESHOLD) == (p in toxic), p
     plain = toxicity.FactorizationMachine(model.bias, model.terms, model.weights, model.factors * 0)
