@@ -304,8 +304,10 @@ def test_longest_repeats(spark):
     run, short = w(300), w(40)
     texts = [w(10) + run + w(20), w(50) + run + w(5), w(30) + short, short + w(33), w(200), run[:75] + w(9)]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: (r.longest_repeat, r.n_removed) for r in substring.repeated_words(docs).collect()}
-    assert got == {0: (280, 300), 1: (280, 300), 2: (35, 40), 3: (35, 40), 4: (0, 0), 5: (70, 75)}
+    docs = docs.unionByName(spark.createDataFrame([(6, None), (7, " ".join(texts[4])), (8, "short")], docs.schema))
+    got = {r.doc_id: r.longest for r in substring.longest_repeats(docs).collect()}
+    assert got == {0: 280, 1: 280, 2: 35, 3: 35, 4: 140, 5: 70, 7: 140}
+    assert substring.longest_repeats(docs.limit(0)).count() == 0
 
 
 def test_hot_windows_are_whole(spark, monkeypatch):
