@@ -60,3 +60,14 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], rank: str = "r
         starts = F.broadcast(starts)
     on = reduce(Column.__and__, [placed[f"`{g}`"].eqNullSafe(starts[n]) for g, n in zip(groups, named, strict=True)])
     return placed.join(starts, on).withColumn(rank, F.col(pos) - F.col(first)).drop(pos, first, *named)
+
+
+def forget(*cut: DataFrame) -> None:
+    """Delete the files of checkpointed DataFrames that nothing reads any more: what came from them must be cut off by now."""
+    for df in cut:
+        plan = df._jdf.queryExecution().analyzed()
+        if not plan.getClass().getSimpleName() == "LogicalRDD" or plan.rdd().getCheckpointFile().isEmpty():
+            raise ValueError("only a DataFrame straight from cut_lineage can be forgotten")
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
