@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristra import checkpoints
-from veristra.checkpoints import ranked
+from veristra.checkpoints import forget, ranked
 from veristra.session import steady, table
 
 #: Characters between words: space, and tab to carriage return.
@@ -50,4 +50,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
-__all__ = ["FEW", "WHITE", "WORD", "cut_lineage", "fresh", "ranked", "read", "small", "word_count"]
+__all__ = ["FEW", "WHITE", "WORD", "cut_lineage", "forget", "fresh", "ranked", "read", "small", "word_count"]

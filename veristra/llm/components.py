@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristra.llm.common import cut_lineage
+from veristra.llm.common import cut_lineage, forget
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         before = at
         if at[0] == 0:
             break
-        now = cut_lineage(_star(_star(now, large=True), large=False))
+        last, now = now, cut_lineage(_star(_star(now, large=True), large=False))
+        forget(last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristra.llm.common import cut_lineage, fresh, small
+from veristra.llm.common import cut_lineage, forget, fresh, small
 from veristra.llm.components import connected_components
 from veristra.llm.wordhash import chunks, mix, window_hashes, word_hashes
 
@@ -186,6 +186,11 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
     empty texts, and texts without a word, have no shingles and no links. A row without a doc_id gets no component
     and is kept. Rows that repeat a doc_id share its component.
     """
+    return _near_duplicates(docs, k, percent, text, key)[0]
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, text: str, key: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of ``near_duplicates``, and the checkpoints that it is read from."""
     source = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     signed = cut_lineage(sign(source, k))
     print_ = ["n", "f1", "f2"]
@@ -197,8 +202,10 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
     # the member that meets most others in all its buckets is the text that the others are copies of
     fame = shared.groupBy("id").agg(F.sum("size").alias("fame"))
     famous = cut_lineage(shared.join(fame, "id"))
+    forget(shared)
     hubs = famous.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("id")).alias("minus"))).alias("top"))
     members = cut_lineage(famous.join(hubs, "bucket").select("bucket", "id", "size", (-F.col("top.minus")).alias("hub")))
+    forget(famous)
     wanted = cut_lineage(members.select("id").distinct())
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +217,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
 
     sets = cut_lineage(source.join(small(wanted, FEW), "id", "left_semi").mapInArrow(to_sets, "id long, set binary, n long, brief binary").dropDuplicates(["id"]))
     links = cut_lineage(_confirm(members.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct(), sets, percent))
+    forget(wanted)
     parts = cut_lineage(connected_components(links))
 
     # links that no pair with a hub has shown
@@ -219,13 +227,16 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tex
     open_ = named.join(mixed, "bucket", "left_semi").join(classes.select(F.col("class").alias("id"), "bands", "signature"), "id").join(sets.select("id", "n", "brief"), "id")
     more = cut_lineage(_confirm(_near(open_.select("bucket", "id", "component", "size", "bands", "signature", "n", "brief"), percent).distinct(), sets, percent))
     if more.head(1):
-        parts = cut_lineage(connected_components(links.unionByName(more)))
+        first, parts = parts, cut_lineage(connected_components(links.unionByName(more)))
+        forget(first)
+    forget(members, sets, links, more)
 
     component = classes.select(*print_, "class").join(parts, F.col("class") == F.col("node"), "left").select(*[F.col(c).alias(f"_{c}") for c in print_], F.coalesce("component", "class").alias("component"))
     same = (F.col("n") == F.col("_n")) & (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2"))
     found = signed.select("id", *print_).join(component, same, "left")
     least = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), least.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    result = found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), least.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return result, [signed, classes, parts]
 
 
 def keep_first(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -238,10 +249,11 @@ def keep_first(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text: st
     # ids from 2 ** 62 on, by text, for rows without
     own = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`").cast("string")), 2))
     named = docs.withColumns({print_: F.xxhash64(F.col(f"`{text}`").cast("string")), id_: own})
-    kept = near_duplicates(named.select(F.col(id_).alias("doc_id"), F.col(f"`{text}`").alias("text")), k, percent)
+    kept, read_from = _near_duplicates(named.select(F.col(id_).alias("doc_id"), F.col(f"`{text}`").alias("text")), k, percent, "text", "doc_id")
     gone = kept.where(~F.col("kept")).select("doc_id").distinct().withColumn("gone", F.lit(True))
     rows = named.groupBy(F.col(id_).alias("doc_id"), F.col(print_).alias("print")).agg(F.count("*").alias("n"))
     fate = cut_lineage(rows.join(gone, "doc_id", "left").where("gone or n > 1").select(F.col("doc_id").alias(id_), F.col("print").alias(print_), F.coalesce("gone", F.lit(False)).alias(gone_)))
+    forget(*read_from)
     single = named.join(fate.select(id_, print_), [id_, print_], "left_anti")
     repeated = named.join(fate.where(~F.col(gone_)).select(id_, print_), [id_, print_], "left_semi").dropDuplicates([id_, print_])
     return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veristra.llm.common import cut_lineage, fresh, small
+from veristra.llm.common import cut_lineage, forget, fresh, small
 from veristra.llm.wordhash import _powers, chunks, mix, window_hashes, word_hashes
 
 LENGTH = 35
@@ -187,12 +187,15 @@ def text_keys(content: Column) -> tuple[Column, Column]:
 class Found:
     """What is known of a table: a row each of ``rows`` (level 1); ``classes`` of equal texts (s1, s2, n, several, id, k1, k2);
     ``chosen``: first documents of classes that can share a window, with a number (tid, id, k1, k2, alone); their
-    ``candidates`` (tid, alone, text); and ``windows`` of theirs that repeat (tid, alone, start, window)."""
+    ``candidates`` (tid, alone, text); and ``windows`` of theirs that repeat (tid, alone, start, window), from the ``level``
+    (tid, alone, starts, windows) and ``full`` (window, n). All but ``windows`` are checkpoints."""
 
     rows: DataFrame
     classes: DataFrame
     chosen: DataFrame
     candidates: DataFrame
+    level: DataFrame
+    full: DataFrame
     windows: DataFrame
 
 
@@ -215,7 +218,9 @@ def find_repeats(docs: DataFrame, length: int, text: str, key: str) -> Found:
     first = F.min(F.struct("id", "k1", "k2")).alias("rep")
     classes = cut_lineage(long_.groupBy("s1", "s2", "n").agg(F.count("*").alias("copies"), first).select("s1", "s2", "n", (F.col("copies") > 1).alias("several"), "rep.*"))
     reps = classes.select("id", "k1", "k2", (~F.col("several")).alias("alone"))
-    chosen = cut_lineage(reps.join(wanted, ["k1", "k2"])).withColumn("tid", F.monotonically_increasing_id())
+    listed = cut_lineage(reps.join(wanted, ["k1", "k2"]))
+    chosen = listed.withColumn("tid", F.monotonically_increasing_id())
+    forget(counted)
     # only texts that can share a window are shuffled
     near = source.join(small(chosen.select("k1").distinct(), FEW), "k1", "left_semi")
     same = (near["k1"] == chosen["k1"]) & (near["k2"] == chosen["k2"]) & near["id"].eqNullSafe(chosen["id"])
@@ -225,15 +230,18 @@ def find_repeats(docs: DataFrame, length: int, text: str, key: str) -> Found:
     counted = cut_lineage(counted.join(again(halves), "part", "left").where("n > 1 or twice").select("part", "n"))
     both = candidates.join(_repeated(halves, ["tid"], counted).select("tid", F.col("wanted").alias("halves")), "tid")
     level = cut_lineage(_full_windows(both, length))
+    forget(halves, counted)
     pairs = F.inline(F.arrays_zip(F.col("starts").alias("start"), F.col("windows").alias("window")))
     full = cut_lineage(level.select(F.explode("windows").alias("window")).groupBy("window").agg(F.count("*").alias("n")).where("n > 1"))
-    return Found(rows, classes, chosen.drop("wanted"), candidates.drop("wanted"), _among(level.select("tid", "alone", pairs), full, "window"))
+    lean = cut_lineage(chosen.drop("wanted"))
+    forget(listed)
+    return Found(rows, classes, lean, candidates, level, full, _among(level.select("tid", "alone", pairs), full, "window"))
 
 
 def _left(found: Found, length: int) -> DataFrame:
     """(tid, removed, kept_text, kept_sha) of single documents that lose words."""
     starts = found.windows.where("alone").groupBy("tid").agg(F.collect_list("start").alias("starts"))
-    return _without(found.candidates.join(starts, "tid"), length)
+    return _without(found.candidates.select("tid", "text").join(starts, "tid"), length)
 
 
 def repeated_words(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -244,7 +252,8 @@ def repeated_words(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     each other and lose every word. A null doc_id stays null. An empty table gives no rows.
     """
     found = find_repeats(docs, length, text, key)
-    left = cut_lineage(_left(found, length).select("tid", "removed", "kept_sha")).join(found.chosen, "tid").select("k1", "k2", "removed", "kept_sha")
+    left = cut_lineage(_left(found, length).join(found.chosen, "tid").select("k1", "k2", "removed", "kept_sha"))
+    forget(found.chosen, found.candidates, found.level, found.full)
     of = found.classes.join(left, ["k1", "k2"], "left").where("several or removed is not null").select(*[F.col(c).alias(f"_{c}") for c in ("s1", "s2", "n")], "several", "removed", "kept_sha")
     same = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") == F.col("_n"))
     all_ = found.rows.select(F.col("id").alias("doc_id"), "n", "s1", "s2", "sha").join(of, same, "left")
@@ -288,6 +297,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key:
     whole = found.rows.select("s1", "s2", "n", "k1", "k2").join(several, ["s1", "s2", "n"]).select("k1", "k2", F.lit("").alias("kept_text")).distinct()
     left = _left(found, length).join(found.chosen, "tid").select("k1", "k2", "kept_text")
     fate = cut_lineage(whole.unionByName(left).toDF(k1, k2, kept))
+    forget(found.rows, found.classes, found.chosen, found.candidates, found.level, found.full)
     a, b = text_keys(F.col(f"`{text}`").cast("string"))
     joined = docs.withColumns({k1: a, k2: b}).join(fate, [k1, k2], "left").where(F.coalesce(F.col(kept) != "", F.lit(True)))
     return joined.select(*[F.coalesce(F.col(kept), F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
