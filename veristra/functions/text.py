@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +26,11 @@ ABBREVIATIONS = ("dr.", "mr.", "mrs.", "ms.", "prof.", "sr.", "jr.", "st.", "vs.
 SPACE = "[\\s\\x{0085}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{001C}-\\x{001F}]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with value computed once: a lambda's argument is bound, an expression would be repeated."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 @F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
@@ -122,8 +128,7 @@ def sha_id(*parts: Column | str) -> Column:
 
 def canonical_id(text: Column) -> Column:
     """SHA-256 of the normalised text; null for an empty one."""
-    form = plain_normalized(text)
-    return F.when(form != "", F.sha2(form, 256))
+    return let(plain_normalized(text), lambda form: F.when(form != "", F.sha2(form, 256)))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -136,15 +141,23 @@ def numbers(text: Column) -> Column:
 
 
 def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
-    """All n-grams of the matching form between two spaces, named by size; blank ones left out."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    """All n-grams of the matching form between two spaces, named by size; blank ones left out.
 
-    def of_size(n: int) -> Column:
-        starts = F.when(F.length(padded) >= n, F.sequence(F.lit(1), F.length(padded) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        grams = F.transform(starts, lambda i: padded.substr(i, F.lit(n)))
-        return F.transform(F.filter(grams, lambda g: F.trim(g) != ""), lambda g: F.concat(F.lit(f"c{n}:"), g))
+    A gram is the gram of one character less and the character that follows, so each size costs one pass over the text.
+    """
 
-    return F.flatten(F.array(*[of_size(n) for n in range(low, high + 1)]))
+    def longer(signs: Column, grams: Column, n: int) -> Column:
+        named = F.transform(F.filter(grams, lambda g: F.trim(g) != ""), lambda g: F.concat(F.lit(f"c{n}:"), g))
+        if n < low:
+            named = F.array().cast("array<string>")
+        if n == high:
+            return named
+        # the grams are fewer than the characters that follow them: what has no partner is cut off
+        step = F.zip_with(grams, F.slice(signs, n + 1, F.size(signs)), lambda g, c: F.concat(g, c))
+        return F.concat(named, let(F.slice(step, 1, F.greatest(F.lit(0), F.size(signs) - n)), lambda grown: longer(signs, grown, n + 1)))
+
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    return let(F.filter(F.split(padded, ""), lambda c: c != ""), lambda signs: longer(signs, signs, 1))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

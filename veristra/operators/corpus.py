@@ -16,9 +16,10 @@ PAYLOAD = "canonical_doc_id parent_id english_text translated_text translation_l
 
 
 def three_valued(label: Column) -> Column:
-    """Null stays null; text is true for 1, true or yes, numbers if not 0."""
-    as_text = F.lower(F.trim(label.cast("string")))
-    return F.when(label.isNull(), F.lit(None).cast("boolean")).otherwise(as_text.isin("1", "true", "yes") | F.coalesce(as_text.try_cast("double") > 1, F.lit(False)) & ~as_text.isin("nan"))
+    """Null stays null; numbers and booleans are true if not 0 (NaN too), text for 1, true or yes alone."""
+    word = F.lower(F.trim(label.cast("string")))
+    number = word.try_cast("double")
+    return F.when(label.isNull(), F.lit(None).cast("boolean")).when(F.typeof(label) == "string", word.isin("1", "true", "yes")).when(F.typeof(label) == "boolean", word == "true").otherwise(number != 0)
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -101,3 +102,33 @@ def until_target(rows: DataFrame, group: str, ident: str, target: int, seed: int
 
 def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).intersect(right.select(key))
+
+
+#: Passages without three words of their own that are looked for in every text: a broadcast list of at most so many.
+MOST_SHORT = 10_000
+
+
+def contained(docs: DataFrame, key: str, passages: DataFrame, item: str) -> DataFrame:
+    """(key, item) of documents (key, text) that hold a passage (item, passage) as a substring.
+
+    Candidates share one pair of neighbouring words with the passage, found by an equi-join. Of a passage's inner pairs
+    (its first and last word may be parts of longer ones) the rarest among the documents is the key, so common pairs
+    make no hot key. Passages without an inner pair are looked for in every text: they are counted, broadcast up to
+    MOST_SHORT, and an error beyond. Empty passages and nulls are found nowhere.
+    """
+    words = F.split("text", " ")
+    pairs = lambda ws: F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    asked = passages.where("passage <> ''").withColumn("inner", F.array_distinct(F.array_compact(pairs(F.slice(F.split("passage", " "), 2, F.greatest(F.lit(0), F.size(F.split("passage", " ")) - 2))))))
+    keys = asked.select(item, F.explode("inner").alias("pair"))
+    spread = docs.select(key, F.explode(F.array_distinct(F.array_compact(pairs(words)))).alias("pair"))
+    # counted before the join: a row a pair, however many documents have it
+    seen = spread.groupBy("pair").agg(F.count("*").alias("n")).join(keys.select("pair").distinct(), "pair")
+    rarest = keys.join(seen, "pair").groupBy(item).agg(F.min_by("pair", F.struct("n", "pair")).alias("pair"), F.count("*").alias("known")).join(asked.select(item, F.size("inner").alias("inner")), item).where(F.col("known") == F.col("inner"))
+    found = spread.join(rarest.select(item, "pair"), "pair").select(key, item).distinct()
+    both = found.join(docs.select(key, "text"), key).join(asked.select(item, "passage"), item)
+    long_ = both.where(F.col("text").contains(F.col("passage"))).select(key, item)
+    short = asked.where(F.size("inner") == 0).select(item, "passage")
+    n = short.limit(MOST_SHORT + 1).count()
+    if n > MOST_SHORT:
+        raise ValueError(f"more than {MOST_SHORT} passages of under four words")
+    return long_.unionByName(docs.join(F.broadcast(short), F.col("text").contains(F.col("passage"))).select(key, item)) if n else long_

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veristra.checkpoints import ranked as numbered
 from veristra.config import SETTINGS
 
 SHARES = (25, 50, 70, 75, 90, 95, 99)
@@ -74,7 +75,7 @@ def grid(values: DataFrame, column: str, points: int, anchors: tuple[float, ...]
     if slots == 0:
         return held
     wanted = [n // 2] if slots == 1 else sorted({round(i * (n - 1) / (slots - 1)) for i in range(slots)})
-    placed = others.withColumn("place", F.row_number().over(W.orderBy("v")) - 1)
+    placed = numbered(others, [], [F.col("v")], "place")
     return placed.where(F.col("place").isin(wanted)).select("v").unionByName(held)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,9 +45,11 @@ def chunk_estimates(df: DataFrame, text: str = "text") -> DataFrame:
     """(strategy, vectors, payload_bytes) before anything is built."""
     t = F.col(text)
     s, size = X.sentence_count(t), F.octet_length(t)
+    n = lambda c: F.sum(c.cast("long"))
     each = {"atomic": (F.lit(1), size), "sentence_window": (window_estimate(s), size), "parent_child": (window_estimate(s), 2 * size), "semantic_section": (F.when(s >= 4, F.greatest(F.lit(1), F.ceil(X.split_count(t) / 180).cast("int"))).otherwise(0), size)}
-    parts = [df.where(F.length(t) > 0).agg(F.lit(k).alias("strategy"), F.sum(n.cast("long")).alias("vectors"), F.sum(b.cast("long")).alias("payload_bytes")) for k, (n, b) in each.items()]
-    return reduce(DataFrame.unionByName, parts)
+    # all strategies in one scan
+    sums = df.where(F.length(t) > 0).agg(F.array(*[F.struct(F.lit(k).alias("strategy"), n(v).alias("vectors"), n(b).alias("payload_bytes")) for k, (v, b) in each.items()]).alias("x"))
+    return sums.select(F.inline("x"))
 
 
 def scale(df: DataFrame, targets: tuple[int, ...] = (10_000, 25_000, 50_000, 100_000), dimension: int = 384) -> DataFrame:

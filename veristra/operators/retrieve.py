@@ -68,10 +68,11 @@ def dense_search(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id
 
 
 def features(texts: DataFrame, key: str, text: str = "form") -> DataFrame:
-    """(<key>, feature, n): n-grams of a matching form with their number, exact numbers counting 2 more."""
-    grams = texts.select(key, F.explode(X.char_ngrams(F.col(text))).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("n"))
-    exact = texts.select(key, F.explode(F.transform(X.numbers(F.col(text)), lambda x: F.concat(F.lit("exact:"), x))).alias("feature")).groupBy(key, "feature").agg((2 * F.count("*")).alias("n"))
-    return grams.unionByName(exact)
+    """(<key>, feature, n): n-grams of a matching form with their number, exact numbers counting 2 more. Texts are read once."""
+    t = F.col(text)
+    exact = F.transform(X.numbers(t), lambda x: F.concat(F.lit("exact:"), x))
+    weight = F.when(F.col("feature").startswith("exact:"), 2).otherwise(1)
+    return texts.select(key, F.explode(F.concat(X.char_ngrams(t), exact)).alias("feature")).groupBy(key, "feature").agg(F.sum(weight).alias("n"))
 
 
 def document_frequency(found: DataFrame) -> DataFrame:

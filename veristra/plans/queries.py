@@ -98,12 +98,21 @@ def malformed_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", reasons.alias("reasons"))
 
 
-@query()
+ESTIMATES = """m AS (SELECT CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_extract_all(text, '[.!?।॥]+')) + (trim(regexp_replace(text, '^.*[.!?।॥]+', '', 's'), ' ' || chr(9) || chr(10) || chr(13)) <> '')::INT END AS s,
+    len(regexp_extract_all(text, '\\S+')) AS w, strlen(text) AS b FROM documents WHERE length(text) > 0),
+  v AS (SELECT CASE WHEN s <= 1 THEN 1 ELSE greatest(1, ceil(greatest(0, s - 3) / 2.0) + 1) END AS windows, CASE WHEN s >= 4 THEN greatest(1, ceil(w / 180.0)) ELSE 0 END AS sections, b FROM m),
+  e AS (SELECT 'atomic' AS strategy, count(*) AS vectors, sum(b)::BIGINT AS payload_bytes FROM v UNION ALL SELECT 'sentence_window', sum(windows)::BIGINT, sum(b)::BIGINT FROM v
+    UNION ALL SELECT 'parent_child', sum(windows)::BIGINT, sum(2 * b)::BIGINT FROM v UNION ALL SELECT 'semantic_section', sum(sections)::BIGINT, sum(b)::BIGINT FROM v)"""
+
+
+@query("WITH " + ESTIMATES + " SELECT * FROM e")
 def chunk_estimates(spark: SparkSession, d: str) -> DataFrame:
     return profile.chunk_estimates(table(spark, d, "documents"))
 
 
-@query()
+@query("WITH " + ESTIMATES + """, t AS (SELECT sum(vectors) AS v, sum(payload_bytes) AS p, (SELECT count(DISTINCT text) FROM documents) AS u FROM e),
+  g AS (SELECT target, round_even(v / u * target, 0)::BIGINT AS vectors, round_even(p / u * target, 0)::BIGINT AS payload_bytes FROM t, (SELECT unnest([10000, 25000, 50000, 100000]) AS target))
+SELECT target, vectors, vectors * 384 * 4 AS dense_bytes, vectors * 2048 AS sparse_bytes, payload_bytes, round_even(vectors * 384 * 4 * 1.35::DOUBLE, 0)::BIGINT + vectors * 2048 + payload_bytes AS store_bytes, vectors / 25.0::DOUBLE AS embedding_seconds, vectors / 1000.0::DOUBLE AS upsert_seconds FROM g""")
 def scale_estimates(spark: SparkSession, d: str) -> DataFrame:
     return profile.scale(table(spark, d, "documents"))
 
@@ -119,18 +128,9 @@ def canonical_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT b.item_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def leak_overlap_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a benchmark passage: candidates share the passage's second and third words, found by an equi-join."""
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    wanted = items.select("item_id", F.col("text").alias("passage"), F.regexp_count("text", F.lit(" ")).alias("spaces"))
-    tokens = F.split("text", " ")
-    # a passage may begin inside a token, so its first is left out of the key
-    pairs = F.zip_with(tokens, F.slice(tokens, 2, F.size(tokens)), lambda a, b: F.xxhash64(a, b))
-    spread = docs.select("doc_id", F.explode(F.array_distinct(pairs)).alias("key"))
-    own = F.split("passage", " ")
-    asked = wanted.where("spaces >= 3").withColumn("key", F.xxhash64(F.element_at(own, 2), F.element_at(own, 3)))
-    found = spread.select("doc_id", "key").join(asked.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    both = found.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("passage")), "item_id")
-    return both.where(F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    """Documents that hold a benchmark passage, of any length."""
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark")
+    return corpus.contained(docs, "doc_id", items.select("item_id", F.col("text").alias("passage")), "item_id").groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT doc_id, CASE WHEN ('0x' || substr(sha256('sha256' || chr(0) || '2026' || chr(0) || sha256(""" + MATCHING.format("text") + """)), 1, 13))::BIGINT / 4503599627370496.0 < 0.2 THEN 'development' ELSE 'final' END AS split FROM documents""")
@@ -146,9 +146,13 @@ def sample_until_target(spark: SparkSession, d: str) -> DataFrame:
     return corpus.until_target(table(spark, d, "documents"), "source", "doc_id", 300).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN toxic IS NULL THEN NULL ELSE toxic <> 0 END AS label FROM labels")
+@query("""SELECT doc_id, CASE WHEN toxic IS NULL THEN NULL ELSE toxic <> 0 END AS label, (doc_id % 4 - 1.5) / 1.5 + (doc_id % 3) * 0.5 <> 0 AS of_double,
+  ['1', '2', 'Yes', ' true ', '1.5', 'no'][doc_id % 6 + 1] IN ('1', 'Yes', ' true ') AS of_text FROM labels""")
 def label_three_valued(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "labels").select("doc_id", corpus.three_valued(F.col("toxic")).alias("label"))
+    """Of integers, of doubles (fractions and negative ones too) and of text."""
+    double = (F.col("doc_id") % 4 - 1.5) / 1.5 + (F.col("doc_id") % 3) * 0.5
+    text = F.element_at(F.array(*[F.lit(x) for x in ("1", "2", "Yes", " true ", "1.5", "no")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, d, "labels").select("doc_id", *[corpus.three_valued(c).alias(n) for n, c in (("label", F.col("toxic")), ("of_double", double), ("of_text", text))])
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -259,7 +263,21 @@ def _sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
     return cut_lineage(retrieve.sparse_search(asked, postings, k, "id"))
 
 
-@query()
+SPARSE = "WITH " + GRAMS + """, total AS (SELECT count(*) AS n FROM conversations),
+  raw AS (SELECT id, feature, (1 + ln(counts.n)) * (ln((total.n + 1) / (df + 1)) + 1) AS raw FROM counts JOIN df USING (feature), total),
+  posting AS (SELECT id, feature, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM raw),
+  qforms AS (SELECT item_id AS id, ' ' || """ + MATCHING.format("text") + """ || ' ' AS f FROM benchmark),
+  qgrams AS (SELECT id, 'c' || n || ':' || substr(f, i::INT, n::INT) AS feature, 1 AS w FROM qforms, unnest([3, 4, 5]) AS s(n), unnest(range(1, length(f) - n + 2)) AS p(i) WHERE trim(substr(f, i::INT, n::INT)) <> ''
+    UNION ALL SELECT id, 'exact:' || unnest(regexp_extract_all(f, '\\b[0-9]+\\b')), 2 FROM qforms),
+  qcounts AS (SELECT id, feature, sum(w) AS n FROM qgrams GROUP BY ALL),
+  qraw AS (SELECT id, feature, (1 + ln(qcounts.n)) * (ln((total.n + 1) / (coalesce(df, 0) + 1)) + 1) AS raw FROM qcounts LEFT JOIN df USING (feature), total),
+  asked AS (SELECT id AS query_id, feature, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS asked FROM qraw),
+  scored AS (SELECT query_id, id, sum(weight * asked) AS score FROM posting JOIN asked USING (feature) GROUP BY ALL),
+  sranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored WHERE score > 0)
+"""
+
+
+@query(SPARSE + "SELECT query_id, rank::INT AS rank, id FROM sranked WHERE rank <= 10")
 def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark passages against all conversation turns by TF-IDF of character n-grams."""
     return _sparse(spark, d, 10).select("query_id", "rank", "id")
@@ -344,7 +362,8 @@ def weighted_ablation(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- language, routing, gates
 
 
-@query()
+@query("""SELECT conv_id, turn, CASE WHEN a AND b THEN 'hi-en' WHEN a THEN 'en' WHEN b THEN 'hi' ELSE 'unknown' END AS language, CASE WHEN a AND b THEN NULL WHEN a THEN 'Latin' WHEN b THEN 'Devanagari' ELSE '' END AS scripts, a AND b AS code_mixed,
+  CASE WHEN NOT a AND NOT b THEN 'fallback' WHEN b AND NOT a THEN 'script_fallback' ELSE 'script' END AS source FROM (SELECT *, regexp_matches(text, '[A-Za-z]') AS a, regexp_matches(text, '[\u0900-\u097F]') AS b FROM conversations)""")
 def language_analysis(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select("conv_id", "turn", L.analyze(F.col("text")).alias("a"))
     return turns.select("conv_id", "turn", "a.language", F.array_join("a.scripts", ",").alias("scripts"), "a.code_mixed", "a.source")
@@ -382,11 +401,14 @@ def answerability(spark: SparkSession, d: str) -> DataFrame:
     return s.select("query_id", gates.answerability(F.col("top"), F.col("margin"), F.col("n")).isNotNull().alias("refused"))
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split(""" + MATCHING.format("text") + """, ' '), lambda x: x <> '') AS w, list_distinct(regexp_extract_all(""" + MATCHING.format("text") + """, '[0-9]+')) AS n FROM conversations),
+  c AS (SELECT *, len(list_distinct(list_filter(w, lambda x: NOT list_contains(['""" + "', '".join([*gates.EMPTY_WORDS, *gates.NEGATIONS]) + """'], x)))) AS content, list_has_any(w, ['""" + "', '".join(gates.NEGATIONS) + """']) AS negated FROM t)
+SELECT id AS query_id, id * 2 AS left_id, id * 2 + 1 AS right_id, CASE WHEN NOT negated THEN 'opposite_negation' ELSE 'incompatible_numbers' END AS conflict FROM c WHERE content >= 2 AND NOT negated""")
 def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Conflicts among the top five turns that each benchmark passage finds."""
-    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("parent_id"), "text")
-    hits = _sparse(spark, d, 5).join(turns, "id").withColumnRenamed("id", "chunk_id")
+    """Each turn beside its own denial, from another parent."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    side = lambda rank, text: turns.select("query_id", F.lit(rank).alias("rank"), (F.col("query_id") * 2 + (rank - 1)).alias("chunk_id"), F.lit(f"p{rank}").alias("parent_id"), text.alias("text"))
+    hits = side(1, F.col("text")).unionByName(side(2, F.concat("text", F.lit(" never"))))
     return gates.conflicts(hits).select("query_id", "left_id", "right_id", "conflict")
 
 
@@ -517,27 +539,51 @@ def threshold_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Best of all threshold triples: a query counts as answerable if its nearest row has its label."""
     hits = _dense(spark, d, 10).withColumn("dense_score", F.col("score"))
     s = gates.evidence_scores(hits).join(hits.where("rank = 1").select("query_id", F.col("is_relevant").alias("answerable")), "query_id").withColumn("agreement", F.lit(0.0))
-    grids = [evaluate.grid(s, "top", 12, (0.0,)), evaluate.grid(s, "margin", 12, (0.0,)), evaluate.grid(s, "agreement", 4, (0.0,))]
+    near = retrieve.agreement(*[_branches(spark, d).withColumn("parent_id", F.floor(F.col("vec_id") / 10)).where(F.col("source") == x) for x in ("dense", "sparse")])
+    s = cut_lineage(s.drop("agreement").join(near, "query_id"))
+    grids = [evaluate.grid(s, "top", 16, (-1.0,)), evaluate.grid(s, "margin", 16, (0.0,)), evaluate.grid(s, "agreement", 16, (0.0, 1.0))]
     return _rounded(evaluate.calibrate(s, *grids).limit(1), *RATES, "min_score", "min_margin")
 
 
-@query("""WITH c AS (SELECT source, count(*) AS document_count, avg(n_chars) AS recall_10 FROM documents WHERE lang = 'en' GROUP BY source), s AS (SELECT row_number() OVER (ORDER BY source) * 1000 AS document_count, round(recall_10, 6) AS recall_10 FROM c)
-SELECT document_count, round(recall_10 - lag(recall_10) OVER (ORDER BY document_count), 6) AS gain FROM s""")
+SIZES = (4, 3, 2, 1)
+
+
+@query("WITH " + RANKED.replace("FROM embeddings q JOIN embeddings c", "FROM (SELECT unnest([4, 3, 2, 1]) AS part) JOIN embeddings q ON true JOIN embeddings c").replace("AS score", "AS score, part").replace("WHERE q.vec_id % 20 = 0", "WHERE q.vec_id % 20 = 0 AND c.vec_id % part = 0").replace("PARTITION BY query_id", "PARTITION BY part, query_id") + """,
+rel AS (SELECT part, q.vec_id AS query_id, count(*) AS n FROM (SELECT unnest([4, 3, 2, 1]) AS part) JOIN embeddings q ON true JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id AND c.vec_id % part = 0 WHERE q.vec_id % 20 = 0 GROUP BY ALL),
+hit AS (SELECT part, query_id, count(*) FILTER (ql = cl) AS h FROM ranked WHERE rank <= 10 GROUP BY ALL),
+r AS (SELECT (SELECT count(*) FROM embeddings WHERE vec_id % part = 0) AS document_count, avg(coalesce(h, 0) / n) AS recall_10 FROM rel LEFT JOIN hit USING (part, query_id) GROUP BY part)
+SELECT document_count, round(recall_10, 6) AS recall_10, round(recall_10 - lag(recall_10) OVER (ORDER BY document_count), 6) AS gain FROM r""")
 def corpus_size_marginals(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "documents").where("lang = 'en'").groupBy("source").agg(F.avg("n_chars").alias("r"))
-    reports = c.select((F.row_number().over(W.orderBy("source")) * 1000).cast("long").alias("document_count"), F.round("r", 6).alias("recall_10"))
-    return evaluate.marginal_gains(reports).select("document_count", F.round("gain", 6).alias("gain"))
+    """Recall at ten of the same queries over a quarter, a third, half and all of the rows, and what each step gains."""
+    rows = table(spark, d, "embeddings")
+    reports = None
+    for part in SIZES:
+        held = rows.where(F.col("vec_id") % part == 0)
+        ranked = retrieve.dense_search(rows.where(F.col("vec_id") % 20 == 0), held, 10).select("query_id", "rank", F.col("vec_id").alias("doc_id"))
+        asked = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "label")
+        relevant = asked.join(held.select(F.col("vec_id").alias("doc_id"), "label"), "label").where("query_id <> doc_id").select("query_id", "doc_id")
+        known = asked.select("query_id").join(relevant.select("query_id").distinct(), "query_id", "left_semi")
+        one = evaluate.macro(evaluate.per_query(ranked, relevant, known)).select("recall_10").join(held.agg(F.count("*").alias("document_count")), F.lit(True))
+        reports = one if reports is None else reports.unionByName(one)
+    return evaluate.marginal_gains(reports).select("document_count", F.round("recall_10", 6).alias("recall_10"), F.round("gain", 6).alias("gain"))
 
 
 # ---------------------------------------------------------------- sessions
 
 
 
-@query()
+@query("""WITH p AS (SELECT conv_id, turn * 3 + k AS i, CASE k WHEN 2 THEN text ELSE substr(text, 1, 24) END AS text, trim(regexp_replace(regexp_replace(replace(lower(CASE k WHEN 2 THEN text ELSE substr(text, 1, 24) END), 'ß', 'ss'), '[^\\p{L}\\p{N}\\p{M}]', ' ', 'g'), ' +', ' ', 'g')) AS form
+    FROM conversations, (SELECT unnest([0, 1, 2]) AS k)),
+  n AS (SELECT *, CASE WHEN form = lag(form) OVER w THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY i) AS run FROM n), second AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY i) AS place FROM g),
+  e AS (SELECT * FROM second WHERE place = 2 AND length(form) >= 3), d AS (SELECT *, lag(form) OVER (PARTITION BY conv_id ORDER BY i) AS last FROM e)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS generation, i * 100000000 AS accepted_ns, 2::BIGINT AS events FROM d WHERE last IS DISTINCT FROM form""")
 def stable_partials(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of a conversation as partials 100 ms apart."""
-    turns = table(spark, d, "conversations").select("conv_id", (F.col("turn") * 100_000_000).alias("at_ns"), "text", X.plain_transcript(F.col("text")).alias("form"))
-    return sessions.batch(turns, sessions.stability, "conv_id", ["at_ns"], "conv_id long, generation long, text string, accepted_ns long, events long").select("conv_id", "generation", "accepted_ns", "events")
+    """Each turn as partials 100 ms apart: its first 24 characters twice, then the whole."""
+    turns = table(spark, d, "conversations").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    said = F.when(F.col("k") == 2, F.col("text")).otherwise(F.substring("text", 1, 24))
+    partials = turns.select("conv_id", ((F.col("turn") * 3 + F.col("k")) * 100_000_000).alias("at_ns"), said.alias("text"), X.plain_transcript(said).alias("form"))
+    return sessions.batch(partials, sessions.stability, "conv_id", ["at_ns"], "conv_id long, generation long, text string, accepted_ns long, events long").select("conv_id", "generation", "accepted_ns", "events")
 
 
 @query()
@@ -560,7 +606,8 @@ def tumbling_latency(spark: SparkSession, d: str) -> DataFrame:
     return sessions.rolling_latency(table(spark, d, "events")).select(F.unix_micros("start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("""WITH l AS (SELECT *, lag(put) OVER w AS held, lag(at_s) OVER w AS since FROM (SELECT user_id, put, floor(epoch(ts))::BIGINT AS at_s, event_id FROM (SELECT user_id, event_type = 'view' AS put, ts, event_id FROM events WHERE event_type IN ('view', 'click'))) WINDOW w AS (PARTITION BY user_id ORDER BY at_s, event_id))
+SELECT user_id, count(*) AS tries, count(*) FILTER (coalesce(held, false) AND at_s - since < 60) AS redeemed FROM l WHERE NOT put GROUP BY user_id""")
 def ttl_first_use(spark: SparkSession, d: str) -> DataFrame:
     """View events put a token of their user, click events take it."""
     e = table(spark, d, "events").where(F.col("event_type").isin("view", "click"))
@@ -568,7 +615,11 @@ def ttl_first_use(spark: SparkSession, d: str) -> DataFrame:
     return sessions.batch(acts, sessions.one_use, "user_id", ["at_s", "event_id"], "user_id long, token string, redeemed boolean").groupBy("user_id").agg(F.count("*").alias("tries"), F.count_if("redeemed").alias("redeemed"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id, event_type <> 'error' AS ok, floor(epoch(ts)) AS at_s, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS i FROM events),
+  r AS (SELECT user_id, 0::BIGINT AS i, 'closed' AS state, 0 AS fails, 0::DOUBLE AS opened, false AS refused FROM (SELECT DISTINCT user_id FROM events)
+    UNION ALL SELECT user_id, i, CASE WHEN refused THEN 'open' WHEN ok THEN 'closed' WHEN half OR fails + 1 >= 3 THEN 'open' ELSE 'closed' END, CASE WHEN refused THEN fails WHEN ok THEN 0 ELSE fails + 1 END, CASE WHEN NOT refused AND NOT ok AND (half OR fails + 1 >= 3) THEN at_s ELSE opened END, refused
+    FROM (SELECT r.user_id, c.i, c.ok, c.at_s, r.fails, r.opened, r.state = 'open' AND c.at_s - r.opened < 10 AS refused, r.state = 'open' AS half FROM r JOIN c ON c.user_id = r.user_id AND c.i = r.i + 1))
+SELECT user_id, count(*) FILTER (state = 'open') AS open, count(*) FILTER (refused) AS refused FROM r WHERE i > 0 GROUP BY user_id""")
 def breaker_trips(spark: SparkSession, d: str) -> DataFrame:
     """Error events as failed calls of their user's dependency."""
     calls = table(spark, d, "events").select("user_id", "event_id", (F.col("event_type") != "error").alias("ok"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at_s"))
@@ -576,9 +627,10 @@ def breaker_trips(spark: SparkSession, d: str) -> DataFrame:
     return states.groupBy("user_id").agg(F.count_if(F.col("state") == "open").alias("open"), F.count_if("refused").alias("refused"))
 
 
-@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) + 1, 0) AS due FROM conversations) WHERE turn <> due")
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) + 1, 0) AS due FROM events) WHERE event_id <> due")
 def sequence_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return latency.sequence_gaps(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn")
+    """Events of a user that don't follow the one before."""
+    return latency.sequence_gaps(table(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id")
 
 
 @query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 100")
@@ -614,6 +666,8 @@ def revenue_by_region(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("r_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def customers_without_orders(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without a large order."""
+    large = table(spark, d, "orders").where("o_totalprice > 300000")
+    return table(spark, d, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
