@@ -14,12 +14,12 @@ rules are doubtful about can go without any bad vote.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veristra.functions.text import let
 from veristra.llm.common import WHITE, WORD, cut_lineage, fresh
 
 WINDOW = 8
@@ -37,11 +37,6 @@ START = (0.02, 0.3, 0.95)
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_exclaims", "n_stutters", "n_signs", "n_tails", "n_distinct"]
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with value computed once: a lambda's argument is bound, an expression would be repeated."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _repeated_words(ws: Column) -> Column:
     """Words in windows of 8 words that occur twice or more in the text. Windows are compared by 64-bit hash."""
 
