@@ -99,8 +99,8 @@ def provenance(source: DataFrame, development: DataFrame, final: DataFrame, key:
     tag = lambda df, d, f, s: df.select(F.col(key).alias("id"), evaluate.content_group(F.col(text)).alias("content"), F.lit(d).alias("d"), F.lit(f).alias("f"), F.lit(s).alias("s"))
     rows = tag(development, 1, 0, 0).unionByName(tag(final, 0, 1, 0)).unionByName(tag(source, 0, 0, 1))
     sums = [F.sum(c).alias(c) for c in "dfs"]
-    ids = rows.groupBy("id").agg(*sums).agg(F.count_if("d > 0 and f > 0").alias("shared_ids"), F.count_if("(d + f > 0) <> (s > 0)").alias("uncovered"), F.count_if("d > 1 or f > 1").alias("repeated"), F.sum("d").alias("dn"), F.sum("f").alias("fn"))
-    contents = rows.groupBy("content").agg(*sums).agg(F.count_if("d > 0 and f > 0").alias("shared_contents"))
+    ids = rows.groupBy("id").agg(*sums).agg(F.count_if(F.expr("d > 0 and f > 0")).alias("shared_ids"), F.count_if(F.expr("(d + f > 0) <> (s > 0)")).alias("uncovered"), F.count_if(F.expr("d > 1 or f > 1")).alias("repeated"), F.sum("d").alias("dn"), F.sum("f").alias("fn"))
+    contents = rows.groupBy("content").agg(*sums).agg(F.count_if(F.expr("d > 0 and f > 0")).alias("shared_contents"))
     checks = {"development_not_empty": "dn > 0", "final_not_empty": "fn > 0", "ids_disjoint": "shared_ids = 0", "contents_disjoint": "shared_contents = 0", "source_covered": "uncovered = 0", "ids_unique": "repeated = 0"}
     one = ids.join(contents, F.lit(True)).select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(F.expr(c), F.lit(False)).alias("passed")) for n, c in checks.items()])).alias("c"))
     return one.select("c.*")
