@@ -16,9 +16,18 @@ WORD = f"[^{WHITE}]+"
 FEW = 500_000
 
 
+#: Rows that a Python worker gets at once. Texts can be long, and a batch is held on both sides.
+BATCH_ROWS = 1000
+
+
+def thrifty(spark: SparkSession) -> SparkSession:
+    steady(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the folder that the cluster shares; lost executors then cost no recomputation."""
-    spark = steady(df.sparkSession)
+    spark = thrifty(df.sparkSession)
     done = checkpoints.cut_lineage(df)
     # shuffles that only the cut lineage held are deleted once the driver has collected its objects
     spark.sparkContext._jvm.System.gc()
@@ -47,7 +56,7 @@ def small(df: DataFrame, most: int = FEW) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return table(spark, sf_dir, name)
+    return table(thrifty(spark), sf_dir, name)
 
 
 __all__ = ["FEW", "WHITE", "WORD", "cut_lineage", "forget", "fresh", "ranked", "read", "small", "word_count"]

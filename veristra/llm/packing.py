@@ -33,8 +33,8 @@ END = 2
 PIECE_MOST = 512
 #: Pieces of rests a batch.
 BATCH = 2048
-#: Words that a worker keeps.
-CACHE = 1_500_000
+#: Words and parts of words that a worker keeps, of some 200 bytes each.
+CACHE = 600_000
 SPECIALS = "<|"
 
 
@@ -172,7 +172,7 @@ class WordEncoder:
         whole = [i for i, t in enumerate(texts) if t and (SPECIALS in t or self.parted.search(t))]
         for i in whole:
             split[i] = []
-        if len(self.words) > CACHE:
+        if len(self.words) + len(self.parts) > CACHE:
             self.words.clear()
             self.parts.clear()
         known = self.words

@@ -36,7 +36,7 @@ RATE, FACTOR_RATE, L1, L2 = 0.7, 0.1, 1.0, 0.02
 THRESHOLD = 0.7
 SEED = 11
 #: Words whose terms a worker keeps.
-CACHE = 500_000
+CACHE = 200_000
 
 _letters = re.compile(r"[^\W\d_]+")
 
