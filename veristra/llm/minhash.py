@@ -28,7 +28,7 @@ from veristra.llm.wordhash import chunks, mix, window_hashes, word_hashes
 
 BANDS, ROWS = 32, 5
 SEED = 20_26
-BLOCK = 512
+BLOCK = 256
 #: Pairs whose signatures agree in less than the threshold less this share are not confirmed: 5 deviations of 160 minima at
 #: 0.8, which a pair at the threshold falls short of with a probability of 2e-6 (of 160 at 0.8, 102 or fewer agree).
 SLACK = 0.16
