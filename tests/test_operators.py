@@ -2,7 +2,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from veristra.operators import answer, chunking, corpus, evaluate, gates, latency, profile, retrieve
+from veristra.functions import text as X
+from veristra.operators import answer, chunking, corpus, evaluate, gates, latency, profile, records, reports, retrieve
 from veristra.streaming import sessions
 
 
@@ -108,3 +109,36 @@ def test_stream_equals_batch(spark, tmp_path):
     q = live.writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("live").count() == sessions.batch(df, sessions.stability, "s", ["at_ns"], out).count() == 3
+
+
+def test_three_valued(spark):
+    df = spark.createDataFrame([(1.0, "1", 2, True), (0.5, "2", 0, False), (-1.0, " YES ", 1, None), (0.0, "1.5", None, True), (None, None, 1, True)], "d double, t string, i int, b boolean")
+    got = [tuple(r) for r in df.select(*[corpus.three_valued(F.col(c)) for c in "dtib"]).collect()]
+    assert got == [(True, True, True, True), (True, False, False, False), (True, True, True, None), (False, False, None, True), (None, None, True, True)]
+
+
+def test_contained_passages_of_any_length(spark):
+    texts = ["a red fox ran over the hill", "the red fox", "redder foxes", "", None, "one two three four five six", "xone two three four fivey"]
+    passages = ["red", "red fox", "e", "one two three four five", "two three", "hill", "", None, "never seen words here at all", "fox ran over the h"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string")
+    got = {(r.doc_id, r.item_id) for r in corpus.contained(docs, "doc_id", items, "item_id").collect()}
+    assert got == {(i, j) for i, t in enumerate(texts) for j, p in enumerate(passages) if t and p and p in t}
+
+
+def test_records(spark):
+    df = spark.createDataFrame([(1, "a", "A"), (1, " ", None)], "Id int, Text string, label string")
+    assert [r.x for r in df.select(records.resolve(df, "body", "text").alias("x")).collect()] == ["a", " "]
+    assert [sorted(r.faults) for r in records.corpus_faults(df, "Id", "Text", ("Id", "Text"), tuple(corpus.EVALUATION_KEYS)).collect()] in ([["evaluation_field:label", "repeated_key"], ["no_text", "repeated_key"]], [["no_text", "repeated_key"], ["evaluation_field:label", "repeated_key"]])
+    part = spark.createDataFrame([(1,), (2,)], "k int")
+    assert tuple(records.covers(part, [part.where("k = 1"), part], "k").first()) == (2, 3, True, False)
+    assert reports.differences(part.limit(1), part.limit(1)).first().fault is None
+    assert reports.speculation(spark.createDataFrame([], "timings_ms map<string,double>")).first().qualified is False
+
+
+def test_ngrams(spark):
+    forms = ["ab", "a b", "", "xyz", "日本語 x"]
+    got = [sorted(r.g) for r in spark.createDataFrame([(f,) for f in forms], "f string").select(X.char_ngrams(F.col("f")).alias("g")).collect()]
+    for f, g in zip(forms, got, strict=True):
+        p = f" {f} "
+        assert g == sorted(f"c{n}:{p[i : i + n]}" for n in (3, 4, 5) for i in range(len(p) - n + 1) if p[i : i + n].strip())
