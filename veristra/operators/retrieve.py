@@ -52,7 +52,8 @@ def dense_search(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id
             (ids, found), (asked_ids, vectors) = matrix(left.sort_by("id")), matrix(right)
             for low in range(0, len(asked_ids), 128):
                 scores = vectors[low : low + 128] @ found.T
-                for q, row in zip(asked_ids[low : low + 128], scores, strict=True):
+                # matrix products may round equal scores apart: ties are settled by key, so by 12 digits
+                for q, row in zip(asked_ids[low : low + 128], np.round(scores, 12), strict=True):
                     if not same:
                         row = np.where(ids == q, -np.inf, row)
                     at = np.flatnonzero(row >= np.partition(row, -k)[-k] - 1e-12) if len(row) > k else np.arange(len(row))

@@ -213,15 +213,6 @@ def adjacent_similarity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").withColumn("next", F.lead("embedding").over(w)).select("label", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("next")), 6).alias("similarity"))
 
 
-@query()
-def hash_encoder_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Turns and items under a deterministic encoder: benchmark passages against all conversation turns."""
-    encode = lambda df, i, t: df.select(i.alias("vec_id"), V.hashed_embedding(X.word_tokens(t)).alias("embedding"))
-    turns = encode(table(spark, d, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), F.col("text"))
-    items = encode(table(spark, d, "benchmark"), F.col("item_id"), F.col("text"))
-    return retrieve.dense_search(items, turns, 5, same=True).select("query_id", "rank", F.col("vec_id").alias("turn_id"))
-
-
 # ---------------------------------------------------------------- sparse
 
 GRAMS = """forms AS (SELECT conv_id * 1000 + turn AS id, ' ' || """ + MATCHING.format("text") + """ || ' ' AS f FROM conversations),
@@ -292,21 +283,42 @@ def sparse_hashed_features(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- fusion
 
-BRANCHES = RANKED + """,
-  plain AS (SELECT q.vec_id AS query_id, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding[1:32]::DOUBLE[], c.embedding[1:32]::DOUBLE[]) DESC, c.vec_id) AS rank
-    FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-  both_ AS (SELECT query_id, vec_id, 'dense' AS source, rank, 0.65::DOUBLE AS weight FROM ranked WHERE rank <= 24 UNION ALL SELECT query_id, vec_id, 'sparse', rank, 0.35::DOUBLE FROM plain WHERE rank <= 24),
+_TOKENS = "regexp_extract_all(" + FOLD.format("text") + ", '[\\p{L}\\p{M}\\p{N}]+')"
+HASHED = """htok AS (SELECT 0 AS side, conv_id * 1000 + turn AS id, unnest(""" + _TOKENS + """) AS t FROM conversations UNION ALL SELECT 1, item_id, unnest(""" + _TOKENS + """) FROM benchmark),
+  hword AS (SELECT t, ('0x' || substr(sha256(t), 1, 8))::BIGINT % 64 AS k, CASE WHEN ('0x' || substr(sha256(t), 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END AS s FROM (SELECT DISTINCT t FROM htok)),
+  hcomp AS (SELECT side, id, k, sum(s)::DOUBLE AS v FROM htok JOIN hword USING (t) GROUP BY ALL), hnorm AS (SELECT side, id, sqrt(sum(v * v)) AS size FROM hcomp GROUP BY ALL),
+  hdot AS (SELECT q.id AS query_id, c.id, sum(q.v * c.v) AS dot FROM hcomp q JOIN hcomp c ON q.k = c.k WHERE q.side = 1 AND c.side = 0 GROUP BY ALL),
+  hscore AS (SELECT query_id, hdot.id, dot / (a.size * b.size) AS score FROM hdot JOIN hnorm a ON a.side = 1 AND a.id = query_id JOIN hnorm b ON b.side = 0 AND b.id = hdot.id WHERE a.size > 0 AND b.size > 0),
+  hranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM hscore)
+"""
+BRANCHES = SPARSE.removeprefix("WITH ") + ", " + HASHED + """,
+  both_ AS (SELECT query_id, id AS vec_id, 'dense' AS source, rank, 0.65::DOUBLE AS weight FROM hranked WHERE rank <= 24 UNION ALL SELECT query_id, id, 'sparse', rank, 0.35::DOUBLE FROM sranked WHERE rank <= 24),
   fused AS (SELECT query_id, vec_id, sum(weight / (60 + rank)) / (1.0 / 61) AS score FROM both_ GROUP BY ALL)
 """
+AGREEMENT = """, a AS (SELECT query_id, vec_id // 1000 AS p, min(rank) AS r FROM both_ WHERE source = 'dense' AND rank <= 10 GROUP BY ALL), b AS (SELECT query_id, vec_id // 1000 AS p, min(rank) AS r FROM both_ WHERE source = 'sparse' AND rank <= 10 GROUP BY ALL),
+j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, a.r AS ar, b.r AS br FROM a FULL JOIN b ON a.query_id = b.query_id AND a.p = b.p),
+near AS (SELECT query_id, round(CASE WHEN count(*) FILTER (ar IS NOT NULL AND br IS NOT NULL) = 0 THEN 0 ELSE 0.5 * count(*) FILTER (ar IS NOT NULL AND br IS NOT NULL) / count(*) + 0.5 * avg(1 - abs(ar - br) / 9.0) END, 9)::DOUBLE AS agreement FROM j GROUP BY query_id)"""
+
+
+def _hashed(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """Benchmark passages against all conversation turns by the deterministic encoder."""
+    encode = lambda df, i, t: df.select(i.alias("vec_id"), V.hashed_embedding(X.word_tokens(t)).alias("embedding"))
+    turns = encode(table(spark, d, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), F.col("text"))
+    return retrieve.dense_search(encode(table(spark, d, "benchmark"), F.col("item_id"), F.col("text")), turns, k, same=True)
 
 
 def _branches(spark: SparkSession, d: str) -> DataFrame:
-    """Two rankings of the query set: by the whole vectors, and by their first half as a second branch."""
-    rows = table(spark, d, "embeddings")
-    rank = lambda df, name, weight: retrieve.dense_search(df.where(F.col("vec_id") % 20 == 0), df, 24).select("query_id", "vec_id", F.lit(name).alias("source"), "rank", F.lit(weight).alias("weight"), "score")
-    dense = rank(rows, "dense", 0.65)
-    other = rank(rows.withColumn("embedding", F.slice("embedding", 1, 32)), "sparse", 0.35)
-    return dense.unionByName(other)
+    """Both rankings of turns for each benchmark passage: by the encoder, and by n-grams. A turn's parent is its conversation."""
+    dense = _hashed(spark, d, 24).select("query_id", "vec_id", F.lit("dense").alias("source"), "rank", F.lit(0.65).alias("weight"), "score")
+    other = _sparse(spark, d, 24).select("query_id", F.col("id").alias("vec_id"), F.lit("sparse").alias("source"), "rank", F.lit(0.35).alias("weight"), "score")
+    return cut_lineage(dense.unionByName(other))
+
+
+def _shares_word(spark: SparkSession, d: str) -> DataFrame:
+    """Long words of passages and of turns, by which a turn counts as relevant if they share one: (kind, id, words)."""
+    long_ = lambda c: F.array_distinct(F.filter(X.word_tokens(c), lambda t: F.length(t) >= 6))
+    turns = table(spark, d, "conversations").select(F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), long_(F.col("text")).alias("words"))
+    return turns.unionByName(table(spark, d, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), long_(F.col("text")).alias("words")))
 
 
 @query("WITH " + BRANCHES + "SELECT query_id, vec_id, round(score, 9) AS score FROM fused")
@@ -314,39 +326,48 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.fuse(_branches(spark, d), key="vec_id").select("query_id", "vec_id", F.round("score", 9).alias("score"))
 
 
-@query("WITH " + BRANCHES + """, p AS (SELECT *, row_number() OVER (PARTITION BY query_id, vec_id // 10 ORDER BY round(score, 12) DESC, vec_id) AS n FROM fused)
-SELECT query_id, vec_id // 10 AS parent_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id))::INT AS rank FROM p WHERE n = 1 QUALIFY rank <= 10""")
+@query("WITH " + BRANCHES + """, p AS (SELECT *, row_number() OVER (PARTITION BY query_id, vec_id // 1000 ORDER BY round(score, 12) DESC, vec_id) AS n FROM fused)
+SELECT query_id, vec_id // 1000 AS parent_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id))::INT AS rank FROM p WHERE n = 1 QUALIFY rank <= 10""")
 def parent_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Ten neighbouring ids share a parent; its best hit stays."""
-    fused = retrieve.fuse(_branches(spark, d), key="vec_id").withColumn("parent_id", F.floor(F.col("vec_id") / 10))
+    """Turns of one conversation share a parent; its best hit stays."""
+    fused = retrieve.fuse(_branches(spark, d), key="vec_id").withColumn("parent_id", F.floor(F.col("vec_id") / 1000))
     return retrieve.one_per_parent(fused, 10, F.round("score", 12).desc(), F.col("vec_id")).select("query_id", "parent_id", "vec_id", "rank")
 
 
-@query("WITH " + BRANCHES + """, a AS (SELECT query_id, vec_id // 10 AS p, min(rank) AS r FROM both_ WHERE source = 'dense' AND rank <= 10 GROUP BY ALL), b AS (SELECT query_id, vec_id // 10 AS p, min(rank) AS r FROM both_ WHERE source = 'sparse' AND rank <= 10 GROUP BY ALL),
-j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, a.r AS ar, b.r AS br FROM a FULL JOIN b ON a.query_id = b.query_id AND a.p = b.p)
-SELECT query_id, round(CASE WHEN count(*) FILTER (ar IS NOT NULL AND br IS NOT NULL) = 0 THEN 0 ELSE 0.5 * count(*) FILTER (ar IS NOT NULL AND br IS NOT NULL) / count(*) + 0.5 * avg(1 - abs(ar - br) / 9.0) END, 9)::DOUBLE AS agreement FROM j GROUP BY query_id""")
+@query("WITH " + BRANCHES + AGREEMENT + " SELECT * FROM near")
 def evidence_agreement(spark: SparkSession, d: str) -> DataFrame:
-    both = _branches(spark, d).withColumn("parent_id", F.floor(F.col("vec_id") / 10))
+    both = _branches(spark, d).withColumn("parent_id", F.floor(F.col("vec_id") / 1000))
     near = retrieve.agreement(both.where("source = 'dense'"), both.where("source = 'sparse'"))
     return near.select("query_id", F.round("agreement", 9).alias("agreement"))
 
 
-@query()
+@query("WITH " + HASHED + "SELECT query_id, rank::INT AS rank, id AS turn_id FROM hranked WHERE rank <= 5")
+def hash_encoder_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Turns and items under a deterministic encoder: benchmark passages against all conversation turns."""
+    return _hashed(spark, d, 5).select("query_id", "rank", F.col("vec_id").alias("turn_id"))
+
+
+@query(r"""WITH """ + BRANCHES + AGREEMENT + r""", t AS (SELECT item_id AS query_id, """ + _TOKENS + r""" AS w FROM benchmark),
+k AS (SELECT query_id, CASE WHEN len(w) <= 8 AND (list_has_any(w, ['what','when','where','who','which']) OR regexp_matches(array_to_string(w, ' '), '[0-9]')) THEN 0.45 WHEN list_has_any(w, ['why','how','explain','describe']) THEN 0.75 ELSE 0.65 END::DOUBLE AS dw FROM t),
+weighed AS (SELECT query_id, vec_id AS chunk_id, vec_id // 1000 AS parent_id, sum(CASE source WHEN 'dense' THEN dw ELSE 1 - dw END / (60 + rank)) / (1.0 / 61) AS score FROM both_ JOIN k USING (query_id) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY round(score, 12) DESC, chunk_id) AS n FROM weighed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, parent_id, chunk_id) AS rank FROM best WHERE n = 1)
+SELECT query_id, rank::INT AS rank, parent_id, chunk_id, round(score, 9) AS score, agreement FROM placed LEFT JOIN near USING (query_id) WHERE rank <= 10""")
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark passages against conversation turns: hashed dense branch, n-gram branch, fused, one hit a conversation."""
-    encode = lambda df, i, t: df.select(i.alias("vec_id"), V.hashed_embedding(X.word_tokens(t)).alias("embedding"))
     turns = table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     items = table(spark, d, "benchmark")
-    dense = retrieve.dense_search(encode(items, F.col("item_id"), F.col("text")), encode(turns, F.col("id"), F.col("text")), 24, same=True)
-    queries = retrieve.route(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))).select("query_id", F.col("plan.dense_weight").alias("dense_weight"), F.col("plan.sparse_weight").alias("sparse_weight"))
+    dense = cut_lineage(_hashed(spark, d, 24))
+    queries = cut_lineage(retrieve.route(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))).select("query_id", F.col("plan.dense_weight").alias("dense_weight"), F.col("plan.sparse_weight").alias("sparse_weight")))
     hits, near = retrieve.hybrid(queries, dense.withColumnRenamed("vec_id", "chunk_id"), _sparse(spark, d, 24).withColumnRenamed("id", "chunk_id"), turns.select(F.col("id").alias("chunk_id"), F.col("conv_id").alias("parent_id")))
     return hits.join(near, "query_id", "left").select("query_id", "rank", "parent_id", "chunk_id", F.round("score", 9).alias("score"), F.round("agreement", 9).alias("agreement"))
 
 
 @query("WITH " + BRANCHES + """, configs AS (SELECT unnest([0.0, 0.35, 0.5, 0.65, 1.0])::DOUBLE AS dense),
-scored AS (SELECT dense, query_id, vec_id, sum(CASE source WHEN 'dense' THEN dense ELSE 1 - dense END / (60 + rank)) AS score FROM both_, configs WHERE CASE source WHEN 'dense' THEN dense ELSE 1 - dense END > 0 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY dense, query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM scored)
-SELECT dense, round(avg(CASE WHEN q.label = c.label THEN 1.0 ELSE 0.0 END), 6) AS precision_10 FROM r JOIN embeddings q ON q.vec_id = r.query_id JOIN embeddings c ON c.vec_id = r.vec_id WHERE rank <= 10 GROUP BY dense""")
+tried AS (SELECT dense, query_id, vec_id, sum(CASE source WHEN 'dense' THEN dense ELSE 1 - dense END / (60 + rank)) AS score FROM both_, configs WHERE CASE source WHEN 'dense' THEN dense ELSE 1 - dense END > 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY dense, query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM tried)
+SELECT dense, round(avg(list_has_any(list_filter(q.w, lambda x: length(x) >= 6), list_filter(c.w, lambda x: length(x) >= 6))::INT::DOUBLE), 6) AS precision_10 FROM r
+JOIN (SELECT item_id AS id, """ + _TOKENS + """ AS w FROM benchmark) q ON q.id = r.query_id JOIN (SELECT conv_id * 1000 + turn AS id, """ + _TOKENS + """ AS w FROM conversations) c ON c.id = r.vec_id WHERE rank <= 10 GROUP BY dense""")
 def weighted_ablation(spark: SparkSession, d: str) -> DataFrame:
     """Precision at ten of five branch weights over the same two rankings."""
     configs = spark.createDataFrame([(x,) for x in (0.0, 0.35, 0.5, 0.65, 1.0)], "dense double")
@@ -354,9 +375,10 @@ def weighted_ablation(spark: SparkSession, d: str) -> DataFrame:
     weight = F.when(F.col("source") == "dense", F.col("dense")).otherwise(1 - F.col("dense"))
     scored = both.withColumn("weight", weight).where("weight > 0").groupBy("dense", "query_id", "vec_id").agg(F.sum(F.col("weight") / (60 + F.col("rank"))).alias("score"))
     top = scored.withColumn("rank", F.row_number().over(W.partitionBy("dense", "query_id").orderBy(F.round("score", 12).desc(), F.col("vec_id")))).where("rank <= 10")
-    label = table(spark, d, "embeddings").select("vec_id", "label")
-    joined = top.join(label, "vec_id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id")
-    return joined.groupBy("dense").agg(F.round(F.avg((F.col("label") == F.col("ql")).cast("double")), 6).alias("precision_10"))
+    words = cut_lineage(_shares_word(spark, d))
+    of = lambda kind, i, w: words.where(F.col("kind") == kind).select(F.col("id").alias(i), F.col("words").alias(w))
+    joined = top.join(of("turn", "vec_id", "a"), "vec_id").join(of("item", "query_id", "b"), "query_id")
+    return joined.groupBy("dense").agg(F.round(F.avg(F.arrays_overlap("a", "b").cast("double")), 6).alias("precision_10"))
 
 
 # ---------------------------------------------------------------- language, routing, gates
@@ -536,13 +558,16 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def threshold_calibration(spark: SparkSession, d: str) -> DataFrame:
-    """Best of all threshold triples: a query counts as answerable if its nearest row has its label."""
-    hits = _dense(spark, d, 10).withColumn("dense_score", F.col("score"))
-    s = gates.evidence_scores(hits).join(hits.where("rank = 1").select("query_id", F.col("is_relevant").alias("answerable")), "query_id").withColumn("agreement", F.lit(0.0))
-    near = retrieve.agreement(*[_branches(spark, d).withColumn("parent_id", F.floor(F.col("vec_id") / 10)).where(F.col("source") == x) for x in ("dense", "sparse")])
-    s = cut_lineage(s.drop("agreement").join(near, "query_id"))
+    """Best of all threshold triples: a passage counts as answerable if its nearest turn shares a long word with it."""
+    both = _branches(spark, d).withColumn("parent_id", F.floor(F.col("vec_id") / 1000))
+    hits = both.where("source = 'dense' and rank <= 10").withColumn("dense_score", F.col("score"))
+    words = _shares_word(spark, d)
+    of = lambda kind, i, w: words.where(F.col("kind") == kind).select(F.col("id").alias(i), F.col("words").alias(w))
+    truth = hits.where("rank = 1").join(of("turn", "vec_id", "a"), "vec_id").join(of("item", "query_id", "b"), "query_id").select("query_id", F.arrays_overlap("a", "b").alias("answerable"))
+    near = retrieve.agreement(both.where("source = 'dense'"), both.where("source = 'sparse'"))
+    s = cut_lineage(gates.evidence_scores(hits).join(truth, "query_id").join(near, "query_id"))
     grids = [evaluate.grid(s, "top", 16, (-1.0,)), evaluate.grid(s, "margin", 16, (0.0,)), evaluate.grid(s, "agreement", 16, (0.0, 1.0))]
-    return _rounded(evaluate.calibrate(s, *grids).limit(1), *RATES, "min_score", "min_margin")
+    return _rounded(evaluate.calibrate(s, *grids).limit(1), *RATES, "min_score", "min_margin", "min_agreement")
 
 
 SIZES = (4, 3, 2, 1)
