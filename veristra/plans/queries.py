@@ -277,8 +277,9 @@ def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def sparse_hashed_features(spark: SparkSession, d: str) -> DataFrame:
     """Hashed feature ids of every benchmark passage, as stored by the sparse index."""
-    grams = X.char_ngrams(X.plain_matching(F.col("text")))
-    return table(spark, d, "benchmark").select("item_id", F.array_sort(F.array_distinct(X.feature_hash(grams))).alias("indices"))
+    # cut: Spark doesn't take an Arrow function out of a plan whose argument holds nested lambdas
+    grams = cut_lineage(table(spark, d, "benchmark").select("item_id", X.char_ngrams(X.plain_matching(F.col("text"))).alias("grams")))
+    return grams.select("item_id", F.array_sort(F.array_distinct(X.feature_hash(F.col("grams")))).alias("indices"))
 
 
 # ---------------------------------------------------------------- fusion
