@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veristra.checkpoints import FEW, cut_lineage
 from veristra.config import SETTINGS
 from veristra.functions import language as L
 from veristra.functions import text as X
@@ -69,11 +70,17 @@ def dense_search(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id
 
 
 def features(texts: DataFrame, key: str, text: str = "form") -> DataFrame:
-    """(<key>, feature, n): n-grams of a matching form with their number, exact numbers counting 2 more. Texts are read once."""
+    """(<key>, feature, n): n-grams of a matching form with their number, exact numbers counting 2 more. Texts are read once.
+
+    Texts, not their many grams, are dealt by key; so the grams of a text are counted where it is. Their number of
+    partitions is given, as adaptive execution would judge by the small texts and leave the grams to few tasks.
+    """
+    spark = texts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     t = F.col(text)
     exact = F.transform(X.numbers(t), lambda x: F.concat(F.lit("exact:"), x))
     weight = F.when(F.col("feature").startswith("exact:"), 2).otherwise(1)
-    return texts.select(key, F.explode(F.concat(X.char_ngrams(t), exact)).alias("feature")).groupBy(key, "feature").agg(F.sum(weight).alias("n"))
+    return texts.repartition(parts, F.col(key)).select(key, F.explode(F.concat(X.char_ngrams(t), exact)).alias("feature")).groupBy(key, "feature").agg(F.sum(weight).alias("n"))
 
 
 def document_frequency(found: DataFrame) -> DataFrame:
@@ -94,6 +101,23 @@ def sparse_search(queries: DataFrame, postings: DataFrame, k: int, key: str) ->
     return best(scores, k, F.round("score", 9).desc(), F.col(key))
 
 
+def tfidf_search(queries: DataFrame, found: DataFrame, frequency: DataFrame, total: int, k: int, key: str) -> DataFrame:
+    """As ``sparse_search`` on ``tfidf(found, frequency, total, key)``, but only features that a query has are weighed one by one.
+
+    found is read twice: for the sizes of its texts, and for its products with the queries, which carry the features'
+    frequencies along. Queries of up to FEW features are broadcast, more are joined by a shuffle. Cut found's lineage first.
+    """
+    rarity = F.log(F.lit(total + 1) / (F.col("df") + 1)) + 1
+    part = 1 + F.log("n")
+    sizes = found.join(frequency, "feature").groupBy(key).agg(F.sqrt(F.sum(F.pow(part * rarity, F.lit(2)))).alias("size"))
+    wanted = cut_lineage(queries.join(frequency, "feature").select("query_id", "feature", (F.col("weight") * rarity).alias("asked")))
+    if wanted.limit(FEW + 1).count() <= FEW:
+        wanted = F.broadcast(wanted)
+    products = found.join(wanted, "feature").groupBy("query_id", key).agg(F.sum(part * F.col("asked")).alias("product"))
+    scores = products.join(sizes, key).select("query_id", key, (F.col("product") / F.col("size")).alias("score")).where("score > 0")
+    return best(scores, k, F.round("score", 9).desc(), F.col(key))
+
+
 def fuse(ranked: DataFrame, k: int = SETTINGS.rrf_k, key: str = "chunk_id") -> DataFrame:
     """(query_id, <key>, score, sources) by weighted reciprocal ranks. ranked: query_id, source, <key>, rank, weight.
 
