@@ -36,6 +36,9 @@ BATCH = 2048
 #: Words and parts of words that a worker keeps, of some 200 bytes each.
 CACHE = 600_000
 SPECIALS = "<|"
+#: Stands between the ids of words.
+NO_ID = 0xFFFFFFFF
+BREAK = np.array([NO_ID], "<u4").tobytes()
 
 
 class WordEncoder:
@@ -71,6 +74,7 @@ class WordEncoder:
             rest = np.setdiff1d(np.arange(len(left)), put)
             left, at = left[rest], (at[rest] + 1) % size
         self.fast = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-ɏ]+")
+        self.control = re.compile("[\x00-\x09\x0b-\x20\x7f]")
         self.parted = re.compile("[\x1c-\x1f\x85]")  # Python splits there, the library does not
         self.pieces = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.words: dict[str, bytes] = {}
@@ -109,19 +113,22 @@ class WordEncoder:
         raw[filled] = np.frombuffer(b"".join(parts), np.uint8)
         ids = np.where(filled, self.plain[raw], -1)
         ids[np.arange(n), lengths - 1] = self.final[raw[np.arange(n), lengths - 1]]
-        rank = np.full((n, width), 1 << 30, np.int64)
-        made = np.zeros((n, width), np.int64)
+        rank = np.full((n, width), 1 << 30, np.int32)
+        made = np.zeros((n, width), np.int32)
         pairs = filled[:, 1:]
         if width > 1:
             rank[:, :-1][pairs], made[:, :-1][pairs] = self._lookup(ids[:, :-1][pairs], ids[:, 1:][pairs])
+        ids = ids.astype(np.int32)
         out: list[bytes] = [b""] * n
         rows = np.arange(n)
         while True:
             at = rank.argmin(1)
-            line = np.arange(len(rows))
-            live = rank[line, at] < 1 << 30
-            for i in np.flatnonzero(~live):
-                out[rows[i]] = ids[i, : lengths[i]].astype("<u4").tobytes()
+            live = rank[np.arange(len(rows)), at] < 1 << 30
+            done = np.flatnonzero(~live)
+            if len(done):
+                held, step = ids[done].astype("<u4").tobytes(), 4 * ids.shape[1]
+                for i, (row, size) in enumerate(zip(rows[done].tolist(), lengths[done].tolist(), strict=True)):
+                    out[row] = held[i * step : i * step + 4 * size]
             if not live.any():
                 return out
             rows, lengths, at = rows[live], lengths[live] - 1, at[live]
@@ -129,42 +136,52 @@ class WordEncoder:
             line = np.arange(len(rows))
             ids[line, at] = made[line, at]
             # close the gap after the merged pair
-            span = np.arange(ids.shape[1] - 1)[None, :]
-            later = span > at[:, None]
+            later = np.arange(ids.shape[1] - 1)[None, :] > at[:, None]
             for m in (ids, rank, made):
-                m[:, :-1] = np.where(later, m[:, 1:], m[:, :-1])
+                np.copyto(m[:, :-1], m[:, 1:].copy(), where=later)
             rank[line, lengths - 1] = 1 << 30
             for shift in (-1, 0):
                 k = at + shift
                 ok = (k >= 0) & (k + 1 < lengths)
                 if ok.any():
-                    rank[line[ok], k[ok]], made[line[ok], k[ok]] = self._lookup(ids[line[ok], k[ok]], ids[line[ok], k[ok] + 1])
+                    l, k = line[ok], k[ok]
+                    rank[l, k], made[l, k] = self._lookup(ids[l, k].astype(np.int64), ids[l, k + 1].astype(np.int64))
+            width = int(lengths.max())
+            if width < ids.shape[1]:
+                ids, rank, made = ids[:, :width], rank[:, :width], made[:, :width]
+
+    def _odd(self, new: list[str]) -> list[str]:
+        """Words that only the library encodes."""
+        plain = [w for w in new if w.isascii()]
+        odd = [w for w in new if not w.isascii() and (not self.fast.fullmatch(w) or SPECIALS in w)]
+        joined = "\n".join(plain)
+        if SPECIALS in joined or self.control.search(joined):
+            odd += [w for w in plain if SPECIALS in w or self.control.search(w)]
+        return odd
 
     def learn(self, new: list[str]) -> None:
         """Put the ids of these words into the cache."""
-        odd = [w for w in new if not self.fast.fullmatch(w) or SPECIALS in w]
+        odd = self._odd(new)
+        even = new
         if odd:
             for w, e in zip(odd, self.library.encode_batch(odd, add_special_tokens=False), strict=True):
                 self.words[w] = np.array(e.ids, "<u4").tobytes()
-        even = [w for w in new if w not in self.words]
-        split = self.pieces.findall("\n".join(w.lower() for w in even))
-        unknown = [p for p in {*split} - self.parts.keys() if p != "\n"]
+            even = [w for w in new if w not in self.words]
+        if not even:
+            return
+        split = self.pieces.findall("\n".join(even).lower())
+        split.append("\n")
         by_length: dict[int, list[str]] = {}
-        for p in unknown:
+        self.parts["\n"] = BREAK
+        for p in set(split).difference(self.parts):
             by_length.setdefault((len(p.encode()) + 3) // 4, []).append(p)
         for same in by_length.values():
             step = max(1, (1 << 20) // max(len(p.encode()) for p in same))
             for i in range(0, len(same), step):
                 self.parts.update(zip(same[i : i + step], self._merge([p.encode() for p in same[i : i + step]]), strict=True))
-        held, it = [], iter(even)
-        for p in split:
-            if p == "\n":
-                self.words[next(it)] = b"".join(held)
-                held = []
-            else:
-                held.append(self.parts[p])
-        if even:
-            self.words[next(it)] = b"".join(held)
+        held = b"".join(map(self.parts.__getitem__, split))
+        ends = (4 * np.flatnonzero(np.frombuffer(held, "<u4") == NO_ID)).tolist()
+        self.words.update(zip(even, (held[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -176,7 +193,7 @@ class WordEncoder:
             self.words.clear()
             self.parts.clear()
         known = self.words
-        new = {w for ws in split for w in ws if w not in known}
+        new = set().union(*split).difference(known)
         if new:
             self.learn(list(new))
         get = known.__getitem__
