@@ -142,18 +142,3 @@ def test_ngrams(spark):
     for f, g in zip(forms, got, strict=True):
         p = f" {f} "
         assert g == sorted(f"c{n}:{p[i : i + n]}" for n in (3, 4, 5) for i in range(len(p) - n + 1) if p[i : i + n].strip())
-
-
-def test_tfidf_search_agrees_with_the_weighted_index(spark):
-    rows = [(1, "red apple pie 12"), (2, "red apple pie 12"), (3, "green pear"), (4, ""), (5, None), (6, "apple " * 50)]
-    texts = spark.createDataFrame(rows, "id long, form string")
-    asked = spark.createDataFrame([(10, "apple pie"), (11, "12"), (12, "zzzz"), (13, None)], "query_id long, form string")
-    found = retrieve.features(texts, "id")
-    frequency = retrieve.document_frequency(found)
-    queries = retrieve.tfidf(retrieve.features(asked, "query_id"), frequency, 6, "query_id")
-    plain = retrieve.sparse_search(queries, retrieve.tfidf(found, frequency, 6, "id"), 3, "id")
-    quick = retrieve.tfidf_search(queries, found, frequency, 6, 3, "id")
-    read = lambda df: sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in df.collect())
-    assert read(quick) == read(plain) and [r[2] for r in read(quick) if r[0] == 10][:2] == [1, 2]
-    assert not [r for r in read(quick) if r[0] in (12, 13)]
-    assert retrieve.tfidf_search(queries, found.limit(0), frequency, 6, 3, "id").count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,8 +17,8 @@ from veristra.functions import language as L
 from veristra.functions import text as X
 from veristra.functions import vectors as V
 
-#: Rows of the table and queries that one task multiplies.
-BLOCK, CHUNK = 16384, 1024
+#: Rows of the table that one task multiplies at a time, and components of queries that are broadcast.
+BLOCK, CHUNK = 16384, 4_000_000
 
 
 def best(scored: DataFrame, k: int, *order: Column, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -25,48 +27,70 @@ def best(scored: DataFrame, k: int, *order: Column, by: str = "query_id", rank:
 
 
 def dense_search(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", same: bool = False) -> DataFrame:
-    """(query_id, rank, <key>, score): exact cosine search of a query set against all rows, in blocks.
+    """(query_id, rank, <key>, score): exact cosine search of a query set against all rows.
 
-    Both sides are dealt to a grid of blocks and query chunks, multiplied as matrices in double precision, and each
-    cell hands over k rows a query. ``same``: a query may find its own key. Null, zero and non-finite vectors, and
-    those of another length, are left out.
+    Queries are broadcast in chunks of bounded size. The table is read once a chunk, where it lies: each task multiplies
+    BLOCK rows at a time with the chunk in double precision and hands over k rows a query. ``same``: a query may find its
+    own key. Null, zero and non-finite vectors, those of another length, and rows without a key are left out.
     """
+    spark = base.sparkSession
 
     def plain(df: DataFrame) -> DataFrame:
         ok = V.valid(F.col(vector), 0) | F.coalesce((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False))
-        return df.where(ok).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.size(vector).alias("size"))
-
-    rows, asked = plain(base), plain(queries)
-    blocks, parts = max(1, round(base.count() / BLOCK)), max(1, -(-queries.count() // CHUNK))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    sent = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        values = table.column("v").combine_chunks()
-        found = np.asarray(values.flatten()).reshape(len(values), -1)
-        return table.column("id").to_numpy(), found / np.sqrt((found * found).sum(1))[:, None]
-
-    def cell(table: pa.Table) -> pa.Table:
-        left, right = table.filter(pc.invert(table.column("asks"))), table.filter(table.column("asks"))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            (ids, found), (asked_ids, vectors) = matrix(left.sort_by("id")), matrix(right)
-            for low in range(0, len(asked_ids), 128):
-                scores = vectors[low : low + 128] @ found.T
-                # matrix products may round equal scores apart: ties are settled by key, so by 12 digits
-                for q, row in zip(asked_ids[low : low + 128], np.round(scores, 12), strict=True):
-                    if not same:
-                        row = np.where(ids == q, -np.inf, row)
-                    at = np.flatnonzero(row >= np.partition(row, -k)[-k] - 1e-12) if len(row) > k else np.arange(len(row))
-                    at = at[np.isfinite(row[at])]
-                    at = at[np.lexsort((ids[at], -row[at]))][:k]
-                    out.append((np.full(len(at), q), ids[at], row[at]))
-        a, b, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return pa.table({"query_id": pa.array(a, pa.int64()), key: pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
-
-    side = lambda df, asks: df.select("block", "part", "size", "id", "v", F.lit(asks).alias("asks"))
-    cells = side(dealt, False).unionByName(side(sent, True)).groupBy("block", "part", "size").applyInArrow(cell, f"query_id long, {key} long, score double")
-    return best(cells, k, F.col("score").desc(), F.col(key))
+        return df.where(ok & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+
+    asked = cut_lineage(plain(queries))
+    parts = max(1, -(-asked.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0))).first()[0] // CHUNK))
+
+    def matrices(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Keys and unit vectors by length."""
+        sizes, out = np.asarray(pc.list_value_length(table.column("v").combine_chunks())), {}
+        for size in np.unique(sizes):
+            some = table.filter(pa.array(sizes == size))
+            found = np.asarray(some.column("v").combine_chunks().flatten()).reshape(-1, size)
+            out[int(size)] = some.column("id").to_numpy(), found / np.sqrt((found * found).sum(1))[:, None]
+        return out
+
+    def first(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if len(scores) > k else np.arange(len(scores))
+        at = at[np.lexsort((ids[at], -scores[at]))][:k]
+        return ids[at], scores[at]
+
+    def chunk(part: int) -> DataFrame:
+        sent = spark.sparkContext.broadcast(asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toArrow())
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asks = matrices(sent.value)
+            held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+            def look(table: pa.Table) -> None:
+                for size, (ids, found) in matrices(table).items():
+                    names, vectors = asks.get(size, ((), None))
+                    for low in range(0, len(names), 128):
+                        # matrix products may round equal scores apart: ties are settled by key, so by 12 digits
+                        for at, row in enumerate(np.round(vectors[low : low + 128] @ found.T, 12), low):
+                            other = ids != names[at] if not same else slice(None)
+                            mine = first(ids[other], row[other])
+                            old = held.get((size, at))
+                            held[size, at] = mine if old is None else first(np.concatenate((old[0], mine[0])), np.concatenate((old[1], mine[1])))
+
+            waiting: list[pa.RecordBatch] = []
+            for batch in batches:
+                waiting.append(batch)
+                if sum(b.num_rows for b in waiting) >= BLOCK:
+                    look(pa.Table.from_batches(waiting))
+                    waiting = []
+            if waiting:
+                look(pa.Table.from_batches(waiting))
+            for (size, at), (ids, scores) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), asks[size][0][at]), pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["query_id", key, "score"])
+
+        return plain(base).mapInArrow(scan, f"query_id long, {key} long, score double")
+
+    scores = chunk(0)
+    for part in range(1, parts):
+        scores = scores.unionByName(chunk(part))
+    return best(scores, k, F.col("score").desc(), F.col(key))
 
 
 def features(texts: DataFrame, key: str, text: str = "form") -> DataFrame:
@@ -101,20 +125,227 @@ def sparse_search(queries: DataFrame, postings: DataFrame, k: int, key: str) ->
     return best(scores, k, F.round("score", 9).desc(), F.col(key))
 
 
-def tfidf_search(queries: DataFrame, found: DataFrame, frequency: DataFrame, total: int, k: int, key: str) -> DataFrame:
-    """As ``sparse_search`` on ``tfidf(found, frequency, total, key)``, but only features that a query has are weighed one by one.
+#: Code points of a text whose grams are counted at once.
+GRAM_STEP = 1 << 20
+SIZES = (3, 4, 5)
+
+
+def gram_counts(form: str, exact: np.ndarray, step: int = GRAM_STEP) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit numbers of a form's n-grams and exact numbers, ascending, with their counts; exact ones count 2."""
+    codes = np.frombuffer(f" {form} ".encode("utf-32-le"), "<u4").astype(np.uint64)
+    blank = np.concatenate(([0], np.cumsum(codes == 32)))
+    found, counts = [exact], [np.full(len(exact), 2, np.int64)]
+    for low in range(0, len(codes), step):
+        grams = []
+        for n in SIZES:
+            starts = min(step, len(codes) - n + 1 - low)
+            if starts > 0:
+                h = np.full(starts, n, np.uint64)
+                for i in range(n):
+                    h = h * np.uint64(0x9E3779B97F4A7C15) + codes[low + i : low + i + starts]
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                grams.append((h ^ (h >> np.uint64(29)))[blank[low + n : low + n + starts] - blank[low : low + starts] < n])
+        if grams:
+            values, times = np.unique(np.concatenate(grams).view(np.int64), return_counts=True)
+            found.append(values)
+            counts.append(times)
+    values, at = np.unique(np.concatenate(found), return_inverse=True)
+    return values, np.bincount(at, np.concatenate(counts), len(values)).astype(np.int64)
+
+
+def lists(columns: dict[str, list[np.ndarray]], kinds: dict[str, pa.DataType]) -> list[pa.Array]:
+    """Arrow lists of arrays."""
+    out = []
+    for name, arrays in columns.items():
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), kinds[name])))
+    return out
+
+
+def gram_features(texts: DataFrame, key: str, text: str = "form") -> DataFrame:
+    """(<key>, fids, ns): a row a text, as ``features``, with a feature's 64-bit hash in place of its name; a null form has none.
+
+    Texts stay where they are: nothing is shuffled, and no row is made for a gram.
+    """
+    exact = F.transform(X.numbers(F.col(text)), lambda x: F.xxhash64(F.concat(F.lit("exact:"), x)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [gram_counts(t or "", np.array(e or [], np.int64)) for t, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            columns = {"fids": [x for x, _ in found], "ns": [x for _, x in found]}
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists(columns, {"fids": pa.int64(), "ns": pa.int64()})], names=[key, "fids", "ns"])
+
+    return texts.select(F.col(key).cast("long").alias(key), F.col(text), exact.alias("exact")).mapInArrow(count, f"{key} long, fids array<long>, ns array<long>")
+
+
+def gram_frequency(counted: DataFrame) -> DataFrame:
+    """(fid, df) of ``gram_features``."""
+    return counted.select(F.explode("fids").alias("fid")).groupBy("fid").agg(F.count("*").alias("df"))
+
 
-    found is read twice: for the sizes of its texts, and for its products with the queries, which carry the features'
-    frequencies along. Queries of up to FEW features are broadcast, more are joined by a shuffle. Cut found's lineage first.
+#: Features whose rarity is broadcast, 17 bytes each; more are joined by a shuffle.
+MANY = 8_000_000
+
+
+def gram_weights(counted: DataFrame, frequency: DataFrame, total: int, key: str, only: DataFrame | None = None, most: int = MANY) -> DataFrame:
+    """(<key>, fids, values): TF-IDF weights of ``gram_features``, scaled to norm 1 a text, as ``tfidf`` has them.
+
+    With ``only`` (fid), other features count in a text's norm and are then dropped. frequency: (fid, df), read twice.
+    """
+    spark = counted.sparkSession
+    table = frequency.select("fid", (F.log(F.lit(total + 1) / (F.col("df") + 1)) + 1).alias("rarity"))
+    table = table.withColumn("kept", F.lit(True)) if only is None else table.join(only.select("fid", F.lit(True).alias("kept")), "fid", "left")
+    unseen, all_stay = float(np.log(total + 1) + 1), only is None
+    if frequency.limit(most + 1).count() <= most:
+        got = table.toArrow().sort_by("fid")
+        sent = spark.sparkContext.broadcast((got.column("fid").to_numpy(), got.column("rarity").to_numpy(), np.asarray(pc.fill_null(got.column("kept"), False))))
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, rarity, kept = sent.value
+            for batch in batches:
+                (fids, sizes), (ns, _) = flat(batch.column("fids")), flat(batch.column("ns"))
+                at = np.minimum(np.searchsorted(known, fids), max(0, len(known) - 1))
+                seen = known[at] == fids if len(known) else np.zeros(len(fids), bool)
+                raw = (1 + np.log(ns)) * (np.where(seen, rarity[at], unseen) if len(known) else unseen)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                norm = np.sqrt(np.bincount(row, raw * raw, len(sizes)))
+                stays = np.where(seen, kept[at], all_stay) if len(known) else np.full(len(fids), all_stay)
+                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row[stays], minlength=len(sizes))))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(ends, pa.array(fids[stays])), pa.ListArray.from_arrays(ends, pa.array((raw / norm[row])[stays]))], names=[key, "fids", "values"])
+
+        return counted.select(key, "fids", "ns").mapInArrow(weigh, f"{key} long, fids array<long>, values array<double>")
+    each = counted.select(key, F.explode(F.arrays_zip("fids", "ns")).alias("x")).select(key, F.col("x.fids").alias("fid"), F.col("x.ns").alias("n")).join(table, "fid", "left")
+    raw = (1 + F.log("n")) * F.coalesce("rarity", F.lit(unseen))
+    stays = F.coalesce("kept", F.lit(all_stay))
+    listed = each.groupBy(key).agg(F.sqrt(F.sum(raw * raw)).alias("size"), F.collect_list(F.when(stays, F.struct("fid", raw.alias("value")))).alias("l"))
+    return listed.select(key, F.col("l.fid").alias("fids"), F.transform("l", lambda x: x["value"] / F.col("size")).alias("values"))
+
+
+def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists one after the other, and the lists' lengths."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(whole.flatten()), np.asarray(pc.list_value_length(whole)).astype(np.int64)
+
+
+#: Texts and their features of a block; features that more than this share of a block's texts have are multiplied as a matrix.
+BLOCK_TEXTS, BLOCK_FEATURES, DENSE = 4096, 4_000_000, 1 / 8
+#: Features of the queries that are broadcast at once, and products that are summed at once.
+CHUNK_FEATURES, CHUNK_PRODUCTS = 2_000_000, 4_000_000
+
+
+class Postings:
+    """The features of a block of texts: postings of each, and those that many texts have as columns of a matrix.
+
+    Values are scaled to norm 1 a text. ``search`` is exact: it sums the products of the rare features, of which every
+    text has few and most pairs none; completes the sums of the 2k best texts of a query, whose k-th best score no
+    answer can be below; bounds what the frequent features can add by the product of norms; and completes the others
+    only where the bound reaches that score.
     """
-    rarity = F.log(F.lit(total + 1) / (F.col("df") + 1)) + 1
-    part = 1 + F.log("n")
-    sizes = found.join(frequency, "feature").groupBy(key).agg(F.sqrt(F.sum(F.pow(part * rarity, F.lit(2)))).alias("size"))
-    wanted = cut_lineage(queries.join(frequency, "feature").select("query_id", "feature", (F.col("weight") * rarity).alias("asked")))
-    if wanted.limit(FEW + 1).count() <= FEW:
-        wanted = F.broadcast(wanted)
-    products = found.join(wanted, "feature").groupBy("query_id", key).agg(F.sum(part * F.col("asked")).alias("product"))
-    scores = products.join(sizes, key).select("query_id", key, (F.col("product") / F.col("size")).alias("score")).where("score > 0")
+
+    def __init__(self, ids: np.ndarray, fids: np.ndarray, lengths: np.ndarray, values: np.ndarray):
+        self.ids = ids
+        known, at = np.unique(fids, return_inverse=True)
+        rows = np.repeat(np.arange(len(ids)), lengths)
+        often = np.bincount(at, minlength=len(known))
+        frequent = often > max(1, DENSE * len(ids))
+        self.known = known
+        self.column = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        dense = frequent[at]
+        self.matrix = np.zeros((len(ids), int(frequent.sum())))
+        self.matrix[rows[dense], self.column[at[dense]]] = values[dense]
+        self.norms = np.sqrt((self.matrix * self.matrix).sum(1))
+        order = np.argsort(at[~dense], kind="stable")
+        self.rows, self.values = rows[~dense][order], values[~dense][order]
+        self.starts = np.concatenate(([0], np.cumsum(np.where(frequent, 0, often))))
+        self.products = self.completed = 0
+
+    def search(self, fids: list[np.ndarray], values: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, keys and scores of its k best texts and of all that come within rounding of the last."""
+        n, many = len(self.ids), len(fids)
+        query, wanted, weight = np.repeat(np.arange(many), [len(f) for f in fids]), np.concatenate(fids), np.concatenate(values)
+        number = np.searchsorted(self.known, wanted)
+        here = np.append(self.known, 0)[number] == wanted
+        here &= number < len(self.known)
+        query, number, weight = (x[here] for x in (query, number, weight))
+        dense = self.column[number] >= 0
+        asked = np.zeros((many, self.matrix.shape[1]))
+        asked[query[dense], self.column[number[dense]]] = weight[dense]
+        query, number, weight = query[~dense], number[~dense], weight[~dense]
+        sizes = self.starts[number + 1] - self.starts[number]
+        partial = np.zeros(many * n)
+        ends = np.cumsum(sizes)
+        low = 0
+        while low < len(sizes):
+            before = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + CHUNK_PRODUCTS, "right")))
+            size = sizes[low:high]
+            places = np.repeat(self.starts[number[low:high]] - (ends[low:high] - size - before), size) + np.arange(size.sum())
+            partial += np.bincount(np.repeat(query[low:high] * n, size) + self.rows[places], self.values[places] * np.repeat(weight[low:high], size), len(partial))
+            low = high
+        self.products += int(ends[-1]) if len(ends) else 0
+        partial = partial.reshape(many, n)
+        norms = np.sqrt((asked * asked).sum(1))
+        out = []
+        for q in range(many):
+            sums = partial[q]
+            reach = sums + norms[q] * self.norms
+            if n > 2 * k:
+                first = np.argpartition(-sums, 2 * k)[: 2 * k]
+                done = sums[first] + self.matrix[first] @ asked[q]
+                least = np.partition(done, -k)[-k]
+                chosen = np.flatnonzero(reach >= least - 1e-9)
+            else:
+                chosen = np.arange(n)
+            scores = sums[chosen] + self.matrix[chosen] @ asked[q]
+            self.completed += len(chosen)
+            if len(scores) > k:
+                keep = scores >= np.partition(scores, -k)[-k] - 2e-9
+                chosen, scores = chosen[keep], scores[keep]
+            out.append((self.ids[chosen[scores > 0]], scores[scores > 0]))
+        return out
+
+
+def gram_search(queries: DataFrame, texts: DataFrame, k: int, key: str, most: int = MANY, chunk: int = CHUNK_FEATURES) -> DataFrame:
+    """(query_id, rank, <key>, score): the k texts of largest TF-IDF cosine, exactly, by blocks of postings (``Postings``).
+
+    queries: (query_id, form), texts: (<key>, form); keys are whole numbers. Texts are counted once and dealt to blocks of bounded
+    size by key; queries are broadcast in chunks of some ``chunk`` features, and every block hands over some k rows a
+    query. Scores of 0 are left out, ties go to the smaller key. Rarity counts all texts with a key, the others are left
+    out, as are queries without one; a query or text without features finds nothing.
+    """
+    spark = texts.sparkSession
+    counted = cut_lineage(gram_features(texts.where(F.col(key).isNotNull()), key))
+    frequency = cut_lineage(gram_frequency(counted))
+    total, held = counted.agg(F.count("*"), F.coalesce(F.sum(F.size("fids").cast("long")), F.lit(0))).first()
+    asked = cut_lineage(gram_weights(gram_features(queries.where("query_id IS NOT NULL"), "query_id"), frequency, total, "query_id", most=most))
+    only = asked.select(F.explode("fids").alias("fid")).distinct()
+    weighed = gram_weights(counted, frequency, total, key, only, most)
+    blocks = max(1, -(-total // BLOCK_TEXTS), -(-held // BLOCK_FEATURES), min(spark.sparkContext.defaultParallelism, total // 512))
+    parts = max(1, -(-asked.agg(F.coalesce(F.sum(F.size("fids").cast("long")), F.lit(0))).first()[0] // chunk))
+    dealt = weighed.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+
+    def of(part: int) -> DataFrame:
+        sent = spark.sparkContext.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow())
+
+        def search(table: pa.Table) -> pa.Table:
+            (fids, lengths), (values, _) = flat(table.column("fids")), flat(table.column("values"))
+            block = Postings(table.column(key).to_numpy(), fids, lengths, values)
+            (wanted, each), (weights, _) = flat(sent.value.column("fids")), flat(sent.value.column("values"))
+            cuts, names = np.cumsum(each)[:-1], sent.value.column("query_id").to_numpy()
+            fids_of, values_of = np.split(wanted, cuts), np.split(weights, cuts)
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            step = max(1, (1 << 22) // table.num_rows)
+            for low in range(0, len(names), step):
+                for q, (ids, scores) in zip(names[low : low + step], block.search(fids_of[low : low + step], values_of[low : low + step], k), strict=True):
+                    out.append((np.full(len(ids), q), ids, scores))
+            a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.table({"query_id": pa.array(a, pa.int64()), key: pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+
+        return dealt.groupBy("block").applyInArrow(search, f"query_id long, {key} long, score double")
+
+    scores = of(0)
+    for part in range(1, parts):
+        scores = scores.unionByName(of(part))
     return best(scores, k, F.round("score", 9).desc(), F.col(key))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veristra.checkpoints import cut_lineage, forget
+from veristra.checkpoints import cut_lineage
 from veristra.functions import language as L
 from veristra.functions import text as X
 from veristra.functions import vectors as V
@@ -244,15 +244,9 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
-    turns = _turns(spark, d)
-    found = cut_lineage(retrieve.features(turns, "id"))
-    frequency, total = cut_lineage(retrieve.document_frequency(found)), turns.count()
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), X.plain_matching(F.col("text")).alias("form"))
-    asked = retrieve.tfidf(retrieve.features(items, "query_id"), frequency, total, "query_id")
     # a few rows a query, which several branches of one plan read
-    hits = cut_lineage(retrieve.tfidf_search(asked, found, frequency, total, k, "id"))
-    forget(found, frequency)
-    return hits
+    return cut_lineage(retrieve.gram_search(items, _turns(spark, d), k, "id"))
 
 
 SPARSE = "WITH " + GRAMS + """, total AS (SELECT count(*) AS n FROM conversations),
