@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veristra.checkpoints import FEW, cut_lineage
 from veristra.checkpoints import ranked as numbered
 from veristra.config import SETTINGS
 
@@ -21,6 +25,42 @@ def distribution(value: str) -> list[Column]:
     return [F.count(value).alias("count"), F.min(value).alias("min"), *[nearest_rank(value, p).alias(f"p{p}") for p in SHARES], F.max(value).alias("p100"), F.max(value).alias("max"), F.avg(value).alias("mean")]
 
 
+def selected_percentiles(df: DataFrame, by: list[str], value: str, percents: tuple[float, ...] = SHARES, bins: int = 4096) -> DataFrame:
+    """(<by>, percent, value, n): nearest-rank percentiles of few large groups, exactly, without holding a group's values anywhere.
+
+    Each round counts values between a percentile's bounds in ``bins`` bins of equal width, before the shuffle, and
+    goes on with the least and largest value of the bin that holds its rank, until these are one value. Both ends of an
+    interval fall into different bins, so every round narrows it. Rows are read once a round: cut their lineage if they
+    are dear. Null, NaN and infinite values are left out; a group without others has no rows; null keys form groups.
+    """
+    names = [f"k{i}" for i in range(len(by))]
+    v = F.col("v")
+    rows = df.select(*[F.col(f"`{b}`").alias(n) for b, n in zip(by, names, strict=True)], F.col(f"`{value}`").cast("double").alias("v")).where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    ranks = F.array(*[F.struct(F.lit(float(p)).alias("percent"), F.greatest(F.lit(1), F.ceil(F.lit(Decimal(str(p))) * F.col("n") / 100)).cast("long").alias("rank")) for p in percents])
+    whole = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    open_ = cut_lineage(whole.withColumn("t", F.explode(ranks)).select(*names, "t.percent", "n", "t.rank", "low", "high"))
+    found = [open_.where("low = high")]
+    keys = [*names, "low", "high"]
+    other = [f"of_{n}" for n in keys]
+    same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(o)) for n, o in zip(keys, other, strict=True)])
+    while not open_.where("low < high").isEmpty():
+        left = open_.where("low < high")
+        spans = left.select(*[F.col(n).alias(o) for n, o in zip(keys, other, strict=True)]).distinct()
+        within = [F.col(n).eqNullSafe(F.col(f"of_{n}")) for n in names] + [F.col("v") >= F.col("of_low"), F.col("v") <= F.col("of_high")]
+        hit = rows.join(F.broadcast(spans) if spans.limit(FEW + 1).count() <= FEW else spans, reduce(Column.__and__, within))
+        # halves of very large ends, so that the width of an interval can't overflow; it is never 0
+        part = F.when(F.greatest(F.abs("of_low"), F.abs("of_high")) > 1e300, 0.5).otherwise(1.0)
+        place = F.least(F.floor((v * part - F.col("of_low") * part) / (F.col("of_high") * part - F.col("of_low") * part) * bins), F.lit(bins - 1))
+        # bins of one interval, at most ``bins`` rows, are summed up in order
+        held = hit.groupBy(*other, place.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        summed = held.withColumn("upto", F.sum("c").over(W.partitionBy(*other).orderBy("bin")))
+        at = left.join(summed, same & (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c")))
+        open_ = cut_lineage(at.select(*names, "percent", "n", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("a").alias("low"), F.col("b").alias("high")))
+        found.append(open_.where("low = high"))
+    out = reduce(DataFrame.unionByName, found)
+    return out.select(*[F.col(n).alias(b) for b, n in zip(by, names, strict=True)], "percent", F.col("low").alias("value"), "n")
+
+
 def per_query(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, depths: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Recall, reciprocal rank and nDCG of each query, 0 where nothing is relevant.
 
@@ -48,15 +88,20 @@ def macro(metrics: DataFrame, *by: str) -> DataFrame:
     return metrics.groupingSets([[], *[[F.col(b)] for b in by]], *[F.col(b) for b in by]).agg(F.count("*").alias("queries"), *means)
 
 
-def binary(expected: Column, observed: Column) -> list[Column]:
-    """Counts and rates of a two-class decision, 0 where a denominator is."""
-    tp, tn = F.count_if(expected & observed), F.count_if(~expected & ~observed)
-    fp, fn = F.count_if(~expected & observed), F.count_if(expected & ~observed)
+def rates(tp: Column, tn: Column, fp: Column, fn: Column) -> list[Column]:
+    """Rates of a two-class decision from its counts, 0 where a denominator is."""
     rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     precision, recall, specificity = rate(tp, tp + fp), rate(tp, tp + fn), rate(tn, tn + fp)
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    n = F.count("*")
-    return [n.alias("cases"), tp.alias("tp"), tn.alias("tn"), fp.alias("fp"), fn.alias("fn"), rate(tp + tn, n).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), specificity.alias("specificity"), f1.alias("f1"), ((recall + specificity) / 2).alias("balanced_accuracy"), rate(tp + fp, n).alias("coverage")]
+    n = tp + tn + fp + fn
+    return [rate(tp + tn, n).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), specificity.alias("specificity"), f1.alias("f1"), ((recall + specificity) / 2).alias("balanced_accuracy"), rate(tp + fp, n).alias("coverage")]
+
+
+def binary(expected: Column, observed: Column) -> list[Column]:
+    """Counts and rates of a two-class decision. Neither may be null."""
+    tp, tn = F.count_if(expected & observed), F.count_if(~expected & ~observed)
+    fp, fn = F.count_if(~expected & observed), F.count_if(expected & ~observed)
+    return [F.count("*").alias("cases"), tp.alias("tp"), tn.alias("tn"), fp.alias("fp"), fn.alias("fn"), *rates(tp, tn, fp, fn)]
 
 
 def confusion(df: DataFrame, expected: str, observed: str) -> DataFrame:
@@ -79,17 +124,39 @@ def grid(values: DataFrame, column: str, points: int, anchors: tuple[float, ...]
     return placed.where(F.col("place").isin(wanted)).select("v").unionByName(held)
 
 
+#: Thresholds of a grid; their product of three is what the driver and one task may hold.
+GRID_MOST = 64
+
+
 def calibrate(scored: DataFrame, scores: DataFrame, margins: DataFrame, floors: DataFrame) -> DataFrame:
     """Metrics of every threshold triple, best first by balanced accuracy, then f1, accuracy, fewer errors, higher thresholds.
 
-    scored: top, margin, agreement, answerable. Each grid holds a few values, so their product is small and broadcast.
+    scored: top, margin, agreement, answerable; a missing value reaches no threshold, a row without answerable is left
+    out. Each row falls into one cell of the grid, by how many thresholds it reaches; what a triple accepts is the sum of
+    the cells above it. So the cost is that of one count over the rows, whatever the number of triples.
     """
-    triples = scores.select(F.col("v").alias("min_score")).join(margins.select(F.col("v").alias("min_margin")), F.lit(True)).join(floors.select(F.col("v").alias("min_agreement")), F.lit(True))
-    tried = scored.join(F.broadcast(triples), F.lit(True))
-    accepts = (F.col("top") >= F.col("min_score")) & (F.col("margin") >= F.col("min_margin")) & (F.col("agreement") >= F.col("min_agreement"))
-    found = tried.groupBy("min_score", "min_margin", "min_agreement").agg(*binary(F.col("answerable"), accepts))
+    grids = {}
+    for name, df in (("top", scores), ("margin", margins), ("agreement", floors)):
+        grids[name] = sorted(r.v for r in df.where("v IS NOT NULL").distinct().limit(GRID_MOST + 1).collect())
+        if not 0 < len(grids[name]) <= GRID_MOST:
+            raise ValueError(f"a grid holds 1 to {GRID_MOST} thresholds")
+    spark = scored.sparkSession
+    reached = lambda name: F.coalesce(F.size(F.filter(F.array(*[F.lit(float(x)) for x in grids[name]]), lambda x: x <= F.col(name).cast("double"))), F.lit(0))
+    axes = list(grids)
+    counted = scored.where(F.col("answerable").isNotNull()).select(*[F.when(F.col(a).isNull() | F.isnan(F.col(a).cast("double")), 0).otherwise(reached(a)).alias(a) for a in axes], "answerable")
+    cells = counted.groupBy(*axes).agg(F.count_if("answerable").alias("yes"), F.count_if(~F.col("answerable")).alias("no"))
+    total = cells.agg(F.coalesce(F.sum("yes"), F.lit(0)).alias("all_yes"), F.coalesce(F.sum("no"), F.lit(0)).alias("all_no"))
+    corner = lambda name: spark.range(1, len(grids[name]) + 1).select(F.col("id").cast("int").alias(name))
+    full = corner("top").join(corner("margin"), F.lit(True)).join(corner("agreement"), F.lit(True)).join(cells, axes, "left").fillna(0, ["yes", "no"])
+    for a in axes:
+        above = W.partitionBy(*[x for x in axes if x != a]).orderBy(F.col(a).desc())
+        full = full.withColumn("yes", F.sum("yes").over(above)).withColumn("no", F.sum("no").over(above))
+    value = lambda name: F.element_at(F.array(*[F.lit(float(x)) for x in grids[name]]), F.col(name))
+    found = full.join(F.broadcast(total), F.lit(True)).select(*[value(a).alias(n) for a, n in zip(axes, ("min_score", "min_margin", "min_agreement"), strict=True)], F.col("yes").alias("tp"), (F.col("all_no") - F.col("no")).alias("tn"), F.col("no").alias("fp"), (F.col("all_yes") - F.col("yes")).alias("fn"))
+    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
+    measured = found.select("min_score", "min_margin", "min_agreement", (tp + tn + fp + fn).alias("cases"), tp, tn, fp, fn, *rates(tp, tn, fp, fn))
     order = [F.col(c).desc() for c in ("balanced_accuracy", "f1", "accuracy")] + [F.col("fp"), F.col("fn")] + [F.col(c).desc() for c in ("min_score", "min_margin", "min_agreement")]
-    return found.orderBy(*order)
+    return measured.orderBy(*order)
 
 
 def marginal_gains(reports: DataFrame, least: float = 0.01) -> DataFrame:

@@ -521,6 +521,18 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(table(spark, d, "events").groupBy("event_type").agg(*latency.summary("value")), "mean")
 
 
+@query("SELECT event_type, CAST(p AS DOUBLE) AS percent, value, n FROM (SELECT event_type, count(value) AS n, unnest([25, 50, 70, 75, 90, 95, 99]) AS p, unnest([quantile_disc(value, 0.25), quantile_disc(value, 0.5), quantile_disc(value, 0.7), quantile_disc(value, 0.75), quantile_disc(value, 0.9), quantile_disc(value, 0.95), quantile_disc(value, 0.99)]) AS value FROM events GROUP BY event_type)")
+def selected_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles of few large groups by narrowing histograms."""
+    return evaluate.selected_percentiles(table(spark, d, "events"), ["event_type"], "value")
+
+
+@query("SELECT CAST(p AS DOUBLE) AS percent, value, n FROM (SELECT count(*) AS n, unnest([1, 50, 99.9, 100]) AS p, unnest([quantile_disc(l_extendedprice, 0.01), quantile_disc(l_extendedprice, 0.5), quantile_disc(l_extendedprice, 0.999), max(l_extendedprice)]) AS value FROM lineitem)")
+def selected_percentiles_global(spark: SparkSession, d: str) -> DataFrame:
+    """The same over a whole table as one group."""
+    return evaluate.selected_percentiles(table(spark, d, "lineitem"), [], "l_extendedprice", (1, 50, 99.9, 100))
+
+
 @query("WITH t AS (SELECT user_id, event_type, max(value) AS ms FROM events GROUP BY ALL) SELECT event_type AS stage, count(ms) AS samples, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.7) AS p70, quantile_disc(ms, 0.95) AS p95, max(ms) AS p100, round(avg(ms), 6) AS mean, round(count(*) / (SELECT count(DISTINCT user_id) FROM events), 6) AS coverage FROM t GROUP BY event_type")
 def stage_latency(spark: SparkSession, d: str) -> DataFrame:
     """Each user's slowest event of a type as the timing of that stage."""
