@@ -6,7 +6,7 @@ import random
 import pytest
 
 from veristra.plans import streams
-from veristra.streaming import capped, upsert
+from veristra.streaming import capped, recorder, upsert
 
 SCHEMA = "event_id long, user_id string, ts timestamp"
 START = datetime.datetime(2024, 1, 1)
@@ -104,3 +104,18 @@ def test_newer_batches_take_the_place_of_older_ones(spark, tmp_path):
     write([(2, "c"), (3, "d")], 1)
     write([(2, "c"), (3, "d")], 1)
     assert sorted(map(tuple, upsert.read(spark, root, "k").collect()), key=repr) == [(1, "a"), (2, "c"), (3, "d"), (None, "n")]
+
+
+def test_a_ring_of_samples_over_triggers_is_that_of_the_table(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["dense", "dense", "sparse", None]), at(i // 3), rng.random()) for i in range(400)]
+    rows += [(500, "dense", at(500), None), (501, "dense", at(501), float("nan")), (502, "once", at(502), 2.0)]
+    schema = "event_id long, stage string, ts timestamp, value double"
+    for n, low in enumerate(range(0, len(rows), 130)):
+        spark.createDataFrame(rows[low : low + 130], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n:03}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    streams.run(recorder.stream_summaries(stream, "stage", "value", "ts", "event_id", 50), str(tmp_path), "update")
+    exact = lambda df: sorted(((r.stage, r.came, r.samples, r.p50, r.p70, r.p95, r.p100, round(r["mean"], 9)) for r in df.collect()), key=repr)
+    got = exact(upsert.read(spark, f"{tmp_path}/table", "stage"))
+    assert got == exact(recorder.summaries(spark.createDataFrame(rows, schema), "stage", "value", "ts", "event_id", 50))
+    assert {r[0]: r[2] for r in got}["once"] == 1 and len(got) == 4

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veristra.plans.index import scratch
 from veristra.plans.registry import query
 from veristra.session import steady, table
-from veristra.streaming import capped, upsert
+from veristra.streaming import capped, recorder, upsert
 
 IDLE, LONGEST = 6 * 3600, 15 * 3600
 CAPPED = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t_us FROM events WHERE ts IS NOT NULL),
@@ -32,13 +32,13 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-def run(stream: DataFrame, root: str) -> None:
+def run(stream: DataFrame, root: str, mode: str = "append") -> None:
     """To the end of what is there, with state in RocksDB."""
     spark, store = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store, None)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        upsert.start(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+        upsert.start(stream, f"{root}/table", f"{root}/checkpoint", mode).awaitTermination()
     finally:
         spark.conf.set(store, before) if before else spark.conf.unset(store)
 
@@ -57,3 +57,21 @@ def streamed_upsert(spark: SparkSession, d: str) -> DataFrame:
     root, events = scratch(spark, "events"), event_stream(spark, d)
     run(upsert.once(events.unionByName(event_stream(spark, d)), "event_id", "ts"), root)
     return upsert.read(spark, f"{root}/table", "event_id").select("event_id", "user_id", "event_type", "value")
+
+
+NEWEST = """WITH k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS i, count(*) OVER (PARTITION BY event_type) AS came FROM events WHERE value IS NOT NULL)
+SELECT event_type, max(came) AS came, count(*) AS samples, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.7) AS p70, quantile_disc(value, 0.95) AS p95, max(value) AS p100, round(avg(value), 6) AS mean FROM k WHERE i <= 500 GROUP BY event_type"""
+
+
+@query(NEWEST)
+def recorded_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Summary of the 500 newest values of each type of event."""
+    return recorder.summaries(table(spark, d, "events"), "event_type", "value", "ts", "event_id", 500).withColumn("mean", F.round("mean", 6))
+
+
+@query(NEWEST)
+def streamed_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a stream with a ring of samples a type in its state."""
+    root = scratch(spark, "summaries")
+    run(recorder.stream_summaries(event_stream(spark, d), "event_type", "value", "ts", "event_id", 500), root, "update")
+    return upsert.read(spark, f"{root}/table", "event_type").withColumn("mean", F.round("mean", 6))
