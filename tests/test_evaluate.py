@@ -58,3 +58,36 @@ def test_calibration_by_cells_is_that_of_every_triple(spark):
     assert len(empty) == len(want) and {(r.cases, r.f1) for r in empty} == {(0, 0.0)}
     with pytest.raises(ValueError, match="a grid holds"):
         evaluate.calibrate(scored, spark.range(100).select(F.col("id").alias("v")), *grids[1:])
+
+
+def test_group_sizes_meet_the_target_as_well_as_any_subset():
+    rng = random.Random(12)
+    for _ in range(150):
+        counts = {rng.randrange(1, 15): rng.randrange(1, 4) for _ in range(rng.randrange(1, 5))}
+        sums = {0}
+        for s, n in counts.items():
+            sums = {t + s * k for t in sums for k in range(n + 1)}
+        for target in {0, 1, rng.randrange(40), sum(s * n for s, n in counts.items()), 500}:
+            got = evaluate.pick_sizes(counts, target)
+            assert all(0 <= got[s] <= n for s, n in counts.items())
+            total = sum(s * n for s, n in got.items())
+            assert total == min(sums, key=lambda t: (abs(t - target), t > target)), (counts, target)
+            # a target beyond the driver's totals: shares of each size first
+            rough = evaluate.pick_sizes(counts, target, totals=16)
+            assert all(0 <= rough[s] <= n for s, n in counts.items())
+    many = {1: 10**6, 3: 10**5, 7: 10**4, 1000: 12}
+    for target in (10**5 + 1, 777_777):
+        assert sum(s * n for s, n in evaluate.pick_sizes(many, target, totals=5000).items()) == target
+
+
+def test_groups_are_chosen_whole_and_by_place(spark):
+    texts = [f"text {i}" for i in range(12)] + ["twice", "Twice "] * 1 + ["often"] * 5 + [None, ""]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "id long, text string, split string")
+    for rows in (0, 1, 7, 19, 100):
+        got = evaluate.group_split(df, "text", rows).collect()
+        assert len(got) == len(texts) and sum(r.split == "development" for r in got) == min(rows, len(texts))
+        sides = {}
+        for r in got:
+            assert sides.setdefault((r.text or "").lower().strip(), r.split) == r.split
+        assert evaluate.group_split(df.repartition(3), "text", rows).where("split = 'development'").count() == min(rows, len(texts))
+    assert evaluate.group_split(df.limit(0), "text", 3).count() == 0

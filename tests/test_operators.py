@@ -74,7 +74,7 @@ def test_metrics(spark):
     relevant = spark.createDataFrame([("q1", "a"), ("q2", "b")], "query_id string, doc_id string")
     m = evaluate.macro(evaluate.per_query(ranked, relevant, queries)).first()
     assert (m.recall_1, m.mrr_10) == (0.5, 0.75)
-    assert evaluate.pick_groups([("a", 3), ("b", 4), ("c", 5)], 8) == {"a", "c"}
+    assert evaluate.pick_sizes({3: 1, 4: 1, 5: 1}, 8) == {3: 1, 4: 0, 5: 1}
     e = spark.createDataFrame([(10.0,), (11.0,), (250.0,), (None,)], "v double").agg(*latency.summary("v")).first()
     assert (e.samples, e.p100) == (3, 250.0)
 

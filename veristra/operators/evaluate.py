@@ -5,6 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -186,19 +187,64 @@ def hash_split(df: DataFrame, text: str, share: float, seed: int = SETTINGS.seed
     return df.withColumn("split", F.when(place < share, "development").otherwise("final"))
 
 
-def pick_groups(sizes: list[tuple[str, int]], target: int) -> set[str]:
-    """Groups whose sizes come to ``target``, or nearest to it (rather below); earlier groups first. A driver-side table."""
-    reach: dict[int, tuple[int, str] | None] = {0: None}
-    for name, size in sizes:
-        for total in sorted(reach, reverse=True):
-            if total + size not in reach and total + size <= 2 * target + size:
-                reach[total + size] = (total, name)
-    at = min(reach, key=lambda t: (abs(t - target), t > target))
-    out = set()
-    while reach[at] is not None:
-        at, name = reach[at]
-        out.add(name)
-    return out
+#: Totals that the driver tells apart, 8 bytes each.
+TOTALS = 1 << 24
+
+
+def pick_sizes(counts: dict[int, int], target: int, totals: int = TOTALS) -> dict[int, int]:
+    """How many groups of each size to take, so that their sizes come to ``target`` or nearest to it (rather below).
+
+    counts: groups of each size. Targets of up to ``totals`` are met as well as can be. Beyond, every size first gives
+    its share but for what ``totals`` leaves open, and the rest is met as well as what remains allows.
+    """
+    given = dict.fromkeys(counts, 0)
+    whole = sum(s * n for s, n in counts.items())
+    if target > totals:
+        share = (target - totals // 2) / max(whole, 1)
+        given = {s: min(n, int(n * share)) for s, n in counts.items()}
+        target -= sum(s * n for s, n in given.items())
+    left = {s: n - given[s] for s, n in counts.items() if s > 0}
+    most = min(2 * target, sum(s * n for s, n in left.items())) if target > 0 else 0
+    # the size by which a total was first reached, and how many of it: what they are added to was reached before by other sizes
+    by, times = np.zeros(most + 1, np.int32), np.full(most + 1, -1, np.int32)
+    times[0] = 0
+    for size in sorted(left):
+        before = times >= 0
+        # of each total not reached yet, the nearest reached one below in steps of ``size``, no more steps than groups
+        for start in range(min(size, most + 1)):
+            lane = before[start::size]
+            at = np.maximum.accumulate(np.where(lane, np.arange(len(lane)), -1))
+            steps = np.arange(len(lane)) - at
+            new = ~lane & (at >= 0) & (steps <= left[size])
+            by[start::size][new] = size
+            times[start::size][new] = steps[new]
+    reached = np.flatnonzero(times >= 0)
+    total = int(min(reached, key=lambda t: (abs(t - target), t > target)))
+    while total > 0:
+        size, n = int(by[total]), int(times[total])
+        given[size] += n
+        total -= size * n
+    return given
+
+
+def choose_groups(groups: DataFrame, target: int, totals: int = TOTALS) -> DataFrame:
+    """``groups`` (group, size, place) with ``chosen``: whole groups whose sizes come to ``target`` or nearest to it.
+
+    Of groups of one size those first in order of place (then group) are taken. The driver holds the number of groups
+    of each size; distinct sizes are few, as n of them need n * n / 2 rows. Groups of no rows are never chosen.
+    """
+    counts = {r["size"]: r["count"] for r in groups.groupBy("size").count().where("size > 0").collect()}
+    wanted = groups.sparkSession.createDataFrame([(s, n) for s, n in pick_sizes(counts, target, totals).items()] or [(0, 0)], "s long, m long")
+    placed = numbered(groups, ["size"], [F.col("place"), F.col("group")], "n")
+    return placed.join(F.broadcast(wanted), F.col("size") == F.col("s"), "left").select(*groups.columns, F.coalesce(F.col("n") < F.col("m"), F.lit(False)).alias("chosen"))
+
+
+def group_split(df: DataFrame, text: str, rows: int, seed: int = SETTINGS.seed) -> DataFrame:
+    """``df`` with split: whole contents of ``rows`` rows together, or as near as can be, are "development", the rest "final"."""
+    keyed = df.withColumn("__group", content_group(F.col(text)))
+    groups = keyed.groupBy("__group").agg(F.count("*").alias("size")).select(F.col("__group").alias("group"), "size", split_order(F.col("__group"), seed).alias("place"))
+    chosen = choose_groups(groups, rows).where("chosen").select("group")
+    return keyed.join(chosen.withColumn("__in", F.lit(True)), F.col("__group") == F.col("group"), "left").withColumn("split", F.when(F.col("__in"), "development").otherwise("final")).drop("__group", "__in", "group")
 
 
 def id_fingerprint(ids: str) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veristra.checkpoints import cut_lineage
 from veristra.functions import text as X
 
 # Which query field a preference reads first, and openings that say nothing.
@@ -80,6 +83,37 @@ def corpus_faults(rows: DataFrame, key: str, text: str, allowed: tuple[str, ...]
     return marked.select(key, F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))).alias("faults"))
 
 
+def leaks(rows: DataFrame, key: str, forbidden: tuple[str, ...]) -> DataFrame:
+    """(<key>, path, field): every field of a forbidden name (without case) at any depth of a row.
+
+    Looks into structs, maps (by key), arrays, variants, and text that is a JSON object or array, in which more of the
+    same may lie. Columns and fields of structs count if they hold a value, keys of maps and of JSON always. Text that
+    begins like JSON and isn't valid is searched for quoted names followed by a colon; their path ends in ``~``. Paths
+    are as in ``a.b[0].c``. A row without key comes with a null; repeated rows are told as often as they occur. Each
+    level is one pass over the values that have something below them.
+    """
+    spark, names = rows.sparkSession, [f.lower() for f in forbidden]
+    nothing = "__k string, path string, field string"
+    node = F.parse_json(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+    level = rows.select(F.col(f"`{key}`").cast("string").alias("__k"), F.lit("").alias("path"), node.alias("node"))
+    found = [spark.createDataFrame([], nothing)]
+    while True:
+        children = spark.sql("SELECT __k, path, t.pos AS pos, t.key AS name, t.value AS value FROM {level}, LATERAL variant_explode(node) AS t", level=level)
+        step = F.when(F.col("name").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("name")).otherwise(F.concat("path", F.lit("."), "name"))
+        kind = F.schema_of_variant("value")
+        text = F.when(kind == "STRING", F.ltrim(F.variant_get("value", "$", "string")))
+        like = F.coalesce(text.startswith("{") | text.startswith("["), F.lit(False))
+        below = F.when(like, F.try_parse_json(text)).when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.col("value"))
+        seen = cut_lineage(children.select("__k", step.alias("path"), "name", below.alias("node"), F.when(like & F.try_parse_json(text).isNull(), text).alias("broken")).where(F.col("node").isNotNull() | F.lower("name").isin(names) | F.col("broken").isNotNull()))
+        found.append(seen.where(F.lower("name").isin(names)).select("__k", "path", F.lower("name").alias("field")))
+        quoted = F.transform(F.regexp_extract_all("broken", F.lit('"([^"\\\\]*)\\\\*"\\s*:'), 1), F.lower)
+        found.append(seen.where("broken IS NOT NULL").select("__k", F.concat("path", F.lit("~")).alias("path"), F.explode(F.array_intersect(quoted, F.array(*[F.lit(n) for n in names]))).alias("field")))
+        level = seen.where("node IS NOT NULL").select("__k", "path", "node")
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("__k", key)
+
+
 def payload(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Only these fields, in this order; a field that the rows lack is null."""
     return rows.select(*[resolve(rows, f).alias(f) for f in fields])

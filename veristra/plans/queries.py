@@ -533,6 +533,15 @@ def selected_percentiles_global(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.selected_percentiles(table(spark, d, "lineitem"), [], "l_extendedprice", (1, 50, 99.9, 100))
 
 
+@query("SELECT 'development' AS split, count(*) // 5 AS n FROM documents UNION ALL SELECT 'final', count(*) - count(*) // 5 FROM documents UNION ALL SELECT 'both', 0")
+def group_split(spark: SparkSession, d: str) -> DataFrame:
+    """A fifth of the documents to the row, contents kept whole: rows of each side, and contents that are on both."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    split = cut_lineage(evaluate.group_split(docs, "text", docs.count() // 5).select("split", evaluate.content_group(F.col("text")).alias("g")))
+    torn = split.groupBy("g").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n")).select(F.lit("both").alias("split"), "n")
+    return split.groupBy("split").agg(F.count("*").alias("n")).unionByName(torn)
+
+
 @query("WITH t AS (SELECT user_id, event_type, max(value) AS ms FROM events GROUP BY ALL) SELECT event_type AS stage, count(ms) AS samples, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.7) AS p70, quantile_disc(ms, 0.95) AS p95, max(ms) AS p100, round(avg(ms), 6) AS mean, round(count(*) / (SELECT count(DISTINCT user_id) FROM events), 6) AS coverage FROM t GROUP BY event_type")
 def stage_latency(spark: SparkSession, d: str) -> DataFrame:
     """Each user's slowest event of a type as the timing of that stage."""

@@ -68,6 +68,18 @@ def corpus_row_checks(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(F.array_join("faults", ",").alias("faults")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT path, field, count(*) AS n FROM (
+  SELECT 'kinds.' || event_type AS path, event_type AS field FROM events WHERE event_type IN ('click', 'error')
+  UNION ALL SELECT 'kinds.' || event_type || '[0].note.k', 'k' FROM events WHERE json_extract(props, '$.k') IS NOT NULL
+  UNION ALL SELECT 'kinds.' || event_type || '[1].note.deep[1].Value', 'value' FROM events WHERE value > 50) GROUP BY ALL""")
+def leak_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Forbidden names as keys of maps, in JSON held as text, and in JSON within such JSON."""
+    events = table(spark, d, "events")
+    deep = F.when(F.col("value") > 50, F.to_json(F.struct(F.array(F.lit("x"), F.to_json(F.struct(F.col("value").alias("Value")))).alias("deep"))))
+    nested = events.select("event_id", F.create_map("event_type", F.array(F.struct(F.col("props").alias("note")), F.struct(deep.alias("note")))).alias("kinds"))
+    return records.leaks(nested, "event_id", ("click", "ERROR", "k", "value")).groupBy("path", "field").agg(F.count("*").alias("n"))
+
+
 @query("SELECT sha256(text) AS canonical_doc_id, sha256(text) AS parent_id, length(text) AS n, NULL::VARCHAR AS translation_model FROM documents")
 def payload_fields(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select(F.sha2("text", 256).alias("Canonical_Doc_Id"), F.sha2("text", 256).alias("parent_id"), F.col("text").alias("english_text"), "n_chars", "source")
