@@ -210,3 +210,18 @@ def test_later_rounds_fill_what_the_first_left_open(spark):
 def test_sequences_of_the_query_are_few(spark):
     got = QUERIES["op13_best_fit"](spark, "/root/testdata/sf0.01").agg(F.sum("length").alias("tokens"), F.countDistinct("sequence_id").alias("n")).first()
     assert got.n <= 1.003 * -(-got.tokens // 2048)
+
+
+@pytest.mark.parametrize(("size", "least"), [("sf0.001", 0.9), ("sf0.01", 0.9)])
+def test_the_forest_finds_nine_in_ten_of_few_rows(spark, size, least):
+    folder = f"/root/testdata/{size}"
+    rows = [(r.vec_id, np.array(r.embedding)) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    found = collections.defaultdict(set)
+    for r in QUERIES["op2_hash_forest"](spark, folder).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for q, v in rows:
+        if q % 20 == 0:
+            best = sorted((-float(v @ w), i) for i, w in rows if i != q)[:20]
+            hits, total = hits + len(found[q] & {i for _, i in best}), total + len(best)
+    assert hits >= least * total

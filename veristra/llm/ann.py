@@ -26,6 +26,8 @@ from veristra.llm.common import cut_lineage
 TREES, BITS = 256, 32
 BLOCK, CHUNK = 16384, 8192
 SHARE = 1 / 3
+#: Rows looked at for each neighbour asked for, at least: where neighbours are a large part of few rows, a third of these misses too many.
+PER_NEIGHBOUR = 12
 SEED = 5
 
 
@@ -90,7 +92,7 @@ class Forest:
 def best_of(forest: Forest, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float) -> tuple[list[tuple], int]:
     """(query id, id, score) of each query's k best candidates, and how many rows were scored."""
     out, looked_at = [], 0
-    for q, rows in forest.candidates(queries, max(4 * k, int(np.ceil(share * len(ids))))):
+    for q, rows in forest.candidates(queries, max(PER_NEIGHBOUR * k, int(np.ceil(share * len(ids))))):
         looked_at += len(rows)
         rows = rows[ids[rows] != query_ids[q]]
         if not len(rows):
