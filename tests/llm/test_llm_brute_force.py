@@ -405,3 +405,53 @@ def test_pipeline_rows_against_stages(spark):
     one = packing.encoder(tokenizer_file())
     assert tokens == collections.Counter({r.doc_id: plan[r.doc_id] * (len(one.encode([r.text])[0]) // 4 + 1) for r in rest if plan[r.doc_id]})
     assert [list(g) for _, g in itertools.groupby(sorted({r.sequence_id for r in pieces}))]
+
+
+def _g(table):
+    """Twice the log likelihood ratio of a two by two table against independence."""
+    total = sum(map(sum, table))
+    cells = [(table[i][j], sum(table[i]) * (table[0][j] + table[1][j]) / total) for i in (0, 1) for j in (0, 1)]
+    return 2 * sum(seen * math.log(seen / due) for seen, due in cells if seen)
+
+
+def _low(a, n, z=1.645):
+    return (a / n + z * z / 2 / n - z * math.sqrt(a / n * (1 - a / n) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+
+
+def test_toxic_terms_and_scores(spark):
+    """Telling terms, terms of pairs and scores against loops over rows and pairs."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(700):
+        held = {t for t in range(24) if rng.random() < 0.15 + 0.02 * t}
+        rows.append((int({3, 17} <= held or 1 in held and rng.random() < 0.8 or {20, 21} <= held and rng.random() < 0.7), held))
+    toxic = sum(y for y, _ in rows)
+    seen = {t: (sum(y for y, held in rows if t in held), sum(t in held for _, held in rows)) for t in range(24)}
+    counts = spark.createDataFrame([(t, a, n) for t, (a, n) in seen.items()] + [(99, 0, 0), (98, 2, 2)], "term long, toxic long, n long")
+    got = {r.term: r.ratio for r in toxicity.telling(counts, toxic, 700).collect()}
+    due = {t: _g([[a, n - a], [toxic - a, 700 - n - toxic + a]]) for t, (a, n) in seen.items()}
+    due = {t: g for t, g in due.items() if g >= toxicity.LEAST_RATIO and _low(*seen[t]) >= toxicity.LEAST_SHARE}
+    assert got.keys() == due.keys() and all(abs(got[t] - due[t]) < 1e-6 for t in due) and due
+
+    wanted = set()
+    for s in range(24):
+        for t in set(range(24)) - {s}:
+            part = [(y, t in held) for y, held in rows if s in held]
+            other = [(y, s in held) for y, held in rows if t in held]
+            a, n = sum(y for y, b in part if b), sum(b for _, b in part)
+            raised = lambda some: (lambda x: x[0][0] * sum(map(sum, x)) > sum(x[0]) * (x[0][0] + x[1][0]) and _g(x) >= toxicity.PAIR_RATIO)([[sum(y == v and b == w for y, b in some) for v in (1, 0)] for w in (True, False)])
+            if n and raised(part) and raised(other) and _low(a, n) >= toxicity.PAIR_SHARE:
+                wanted |= {s, t}
+    pairs = toxicity.meeting(*toxicity.together([(y, np.array(sorted(held), "<i4")) for y, held in rows], 24))
+    assert set(np.flatnonzero(pairs).tolist()) == wanted and {3, 17} <= wanted
+    assert toxicity.meeting(*toxicity.together([], 0)).shape == (0,)
+
+    words = ["alpha", "beta", "gamma", "delta", "be"]
+    terms = sorted({x for w in words for x in toxicity.word_terms(w)})
+    values = np.random.default_rng(2)
+    model = toxicity.FactorizationMachine(-0.3, {t: i for i, t in enumerate(terms)}, values.normal(size=len(terms)), values.normal(size=(len(terms), 4)))
+    texts = [None, "", "Alpha, ALPHA beta", "gamma delta be unknown " * 50, "be"]
+    for text, r in zip(texts, toxicity.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").coalesce(1), model).orderBy("doc_id").collect(), strict=True):
+        at = [model.terms[t] for t in toxicity.text_terms(text) if t in model.terms]
+        margin = model.bias + sum(model.weights[i] for i in at) + sum(float(model.factors[i] @ model.factors[j]) for i in at for j in at if i < j)
+        assert abs(r.score - 1 / (1 + math.exp(-margin))) < 1e-9

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 from veristra.llm import ann, licenses, minhash, mixing, packing, quality, sharding, substring, toxicity, urls
@@ -288,3 +289,24 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, none):
     after = corpus_pipeline.unrepeated(spark, corpus_pipeline.unique(spark, docs, ""), "")
     assert sorted(r.text for r in after.collect()) == want
     assert minhash.keep_first(none).count() == 0
+
+
+@pytest.mark.parametrize("draw", ["insults are often aimed at no one", "all that is toxic is rare"])
+def test_toxic_only_together(spark, draw):
+    """Either word alone is common in clean texts, so that neither goes with toxicity: only their factors can tell."""
+    rng = random.Random(3)
+    filler = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    both = (lambda: (rng.random() < 0.3, rng.random() < 0.6)) if draw.startswith("insults") else (lambda: rng.choices([(1, 1), (1, 0), (0, 1), (0, 0)], [1, 4, 4, 1])[0])
+    rows = []
+    for i in range(4500):
+        insult, group = both()
+        words = rng.sample(filler, 8) + ["insulter"] * bool(insult) + ["grouping"] * bool(group)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(insult and group)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"), toxicity.third)
+    plain = toxicity.FactorizationMachine(model.bias, model.terms, model.weights, model.factors * 0)
+    toxic, clean = ([r for r in docs.where(toxicity.third(F.col("doc_id"))).collect() if r.toxic == y] for y in (1, 0))
+    share = lambda m, some: sum(m.score(r.text) >= toxicity.THRESHOLD for r in some) / len(some)
+    assert share(model, toxic) >= 0.9 and share(model, clean) <= 0.01
+    assert share(plain, toxic) < 0.5 or share(plain, clean) > 0.1

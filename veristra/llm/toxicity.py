@@ -6,9 +6,11 @@ their factors, so that two terms can mean more together than each alone. Weights
 
 The model is fitted from a bounded sample of labelled rows: at most POSITIVES and NEGATIVES of either label, the
 least by hash of doc_id, so the same rows each time. Spark counts the terms of the sample's whole texts by label; only
-terms that go with toxicity take part (``telling``), at most TERMS of them, so that a long text doesn't gather
-noise. Rows reach the driver as lists of such terms. Every document is then scored over its whole text in one scan
-without a shuffle; the model's size depends on the sample alone.
+terms that go with toxicity take part, so that a long text doesn't gather noise: those that do so alone (``telling``),
+at most TERMS of them, and those that do so together though each alone may be common in clean texts (``meeting``),
+sought among the CANDIDATES terms of most toxic rows. Rows reach the driver as lists of such terms, four bytes each.
+Every document is then scored over its whole text in one scan without a shuffle; the model's size depends on the
+sample alone.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ POSITIVES, NEGATIVES = 3000, 7000
 TERMS = 20_000
 #: A telling term: in so many rows, of a likelihood ratio (twice its log) and a lower bound of its share of toxic rows.
 LEAST_ROWS, LEAST_RATIO, LEAST_SHARE = 3, 12.0, 0.3
+#: Terms whose pairs are tried. Each of two terms must raise the share of toxic rows among those of the other, by a
+#: likelihood ratio that chance reaches in one of 2 * 10^7 pairs, to a share of which this is the lower bound.
+CANDIDATES, PAIR_RATIO, PAIR_SHARE = 2048, 32.0, 0.5
 FACTORS = 4
 ROUNDS, BATCH = 12, 64
 RATE, FACTOR_RATE, L1, L2 = 0.7, 0.1, 1.0, 0.02
@@ -153,6 +158,50 @@ def telling(counts: DataFrame, positives: int, total: int) -> DataFrame:
     return counts.where((F.col("n") >= LEAST_ROWS) & (ratio >= LEAST_RATIO) & (low >= LEAST_SHARE)).select("term", ratio.alias("ratio"))
 
 
+def together(rows: list[tuple[int, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two n by n arrays: toxic and clean rows that hold both terms. rows: (label, places of its terms below n)."""
+    found = np.zeros((2, n, n), np.float32)
+    for y in (1, 0):
+        some = [at for label, at in rows if label == y]
+        for low in range(0, len(some), 1024):
+            part = some[low : low + 1024]
+            held = np.zeros((len(part), n), np.float32)
+            for row, at in enumerate(part):
+                held[row, at] = 1
+            found[1 - y] += held.T @ held
+    return found[0], found[1]
+
+
+def meeting(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Whether each term is one of a pair that goes with toxicity beyond either term alone.
+
+    toxic, clean: from ``together``. A pair counts if in the rows of either term the other raises the share of toxic
+    rows, with G (twice the log likelihood ratio) of PAIR_RATIO both ways, and the lower bound of the share of toxic
+    rows among those with both (Wilson, 95 % one-sided) is PAIR_SHARE.
+    """
+    z, out = 1.645, np.zeros(len(toxic), bool)
+    own = (np.diag(toxic).astype(float), np.diag(clean).astype(float))
+
+    def raised(a: np.ndarray, b: np.ndarray, both_toxic: np.ndarray, both_clean: np.ndarray) -> np.ndarray:
+        # a, b: toxic and clean rows of the one term; the other's presence against the label there
+        cells = np.stack([both_toxic, both_clean, a - both_toxic, b - both_clean])
+        with_it, without = cells[0] + cells[1], cells[2] + cells[3]
+        every = np.maximum(with_it + without, 1)
+        due = np.stack([with_it * a, with_it * b, without * a, without * b]) / every
+        ratio = 2 * (cells * np.log(np.where(cells > 0, cells / np.where(due > 0, due, 1), 1))).sum(0)
+        return np.where(cells[0] > due[0], ratio, 0)
+
+    for low in range(0, len(toxic), 128):
+        part = slice(low, low + 128)
+        t, c = toxic[part].astype(float), clean[part].astype(float)
+        one = raised(own[0][part, None], own[1][part, None], t, c)
+        other = raised(own[0][None, :], own[1][None, :], t, c)
+        n = np.maximum(t + c, 1)
+        share = (t / n + z * z / 2 / n - z * np.sqrt(t / n * (1 - t / n) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+        out[part] = ((np.minimum(one, other) >= PAIR_RATIO) & (share >= PAIR_SHARE)).any(1)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], text: str = "text", key: str = "doc_id", label: str = "toxic") -> FactorizationMachine:
     """Fit on labelled rows that ``held_out`` (a Column function of the key) leaves.
 
@@ -179,15 +228,26 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column]
     if not 0 < positives < total:
         return train([(y, np.zeros(0, np.int64)) for y, n in rows_by_label.items() for _ in range(n)])
     counted = source.mapInArrow(count, "term long, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    kept = frozenset(r[0] for r in telling(counted, positives, total).orderBy(F.col("ratio").desc(), "term").limit(TERMS).collect())
-
-    def to_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    by_ratio = telling(counted, positives, total).orderBy(F.col("ratio").desc(), "term").limit(TERMS).select("term", F.lit(True).alias("alone"))
+    by_count = counted.where((F.col("toxic") >= LEAST_ROWS) & (F.col("n") >= LEAST_ROWS)).orderBy(F.col("toxic").desc(), "term").limit(CANDIDATES).select("term", F.lit(False).alias("alone"))
+    # one job: both read the counts from one shuffle
+    picked = by_ratio.unionByName(by_count).collect()
+    alone, frequent = {r.term for r in picked if r.alone}, sorted(r.term for r in picked if not r.alone)
+    # candidates stand first
+    names = np.array(frequent + sorted(alone - set(frequent)), np.int64)
+    place = {t: i for i, t in enumerate(names.tolist())}
+
+    def to_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(kept & text_terms(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["y", "terms"])
-
-    rows = source.mapInArrow(to_terms, "y int, terms array<long>").collect()
-    return train(sorted(((r[0], np.array(r[1], np.int64)) for r in rows), key=lambda r: (r[0], r[1].tobytes())))
+            found = [np.array(sorted(place[x] for x in text_terms(t) if x in place), "<i4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["y", "places"])
+
+    rows = [(r[0], np.frombuffer(r[1], "<i4")) for r in source.mapInArrow(to_places, "y int, places binary").collect()]
+    n = len(frequent)
+    paired = meeting(*together([(y, at[at < n]) for y, at in rows], n))
+    chosen = np.array([t in alone for t in names.tolist()], bool)
+    chosen[:n] |= paired
+    return train(sorted(((y, np.sort(names[at[chosen[at]]])) for y, at in rows), key=lambda r: (r[0], r[1].tobytes())))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text: str = "text", to: str = "score") -> DataFrame:
