@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veristra.config import SETTINGS
+from veristra.functions import encoders
 from veristra.functions import text as X
 
 # Fixed value: what stands between the two texts of a pair.
@@ -85,31 +88,40 @@ def sections(sentences: list[dict], vectors: list[list[float]] | None, quantile:
     return out
 
 
-def hashed_vectors(texts: list[str], dimension: int = 64) -> list[list[float]]:
-    """A deterministic sentence encoder for when no model is at hand."""
-    import hashlib
-
-    out = []
-    for t in texts:
-        v = [0.0] * dimension
-        for w in t.lower().split():
-            d = hashlib.sha256(w.encode()).digest()
-            v[int.from_bytes(d[:4], "big") % dimension] += 1.0 if d[4] % 2 else -1.0
-        out.append(v)
-    return out
+#: Encoder of sections for when no model is at hand.
+HASHED = encoders.hashed(unit=False, fold=True)
+#: Sentences that are encoded together at least, but for the last of a batch.
+TOGETHER = 1024
 
 
-def semantic_sections(docs: DataFrame, encode=hashed_vectors, least: int = SETTINGS.semantic_sentences, quantile: float = SETTINGS.semantic_quantile, most: int = SETTINGS.semantic_words) -> DataFrame:
-    """Sections of texts with at least ``least`` sentences of three words; ``encode`` turns a list of sentences into vectors."""
+def semantic_sections(docs: DataFrame, encoder: encoders.Encoder = HASHED, least: int = SETTINGS.semantic_sentences, quantile: float = SETTINGS.semantic_quantile, most: int = SETTINGS.semantic_words) -> DataFrame:
+    """Sections of texts with at least ``least`` sentences of three words. Sentences of many texts are encoded together."""
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            found = [dict(zip(("text", "start", "end"), s, strict=True)) for s in X.split_sentences(t)]
-            meaty = [s["text"] for s in found if len(s["text"].split()) >= 3]
-            out.append([{"start": a, "end": b} for a, b in sections(found, encode(meaty), quantile, most)] if len(meaty) >= max(2, least) else [])
-        return pd.Series(out)
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out: list[list[dict]] = []
+            waiting: list[tuple[list[dict], list[str]]] = []
+
+            def flush(out=out, waiting=waiting) -> None:
+                vectors = encoders.encode_list(encoder, [t for _, meaty in waiting for t in meaty])
+                at = 0
+                for found, meaty in waiting:
+                    mine, at = vectors[at : at + len(meaty)], at + len(meaty)
+                    out.append([{"start": a, "end": b} for a, b in sections(found, mine, quantile, most)] if meaty else [])
+                waiting.clear()
+
+            held = 0
+            for t in texts:
+                found = [dict(zip(("text", "start", "end"), s, strict=True)) for s in X.split_sentences(t)]
+                meaty = [s["text"] for s in found if len(s["text"].split()) >= 3]
+                waiting.append((found, meaty if len(meaty) >= max(2, least) else []))
+                held += len(waiting[-1][1])
+                if held >= TOGETHER:
+                    flush()
+                    held = 0
+            flush()
+            yield pd.Series(out, dtype=object)
 
     return _spans(docs.where("length(source) > 0"), spans(F.col("source")), "semantic_section")
 

@@ -16,6 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veristra.checkpoints import ranked
+from veristra.functions.encoders import Encoder, encode
+from veristra.operators.retrieve import dense_search
 from veristra.sources.publish import Folder
 
 LEDGER = "bucket int, print string, documents long, chunks long, ids long, bytes long, checksum long"
@@ -34,6 +37,11 @@ class Build:
     checksum: int
 
 
+def embedded(chunk: Callable[[DataFrame], DataFrame], encoder: Encoder) -> Callable[[DataFrame], DataFrame]:
+    """A chunker whose rows carry their passages' vectors."""
+    return lambda docs: encode(chunk(docs), encoder)
+
+
 def bucket_of(key: Column, buckets: int) -> Column:
     """A bucket from the first 24 bits of the key's SHA-256; a null key counts as empty."""
     return (F.conv(F.substring(F.sha2(F.coalesce(key.cast("string"), F.lit("")), 256), 1, 6), 16, 10).cast("long") % buckets).cast("int")
@@ -66,13 +74,19 @@ def ledger(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(f"{root}/ledger").dropDuplicates(["bucket", "print"])
 
 
-def build(docs: DataFrame, root: str, chunk: Callable[[DataFrame], DataFrame], settings: dict, buckets: int = 64, wave: int = 16, files: int = 1, key: str = "parent_id") -> Build:
+def build(docs: DataFrame, root: str, chunk: Callable[[DataFrame], DataFrame], settings: dict, buckets: int = 64, wave: int = 16, files: int = 1, key: str = "parent_id", encoder: Encoder | None = None) -> Build:
     """Bring the index in ``root`` up to date with ``docs`` and publish it.
 
     chunk turns documents into rows with chunk_id, <key> and text; settings name all that its results depend on
     (strategies, sizes, the encoder's name and version). A chunk id that repeats stands once. ``wave`` buckets are
     written a job and noted in the ledger before the next job starts. ``files``: files of a part. An empty table raises.
+    With an encoder, chunks get their vectors as ``embedding``, and the encoder's settings belong to the build: another
+    version or prefix makes other parts.
     """
+    if encoder is not None:
+        if "encoder" in settings:
+            raise ValueError("the encoder's settings come from the encoder")
+        settings, chunk = settings | {"encoder": encoder.settings()}, embedded(chunk, encoder)
     spark, folder = docs.sparkSession, Folder(docs.sparkSession, root)
     docs = docs.withColumn("bucket", bucket_of(F.col(key), buckets))
     wanted = prints(docs, settings, buckets).collect()
@@ -134,6 +148,25 @@ def open_index(spark: SparkSession, root: str, manifest: dict | None = None) ->
     return spark.read.option("basePath", f"{root}/parts").parquet(*paths)
 
 
+def search(spark: SparkSession, root: str, queries: DataFrame, encoder: Encoder, k: int, where: Column | None = None) -> DataFrame:
+    """(query_id, rank, chunk_id, parent_id, score): the k chunks of the published build nearest to each query.
+
+    queries: query_id (a whole number), query. ``where`` narrows the chunks before the search. A build without vectors,
+    or with those of another encoder, raises. Ties go to the smaller chunk_id.
+    """
+    manifest = current(spark, root)
+    bound = manifest["settings"].get("encoder")
+    if bound != encoder.settings():
+        raise ValueError(f"the build's vectors are of {bound}, not of {encoder.settings()}")
+    chunks = open_index(spark, root, manifest)
+    chunks = chunks if where is None else chunks.where(where)
+    base = ranked(chunks.select("chunk_id", "parent_id", "embedding"), [], [F.col("chunk_id")], "place")
+    asked = encode(queries.select(F.col("query_id").alias("place"), "query"), encoder, text="query", role="query")
+    found = dense_search(asked, base.select("place", "embedding"), k, key="place", same=True)
+    # k rows a query meet the chunks' names
+    return found.join(base.select("place", "chunk_id", "parent_id"), "place").select("query_id", "rank", "chunk_id", "parent_id", "score")
+
+
 def damaged(spark: SparkSession, root: str) -> DataFrame:
     """(bucket, print) of parts that no longer hold what the manifest says; parts that are missing fail the read."""
     found = current(spark, root)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veristra.checkpoints import FEW, cut_lineage
 from veristra.config import SETTINGS
+from veristra.functions import encoders
 from veristra.functions import language as L
 from veristra.functions import text as X
 from veristra.functions import vectors as V
@@ -447,3 +448,20 @@ def hybrid(queries: DataFrame, dense: DataFrame, sparse: DataFrame, parents: Dat
     with_parent = both.join(parents, "chunk_id")
     near = agreement(with_parent.where("source = 'dense'"), with_parent.where("source = 'sparse'"))
     return hits, near
+
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame, encoder: encoders.Encoder, depth: int = 24, limit: int = SETTINGS.final_limit) -> DataFrame:
+    """(query_id, rank, parent_id, chunk_id, score, agreement): queries routed, searched both ways under ``encoder``, and fused.
+
+    queries: query_id, query. chunks: chunk_id, parent_id, text; query_id and chunk_id are whole numbers, chunk_id is a
+    key. Each branch finds ``depth`` chunks a query. Null texts and texts without words have no vector direction and no
+    n-grams: they find nothing and are not found. Either table may be empty.
+    """
+    asked = cut_lineage(route(queries.where("query_id IS NOT NULL").select("query_id", "query")).select("query_id", "query", F.col("plan.dense_weight").alias("dense_weight"), F.col("plan.sparse_weight").alias("sparse_weight")))
+    tokens = lambda c: F.concat_ws(" ", X.word_tokens(F.col(c)))
+    vectors = lambda df, key, text, role: encoders.encode(df.select(F.col(key).alias("chunk_id"), tokens(text).alias("text")), encoder, role=role)
+    dense = cut_lineage(dense_search(vectors(asked, "query_id", "query", "query"), vectors(chunks, "chunk_id", "text", "passage"), depth, key="chunk_id", same=True))
+    form = lambda df, key, text: df.select(key, X.plain_matching(F.col(text)).alias("form"))
+    sparse = cut_lineage(gram_search(form(asked, "query_id", "query"), form(chunks, "chunk_id", "text"), depth, "chunk_id"))
+    hits, near = hybrid(asked, dense, sparse, chunks.select("chunk_id", "parent_id"), limit)
+    return hits.join(near, "query_id", "left").select("query_id", "rank", "parent_id", "chunk_id", "score", "agreement")

@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veristra.functions import encoders
 from veristra.functions import text as X
 from veristra.operators import chunking, frequency, indexing, retrieve
-from veristra.plans.queries import GRAMS, _sources
-from veristra.plans.registry import query
+from veristra.plans.queries import GRAMS, HASHED, _sources
+from veristra.plans.registry import ORACLE_SQL, query
 from veristra.session import table
 
 ATOMIC = {"strategies": ["atomic"]}
@@ -83,3 +84,28 @@ def frequency_state(spark: SparkSession, d: str) -> DataFrame:
     frequency.save(frequency.fold(frequency.load(spark, root), counted(turns.where("conv_id % 2 = 1"))), root)
     left = frequency.fold(frequency.load(spark, root), counted(turns.where("conv_id % 5 = 0")), -1)
     return left.frequency.select("feature", "df", F.lit(left.documents).cast("long").alias("documents"))
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Conversation turns: chunk_id, parent_id (the conversation), text."""
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("conv_id").alias("parent_id"), "text")
+
+
+@query("WITH " + HASHED + "SELECT query_id, rank::INT AS rank, id AS turn_id, round(score, 9) AS score FROM hranked WHERE rank <= 5")
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    """Turns indexed with their vectors, published, and searched under the build's encoder for all benchmark passages."""
+    root, encoder = scratch(spark, "vectors"), encoders.hashed()
+    tokens = lambda c: F.concat_ws(" ", X.word_tokens(F.col(c)))
+    turns = _turns(spark, d).select(F.col("chunk_id").cast("string").alias("parent_id"), tokens("text").alias("text"))
+    # keys as texts sort as their numbers
+    indexing.build(turns, root, lambda docs: docs.withColumn("chunk_id", F.lpad("parent_id", 19, "0")), {"unit": "turn"}, BUCKETS, wave=BUCKETS, encoder=encoder)
+    found = indexing.search(spark, root, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tokens("text").alias("query")), encoder, 5)
+    return found.select("query_id", "rank", F.col("parent_id").cast("long").alias("turn_id"), F.round("score", 9).alias("score"))
+
+
+@query(ORACLE_SQL["hybrid_topk"])
+def encoder_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """The whole hybrid search as one call that takes its encoder."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = retrieve.hybrid_search(items, _turns(spark, d), encoders.hashed())
+    return found.select("query_id", "rank", "parent_id", "chunk_id", F.round("score", 9).alias("score"), F.round("agreement", 9).alias("agreement"))
