@@ -14,6 +14,7 @@ from veristra.operators import chunking, frequency, indexing, retrieve
 from veristra.plans.queries import GRAMS, HASHED, _sources
 from veristra.plans.registry import ORACLE_SQL, query
 from veristra.session import table
+from veristra.sources import batches
 
 ATOMIC = {"strategies": ["atomic"]}
 BUCKETS = 48
@@ -109,3 +110,30 @@ def encoder_hybrid(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     found = retrieve.hybrid_search(items, _turns(spark, d), encoders.hashed())
     return found.select("query_id", "rank", "parent_id", "chunk_id", F.round("score", 9).alias("score"), F.round("agreement", 9).alias("agreement"))
+
+
+@query("""WITH n AS (SELECT count(*) AS rows FROM documents), s AS (SELECT rows, greatest(1, rows // 5) AS size FROM n)
+SELECT coalesce(lang, '?') AS lang, count(*) AS rows, count(DISTINCT doc_id) AS documents, sum(doc_id)::BIGINT AS ids, sum(length(text))::BIGINT AS characters,
+  (SELECT (rows + size - 1) // size FROM s)::BIGINT AS batches, 2::BIGINT AS first_run FROM documents GROUP BY 1""")
+def resumed_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Documents copied in batches by a run that breaks in its third batch, after writing it, and one that goes on."""
+    path, root = f"{d}/documents.parquet", scratch(spark, "batches")
+    size = max(1, batches.files_of(spark, path).rows // 5)
+
+    def broken(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/batches/number={number}")
+        if number == 2:
+            raise InterruptedError
+
+    first = 0
+    try:
+        for _ in batches.each(spark, path, root, size, broken):
+            first += 1
+    except InterruptedError:
+        pass
+    batches.copy(spark, path, root, size)
+    found = batches.copied(spark, root)
+    whole = F.lit(batches.done(spark, root)["batches"]).cast("long")
+    return found.groupBy(F.coalesce("lang", F.lit("?")).alias("lang")).agg(
+        F.count("*").alias("rows"), F.count_distinct("doc_id").alias("documents"), F.sum("doc_id").cast("long").alias("ids"), F.sum(F.length("text")).cast("long").alias("characters"), F.first(whole).alias("batches"), F.first(F.lit(first).cast("long")).alias("first_run"),
+    )

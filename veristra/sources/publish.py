@@ -26,6 +26,10 @@ class Folder:
         place, fs = self._place(name)
         return fs.exists(place)
 
+    def is_folder(self) -> bool:
+        place, fs = self._place("")
+        return fs.exists(place) and fs.getFileStatus(place).isDirectory()
+
     def names(self, name: str = "") -> list[str]:
         """What lies in a sub-folder, in order; none if it is missing."""
         place, fs = self._place(name)
