@@ -573,7 +573,25 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(each.groupBy("threshold").agg(*evaluate.binary(F.col("quality") == 1, F.col("n_chars") >= F.col("threshold"))), *RATES)
 
 
-@query()
+_LONG = "list_filter(" + _TOKENS.replace("text", "?.text") + ", lambda t: length(t) >= 6)"
+_RATE = "CASE WHEN {1} = 0 THEN 0 ELSE {0} / ({1})::DOUBLE END"
+CALIBRATION = """,
+  s AS (SELECT query_id, max(round(score, 12)) FILTER (rank = 1) AS top, coalesce(max(round(score, 12)) FILTER (rank = 2), 0) AS second FROM hranked WHERE rank <= 10 GROUP BY query_id),
+  truth AS (SELECT h.query_id, list_has_any(""" + _LONG.replace("?.", "c.") + ", " + _LONG.replace("?.", "b.") + """) AS ok FROM hranked h JOIN conversations c ON c.conv_id * 1000 + c.turn = h.id JOIN benchmark b ON b.item_id = h.query_id WHERE h.rank = 1),
+  z AS (SELECT query_id, top, top - second AS margin, agreement, ok FROM s JOIN truth USING (query_id) JOIN near USING (query_id)),
+  fixed(axis, v) AS (VALUES ('a', -1.0::DOUBLE), ('b', 0.0), ('c', 0.0), ('c', 1.0)),
+  vals AS (SELECT 'a' AS axis, top AS v FROM z UNION SELECT 'b', margin FROM z UNION SELECT 'c', agreement FROM z),
+  others AS (SELECT axis, v, row_number() OVER (PARTITION BY axis ORDER BY v) - 1 AS p, count(*) OVER (PARTITION BY axis) AS n, CASE axis WHEN 'c' THEN 14 ELSE 15 END AS slots FROM vals ANTI JOIN fixed USING (axis, v)),
+  grid AS (SELECT DISTINCT axis, v FROM others, unnest(range(15)) AS r(i) WHERE n <= slots OR i < slots AND p = round_even(i * (n - 1) / (slots - 1)::DOUBLE, 0) UNION SELECT axis, v FROM fixed),
+  tried AS (SELECT a.v AS min_score, b.v AS min_margin, c.v AS min_agreement, count(*) AS cases, count(*) FILTER (ok AND top >= a.v AND margin >= b.v AND agreement >= c.v) AS tp, count(*) FILTER (NOT ok AND NOT (top >= a.v AND margin >= b.v AND agreement >= c.v)) AS tn,
+    count(*) FILTER (NOT ok AND top >= a.v AND margin >= b.v AND agreement >= c.v) AS fp, count(*) FILTER (ok AND NOT (top >= a.v AND margin >= b.v AND agreement >= c.v)) AS fn
+    FROM grid a, grid b, grid c, z WHERE a.axis = 'a' AND b.axis = 'b' AND c.axis = 'c' GROUP BY ALL),
+  shares AS (SELECT *, """ + ", ".join(_RATE.format(a, b) + " AS " + n for a, b, n in (("(tp + tn)", "cases", "accuracy"), ("tp", "tp + fp", '"precision"'), ("tp", "tp + fn", "recall"), ("tn", "tn + fp", "specificity"), ("(tp + fp)", "cases", "coverage"))) + """ FROM tried),
+  measured AS (SELECT *, CASE WHEN "precision" + recall > 0 THEN 2 * "precision" * recall / ("precision" + recall) ELSE 0 END AS f1, (recall + specificity) / 2 AS balanced_accuracy FROM shares)
+"""
+
+
+@query("WITH " + BRANCHES + AGREEMENT + CALIBRATION + "SELECT cases, tp, tn, fp, fn, " + ", ".join(f'round("{c}", 6) AS "{c}"' for c in (*RATES, "min_score", "min_margin", "min_agreement")) + " FROM measured ORDER BY measured.balanced_accuracy DESC, measured.f1 DESC, measured.accuracy DESC, fp, fn, measured.min_score DESC, measured.min_margin DESC, measured.min_agreement DESC LIMIT 1")
 def threshold_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Best of all threshold triples: a passage counts as answerable if its nearest turn shares a long word with it."""
     both = _branches(spark, d).withColumn("parent_id", F.floor(F.col("vec_id") / 1000))
@@ -581,7 +599,7 @@ def threshold_calibration(spark: SparkSession, d: str) -> DataFrame:
     words = _shares_word(spark, d)
     of = lambda kind, i, w: words.where(F.col("kind") == kind).select(F.col("id").alias(i), F.col("words").alias(w))
     truth = hits.where("rank = 1").join(of("turn", "vec_id", "a"), "vec_id").join(of("item", "query_id", "b"), "query_id").select("query_id", F.arrays_overlap("a", "b").alias("answerable"))
-    near = retrieve.agreement(both.where("source = 'dense'"), both.where("source = 'sparse'"))
+    near = retrieve.agreement(both.where("source = 'dense'"), both.where("source = 'sparse'")).withColumn("agreement", F.round("agreement", 9))
     s = cut_lineage(gates.evidence_scores(hits).join(truth, "query_id").join(near, "query_id"))
     grids = [evaluate.grid(s, "top", 16, (-1.0,)), evaluate.grid(s, "margin", 16, (0.0,)), evaluate.grid(s, "agreement", 16, (0.0, 1.0))]
     return _rounded(evaluate.calibrate(s, *grids).limit(1), *RATES, "min_score", "min_margin", "min_agreement")
