@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veristra.checkpoints import FEW, cut_lineage
 from veristra.config import SETTINGS
 from veristra.functions import text as X
 
@@ -120,9 +121,12 @@ def contained(docs: DataFrame, key: str, passages: DataFrame, item: str) -> Data
     pairs = lambda ws: F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
     asked = passages.where("passage <> ''").withColumn("inner", F.array_distinct(F.array_compact(pairs(F.slice(F.split("passage", " "), 2, F.greatest(F.lit(0), F.size(F.split("passage", " ")) - 2))))))
     keys = asked.select(item, F.explode("inner").alias("pair"))
-    spread = docs.select(key, F.explode(F.array_distinct(F.array_compact(pairs(words)))).alias("pair"))
-    # counted before the join: a row a pair, however many documents have it
-    seen = spread.groupBy("pair").agg(F.count("*").alias("n")).join(keys.select("pair").distinct(), "pair")
+    wanted = cut_lineage(keys.select("pair").distinct())
+    if wanted.limit(FEW + 1).count() <= FEW:
+        wanted = F.broadcast(wanted)
+    # pairs that no passage has are left where they are; the others are counted before they are joined
+    spread = docs.select(key, F.explode(F.array_distinct(F.array_compact(pairs(words)))).alias("pair")).join(wanted, "pair", "left_semi")
+    seen = spread.groupBy("pair").agg(F.count("*").alias("n"))
     rarest = keys.join(seen, "pair").groupBy(item).agg(F.min_by("pair", F.struct("n", "pair")).alias("pair"), F.count("*").alias("known")).join(asked.select(item, F.size("inner").alias("inner")), item).where(F.col("known") == F.col("inner"))
     found = spread.join(rarest.select(item, "pair"), "pair").select(key, item).distinct()
     both = found.join(docs.select(key, "text"), key).join(asked.select(item, "passage"), item)

@@ -62,20 +62,30 @@ def selected_percentiles(df: DataFrame, by: list[str], value: str, percents: tup
     return out.select(*[F.col(n).alias(b) for b, n in zip(by, names, strict=True)], "percent", F.col("low").alias("value"), "n")
 
 
-def per_query(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, depths: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+def judged(hits: DataFrame, queries: DataFrame, depths: tuple[int, ...] = (1, 5, 10), by: tuple[str, ...] = ()) -> DataFrame:
     """Recall, reciprocal rank and nDCG of each query, 0 where nothing is relevant.
 
-    ranked: query_id, rank, doc_id. relevant: query_id, doc_id. A document that a query has twice counts once.
+    hits: (<by>), query_id, rank, the relevant ones alone, each once. queries: (<by>), query_id, n, the number of what is
+    relevant, null or 0 for none; it needs no list of it.
     """
-    truth = relevant.select("query_id", "doc_id").distinct()
-    first = ranked.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank")).join(truth, ["query_id", "doc_id"], "left_semi")
+    key = [*by, "query_id"]
     gain = F.when(F.col("rank") <= 10, F.log(F.lit(2.0)) / F.log(F.col("rank") + 1.0))
-    hits = first.groupBy("query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in depths], F.min(F.when(F.col("rank") <= 10, F.col("rank"))).alias("best"), F.sum(gain).alias("gain"))
-    size = truth.groupBy("query_id").agg(F.count("*").alias("n"))
-    both = queries.join(size, "query_id", "left").join(hits, "query_id", "left")
+    found = hits.groupBy(*key).agg(*[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in depths], F.min(F.when(F.col("rank") <= 10, F.col("rank"))).alias("best"), F.sum(gain).alias("gain"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(10), F.col("n")).cast("int")), F.lit(0.0), lambda a, i: a + F.log(F.lit(2.0)) / F.log(i + 1.0))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return both.select(*queries.columns, *[zero(F.col(f"h{k}") / F.col("n")).alias(f"recall_{k}") for k in depths], zero(1 / F.col("best")).alias("mrr_10"), zero(F.when(F.col("n") > 0, F.col("gain") / ideal)).alias("ndcg_10"))
+    zero = lambda c: F.coalesce(F.when(F.col("n") > 0, c), F.lit(0.0))
+    kept = [c for c in queries.columns if c != "n"]
+    return queries.join(found, key, "left").select(*kept, *[zero(F.col(f"h{k}") / F.col("n")).alias(f"recall_{k}") for k in depths], zero(1 / F.col("best")).alias("mrr_10"), zero(F.col("gain") / ideal).alias("ndcg_10"))
+
+
+def per_query(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, depths: tuple[int, ...] = (1, 5, 10), by: tuple[str, ...] = ()) -> DataFrame:
+    """``judged`` with what is relevant as a list.
+
+    ranked: (<by>), query_id, rank, doc_id. relevant: query_id, doc_id. A document that a query has twice counts once.
+    """
+    truth = relevant.select("query_id", "doc_id").distinct()
+    first = ranked.groupBy(*by, "query_id", "doc_id").agg(F.min("rank").alias("rank")).join(truth, ["query_id", "doc_id"], "left_semi")
+    size = truth.groupBy("query_id").agg(F.count("*").alias("n"))
+    return judged(first, queries.join(size, "query_id", "left"), depths, by)
 
 
 METRICS = ("recall_1", "recall_5", "recall_10", "mrr_10", "ndcg_10")
@@ -248,10 +258,30 @@ def group_split(df: DataFrame, text: str, rows: int, seed: int = SETTINGS.seed)
 
 
 def id_fingerprint(ids: str) -> Column:
-    """SHA-256 of the JSON list of the sorted distinct ids."""
+    """SHA-256 of the JSON list of the sorted distinct ids, an aggregate of small groups: one buffer holds a group's ids."""
     return F.sha2(F.to_json(F.array_sort(F.collect_set(F.col(ids).cast("string")))), 256)
 
 
+#: Ids that one list holds.
+LISTED = 100_000
+
+
+def set_fingerprint(df: DataFrame, ids: str, listed: int = LISTED) -> DataFrame:
+    """One row (n, fingerprint): the number of different ids of a table of any size, and a digest of them.
+
+    Up to ``listed`` ids: ``id_fingerprint``. More are dealt by the first hex digits of their own digests, as many digits
+    as leave lists of about ``listed`` or fewer; the fingerprint is that of the lists' fingerprints. Both follow from the
+    set alone, not from order, repeats or partitions. Nulls are left out.
+    """
+    once = df.select(F.col(ids).cast("string").alias("id")).where("id IS NOT NULL").distinct()
+    n, digits = once.count(), 0
+    while n > listed * 16**digits:
+        digits += 1
+    if digits:
+        once = once.groupBy(F.substring(F.sha2("id", 256), 1, digits).alias("part")).agg(id_fingerprint("id").alias("f")).select(F.concat("part", F.lit(":"), "f").alias("id"))
+    return once.agg(id_fingerprint("id").alias("fingerprint")).select(F.lit(n).cast("long").alias("n"), "fingerprint")
+
+
 def compare(left: DataFrame, right: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     """Differences of two variants' metrics, and whether they have the same keys."""
     a = left.select(key, *[F.col(m).alias(f"a_{m}") for m in metrics])

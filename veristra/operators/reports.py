@@ -84,7 +84,10 @@ def frozen(development: DataFrame, key: str, text: str, score: float, margin: fl
     """One row that binds thresholds to the queries they were found on: counts and fingerprints of ids and contents."""
     group = evaluate.content_group(F.col(text))
     rows = development.select(F.col(key).alias("id"), group.alias("content"))
-    return rows.agg(F.count("*").alias("queries"), evaluate.id_fingerprint("id").alias("ids"), F.count_distinct("content").alias("contents"), evaluate.id_fingerprint("content").alias("content_hash")).select("*", F.lit(score).alias("min_score"), F.lit(margin).alias("min_margin"), F.lit(agreement).alias("min_agreement"))
+    ids = evaluate.set_fingerprint(rows, "id").select(F.col("fingerprint").alias("ids"))
+    contents = evaluate.set_fingerprint(rows, "content").select(F.col("n").alias("contents"), F.col("fingerprint").alias("content_hash"))
+    one = rows.agg(F.count("*").alias("queries")).join(ids, F.lit(True)).join(contents, F.lit(True))
+    return one.select("*", F.lit(score).alias("min_score"), F.lit(margin).alias("min_margin"), F.lit(agreement).alias("min_agreement"))
 
 
 def differences(held: DataFrame, now: DataFrame) -> DataFrame:

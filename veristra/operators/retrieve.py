@@ -306,22 +306,24 @@ class Postings:
         return out
 
 
-def gram_search(queries: DataFrame, texts: DataFrame, k: int, key: str, most: int = MANY, chunk: int = CHUNK_FEATURES) -> DataFrame:
+def gram_search(queries: DataFrame, texts: DataFrame, k: int, key: str, most: int = MANY, chunk: int = CHUNK_FEATURES, state: tuple[DataFrame, int] | None = None) -> DataFrame:
     """(query_id, rank, <key>, score): the k texts of largest TF-IDF cosine, exactly, by blocks of postings (``Postings``).
 
     queries: (query_id, form), texts: (<key>, form); keys are whole numbers. Texts are counted once and dealt to blocks of bounded
     size by key; queries are broadcast in chunks of some ``chunk`` features, and every block hands over some k rows a
     query. Scores of 0 are left out, ties go to the smaller key. Rarity counts all texts with a key, the others are left
-    out, as are queries without one; a query or text without features finds nothing.
+    out, as are queries without one; a query or text without features finds nothing. ``state``: frequencies (fid, df) and
+    the number of texts that they were counted on, where these are more than ``texts``.
     """
     spark = texts.sparkSession
     counted = cut_lineage(gram_features(texts.where(F.col(key).isNotNull()), key))
-    frequency = cut_lineage(gram_frequency(counted))
-    total, held = counted.agg(F.count("*"), F.coalesce(F.sum(F.size("fids").cast("long")), F.lit(0))).first()
+    frequency = cut_lineage(gram_frequency(counted)) if state is None else state[0]
+    here, held = counted.agg(F.count("*"), F.coalesce(F.sum(F.size("fids").cast("long")), F.lit(0))).first()
+    total = here if state is None else state[1]
     asked = cut_lineage(gram_weights(gram_features(queries.where("query_id IS NOT NULL"), "query_id"), frequency, total, "query_id", most=most))
     only = asked.select(F.explode("fids").alias("fid")).distinct()
     weighed = gram_weights(counted, frequency, total, key, only, most)
-    blocks = max(1, -(-total // BLOCK_TEXTS), -(-held // BLOCK_FEATURES), min(spark.sparkContext.defaultParallelism, total // 512))
+    blocks = max(1, -(-here // BLOCK_TEXTS), -(-held // BLOCK_FEATURES), min(spark.sparkContext.defaultParallelism, here // 512))
     parts = max(1, -(-asked.agg(F.coalesce(F.sum(F.size("fids").cast("long")), F.lit(0))).first()[0] // chunk))
     dealt = weighed.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)))
 
