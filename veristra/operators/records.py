@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -126,6 +127,43 @@ def catalogue(rows: DataFrame, header: tuple[str, ...], number: str, group: str)
     return found.withColumn("header_ok", F.lit(tuple(rows.columns) == header))
 
 
+@dataclass(frozen=True)
+class Rules:
+    """What a strict catalogue demands: texts that aren't blank, whole numbers from 1, values of a list, fields (or several together) that don't repeat, and numbers that leave no gap."""
+
+    texts: tuple[str, ...] = ()
+    numbers: tuple[str, ...] = ()
+    values: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    unique: tuple[tuple[str, ...], ...] = ()
+    contiguous: tuple[str, ...] = ()
+
+
+def catalogue_faults(rows: DataFrame, key: str, rules: Rules) -> DataFrame:
+    """(<key>, fault): what breaks the rules, a row each: missing, number, value or repeated and the field, ``gap`` without key.
+
+    Every row of a repeated value is told; nulls repeat nothing. Numbers may be text. A field without gaps has each number
+    from 1 to its greatest; no rows have none. An empty table has no faults.
+    """
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    # more digits may not fit into a long
+    number = lambda c: F.when(F.trim(text(c)).rlike("^[0-9]{1,18}$"), F.trim(text(c)).cast("long"))
+    broken = (
+        [F.when(F.coalesce(F.trim(text(c)), F.lit("")) == "", f"missing:{c}") for c in rules.texts]
+        + [F.when(F.coalesce(number(c), F.lit(0)) < 1, f"number:{c}") for c in rules.numbers]
+        + [F.when(~F.coalesce(text(c).isin(*known), F.lit(False)), f"value:{c}") for c, known in rules.values]
+    )
+    found = rows.select(F.col(f"`{key}`").alias("__k"), F.explode(F.array_compact(F.array(*broken, F.lit(None).cast("string")))).alias("fault"))
+    for fields in rules.unique:
+        names = [f"__{i}" for i in range(len(fields))]
+        values = rows.select(F.col(f"`{key}`").alias("__k"), *[F.col(f"`{f}`").alias(n) for f, n in zip(fields, names, strict=True)]).dropna(subset=names)
+        twice = values.groupBy(*names).agg(F.count("*").alias("__n")).where("__n > 1")
+        found = found.unionByName(values.join(twice, names, "left_semi").select("__k", F.lit("repeated:" + "+".join(fields)).alias("fault")))
+    for c in rules.contiguous:
+        whole = rows.select(number(c).alias("v")).agg(F.max("v").alias("high"), F.count_distinct(F.when(F.col("v") > 0, F.col("v"))).alias("n")).where("high <> n")
+        found = found.unionByName(whole.select(F.lit(None).cast(rows.schema[key].dataType).alias("__k"), F.lit(f"gap:{c}").alias("fault")))
+    return found.withColumnRenamed("__k", key)
+
+
 def covers(whole: DataFrame, parts: list[DataFrame], key: str) -> DataFrame:
     """One row (whole, parts, covered, disjoint): whether the parts hold all keys of the whole, no others, and none twice."""
     tagged = whole.select(key).distinct().select(F.col(key).alias("k"), F.lit(1).alias("w"), F.lit(0).alias("p"))

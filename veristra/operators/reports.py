@@ -69,7 +69,7 @@ def canonical(config: dict) -> str:
 
 def manifest(chunks: DataFrame, config: dict, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """One row: chunks, different ids, bytes, a checksum that no order changes, and the fingerprint of the configuration."""
-    return chunks.agg(F.count("*").alias("chunks"), F.count_distinct(key).alias("ids"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.crc32(text)), F.lit(0)).alias("checksum")).withColumn("config", F.sha2(F.lit(canonical(config)), 256))
+    return chunks.agg(F.count("*").alias("chunks"), F.count_distinct(key).alias("ids"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")), F.lit(0)).alias("checksum")).withColumn("config", F.sha2(F.lit(canonical(config)), 256))
 
 
 def readiness(points: DataFrame, expected: int, dimension: int, vector: str, key: str) -> DataFrame:

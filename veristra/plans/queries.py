@@ -419,15 +419,19 @@ def answerability(spark: SparkSession, d: str) -> DataFrame:
     return s.select("query_id", gates.answerability(F.col("top"), F.col("margin"), F.col("n")).isNotNull().alias("refused"))
 
 
-@query("""WITH t AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split(""" + MATCHING.format("text") + """, ' '), lambda x: x <> '') AS w, list_distinct(regexp_extract_all(""" + MATCHING.format("text") + """, '[0-9]+')) AS n FROM conversations),
-  c AS (SELECT *, len(list_distinct(list_filter(w, lambda x: NOT list_contains(['""" + "', '".join([*gates.EMPTY_WORDS, *gates.NEGATIONS]) + """'], x)))) AS content, list_has_any(w, ['""" + "', '".join(gates.NEGATIONS) + """']) AS negated FROM t)
-SELECT id AS query_id, id * 2 AS left_id, id * 2 + 1 AS right_id, CASE WHEN NOT negated THEN 'opposite_negation' ELSE 'incompatible_numbers' END AS conflict FROM c WHERE content >= 2 AND NOT negated""")
+@query("""WITH sides AS (SELECT 0 AS kind, conv_id * 1000 + turn AS id, 0 AS side, text AS said FROM conversations UNION ALL SELECT 0, conv_id * 1000 + turn, 1, text || ' never' FROM conversations
+  UNION ALL SELECT 1, conv_id * 1000 + turn, 0, text || ' 19' || turn FROM conversations UNION ALL SELECT 1, conv_id * 1000 + turn, 1, text || ' ' || CASE conv_id % 2 WHEN 0 THEN 19 ELSE 20 END || turn FROM conversations),
+  t AS (SELECT *, list_filter(string_split(""" + MATCHING.format("said") + """, ' '), lambda x: x <> '') AS w, list_distinct(regexp_extract_all(""" + MATCHING.format("said") + """, '[0-9]+(?:[.,:/-][0-9]+)*')) AS n FROM sides),
+  c AS (SELECT *, list_distinct(list_filter(w, lambda x: NOT list_contains(['""" + "', '".join([*gates.EMPTY_WORDS, *gates.NEGATIONS]) + """'], x))) AS content, list_has_any(w, ['""" + "', '".join(gates.NEGATIONS) + """']) AS negated FROM t),
+  p AS (SELECT kind, id, len(list_intersect(a.content, b.content)) AS shared, least(len(a.content), len(b.content)) AS least_, a.negated <> b.negated AS opposite, len(a.n) > 0 AND len(b.n) > 0 AND NOT list_has_any(a.n, b.n) AS differ FROM c a JOIN c b USING (kind, id) WHERE a.side = 0 AND b.side = 1)
+SELECT id * 2 + kind AS query_id, (id * 2 + kind) * 2 AS left_id, (id * 2 + kind) * 2 + 1 AS right_id, CASE WHEN opposite THEN 'opposite_negation' ELSE 'incompatible_numbers' END AS conflict, round(shared / least_, 6) AS overlap FROM p WHERE shared >= 2 AND shared / least_ >= 0.6 AND (opposite OR differ)""")
 def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each turn beside its own denial, from another parent."""
-    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    side = lambda rank, text: turns.select("query_id", F.lit(rank).alias("rank"), (F.col("query_id") * 2 + (rank - 1)).alias("chunk_id"), F.lit(f"p{rank}").alias("parent_id"), text.alias("text"))
-    hits = side(1, F.col("text")).unionByName(side(2, F.concat("text", F.lit(" never"))))
-    return gates.conflicts(hits).select("query_id", "left_id", "right_id", "conflict")
+    """Each turn beside its own denial, and with a number beside itself with the same or another one, from another parent."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", "text")
+    side = lambda kind, rank, text: turns.select((F.col("id") * 2 + kind).alias("query_id"), F.lit(rank).alias("rank"), ((F.col("id") * 2 + kind) * 2 + (rank - 1)).alias("chunk_id"), F.lit(f"p{rank}").alias("parent_id"), text.alias("text"))
+    year = lambda first: F.concat("text", F.lit(" "), first.cast("string"), F.col("turn").cast("string"))
+    hits = side(0, 1, F.col("text")).unionByName(side(0, 2, F.concat("text", F.lit(" never")))).unionByName(side(1, 1, year(F.lit(19)))).unionByName(side(1, 2, year(F.when(F.col("conv_id") % 2 == 0, 19).otherwise(20))))
+    return gates.conflicts(hits).select("query_id", "left_id", "right_id", "conflict", F.round("overlap", 6).alias("overlap"))
 
 
 # ---------------------------------------------------------------- chunks and answers

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,18 +96,47 @@ def catalogue_checks(spark: SparkSession, d: str) -> DataFrame:
     return records.catalogue(rows, tuple(rows.columns), "n_nationkey", "n_regionkey")
 
 
-@query("SELECT count(DISTINCT doc_id) AS whole, count(DISTINCT doc_id) AS parts, true AS covered, true AS disjoint FROM documents")
+SIDES = "halves AS (SELECT doc_id, sha256(" + MATCHING.format("text") + ") AS content, ('0x' || substr(sha256('sha256' || chr(0) || '2026' || chr(0) || sha256(" + MATCHING.format("text") + ")), 1, 13))::BIGINT / 4503599627370496.0 < 0.2 AS dev FROM documents)"
+
+
+RULES = records.Rules(texts=("text", "source"), numbers=("n_chars",), values=(("lang", ("en", "de")),), unique=(("text",), ("source", "n_chars")), contiguous=("doc_id",))
+
+
+@query("""SELECT doc_id, 'missing:text' AS fault FROM documents WHERE trim(coalesce(text, '')) = '' UNION ALL SELECT doc_id, 'missing:source' FROM documents WHERE trim(coalesce(source, '')) = ''
+UNION ALL SELECT doc_id, 'number:n_chars' FROM documents WHERE coalesce(n_chars, 0) < 1 UNION ALL SELECT doc_id, 'value:lang' FROM documents WHERE lang IS NULL OR lang NOT IN ('en', 'de')
+UNION ALL SELECT doc_id, 'repeated:text' FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)
+UNION ALL SELECT doc_id, 'repeated:source+n_chars' FROM documents WHERE (source, n_chars) IN (SELECT (source, n_chars) FROM documents GROUP BY source, n_chars HAVING count(*) > 1)
+UNION ALL SELECT NULL, 'gap:doc_id' FROM (SELECT max(doc_id) AS high, count(DISTINCT doc_id) FILTER (doc_id > 0) AS n FROM documents) WHERE high <> n""")
+def catalogue_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What breaks the rules of a strict catalogue, row by row."""
+    return records.catalogue_faults(table(spark, d, "documents"), "doc_id", RULES)
+
+
+@query("WITH " + SIDES + """, parts AS (SELECT 'content' AS split, doc_id, 1 - dev::INT AS part FROM halves UNION ALL SELECT 'overlapping', doc_id, n FROM documents, (SELECT unnest([2, 3]) AS n) WHERE doc_id % n = 0),
+k AS (SELECT split, doc_id, count(DISTINCT part) AS p FROM parts GROUP BY ALL)
+SELECT split, (SELECT count(DISTINCT doc_id) FROM documents) AS whole, sum(p)::BIGINT AS parts, count(*) = (SELECT count(DISTINCT doc_id) FROM documents) AS covered, max(p) = 1 AS disjoint FROM k GROUP BY split""")
 def split_covers(spark: SparkSession, d: str) -> DataFrame:
+    """A split by content, and parts of ids divisible by two and by three."""
     docs = table(spark, d, "documents")
     halves = evaluate.hash_split(docs, "text", 0.2)
-    return records.covers(docs, [halves.where(F.col("split") == s) for s in ("development", "final")], "doc_id")
+    parts = {"content": [halves.where(F.col("split") == s) for s in ("development", "final")], "overlapping": [docs.where(F.col("doc_id") % n == 0) for n in (2, 3)]}
+    content, overlapping = (records.covers(docs, p, "doc_id").select(F.lit(name).alias("split"), "*") for name, p in parts.items())
+    return content.unionByName(overlapping)
 
 
-@query("SELECT check_name AS \"check\", passed FROM (VALUES ('development_not_empty', true), ('final_not_empty', true), ('ids_disjoint', true), ('contents_disjoint', true), ('source_covered', true), ('ids_unique', (SELECT count(*) = count(DISTINCT doc_id) FROM documents))) AS v(check_name, passed)")
+@query("WITH " + SIDES + """, tagged AS (SELECT 'content' AS split, doc_id, content, dev FROM halves UNION ALL SELECT 'id', doc_id, content, doc_id % 5 = 0 FROM halves WHERE doc_id % 7 > 0 UNION ALL SELECT 'id', doc_id, content, true FROM halves WHERE doc_id % 35 = 1),
+ids AS (SELECT split, doc_id, count(*) FILTER (dev) AS a, count(*) FILTER (NOT dev) AS b FROM tagged GROUP BY ALL), contents AS (SELECT split, bool_or(a > 0 AND b > 0) AS both_ FROM (SELECT split, content, count(*) FILTER (dev) AS a, count(*) FILTER (NOT dev) AS b FROM tagged GROUP BY ALL) GROUP BY split),
+m AS (SELECT split, sum(a) > 0 AS development_not_empty, sum(b) > 0 AS final_not_empty, NOT bool_or(a > 0 AND b > 0) AS ids_disjoint, count(*) = (SELECT count(DISTINCT doc_id) FROM documents) AS source_covered, max(greatest(a, b)) <= 1 AS ids_unique FROM ids GROUP BY split)
+SELECT split, "check", passed FROM (SELECT *, NOT both_ AS contents_disjoint FROM m JOIN contents USING (split)) UNPIVOT (passed FOR "check" IN (development_not_empty, final_not_empty, ids_disjoint, contents_disjoint, source_covered, ids_unique))""")
 def held_out_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """A split by content, which holds out, and one by id that leaves rows out, has some twice and parts equal contents."""
     docs = table(spark, d, "documents")
     halves = evaluate.hash_split(docs, "text", 0.2)
-    return reports.provenance(docs, *[halves.where(F.col("split") == s) for s in ("development", "final")], "doc_id", "text")
+    kept = docs.where(F.col("doc_id") % 7 > 0)
+    by_id = kept.where(F.col("doc_id") % 5 == 0).unionByName(docs.where(F.col("doc_id") % 35 == 1)), kept.where(F.col("doc_id") % 5 > 0)
+    splits = {"content": [halves.where(F.col("split") == s) for s in ("development", "final")], "id": by_id}
+    content, other = (reports.provenance(docs, *sides, "doc_id", "text").select(F.lit(name).alias("split"), "*") for name, sides in splits.items())
+    return content.unionByName(other)
 
 
 @query("SELECT kind, count(*) AS n FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'utc' WHEN 1 THEN 'other' WHEN 2 THEN 'other' ELSE 'utc' END AS kind FROM events) GROUP BY kind")
@@ -190,17 +221,22 @@ def evidence_roll_up(spark: SparkSession, d: str) -> DataFrame:
 CONFIG = {"strategy": "atomic", "dimension": 64, "languages": ["hi", "en"]}
 
 
-@query("SELECT count(*) AS chunks, count(DISTINCT doc_id) AS ids, sum(strlen(text))::BIGINT AS bytes, sha256('{\"dimension\":64,\"languages\":[\"hi\",\"en\"],\"strategy\":\"atomic\"}') AS config FROM documents")
+@query("SELECT count(*) AS chunks, count(DISTINCT doc_id) AS ids, sum(strlen(text))::BIGINT AS bytes, sum(('0x' || substr(sha256(text), 1, 8))::BIGINT)::BIGINT AS checksum, sha256('{\"dimension\":64,\"languages\":[\"hi\",\"en\"],\"strategy\":\"atomic\"}') AS config FROM documents")
 def index_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return reports.manifest(table(spark, d, "documents"), CONFIG, "doc_id").drop("checksum")
+    return reports.manifest(table(spark, d, "documents"), CONFIG, "doc_id")
 
 
-@query("SELECT label, points, keys, fitting, CASE WHEN label = 3 THEN 'incomplete' ELSE 'ready' END AS status FROM (SELECT label, count(*) AS points, count(DISTINCT vec_id) AS keys, count(*) FILTER (len(embedding) = 64) AS fitting FROM embeddings WHERE label IN (1, 3) GROUP BY label)")
+@query("""WITH p AS (SELECT label, vec_id, embedding FROM embeddings WHERE label <> 3 OR vec_id % 7 > 0 UNION ALL SELECT label, vec_id, embedding FROM embeddings WHERE label = 4 AND vec_id % 3 = 0),
+built AS (SELECT label, count(*) AS n FROM embeddings WHERE label BETWEEN 0 AND 4 GROUP BY label UNION ALL SELECT -1, 10),
+f AS (SELECT b.label, n, CASE WHEN b.label = 2 THEN 32 ELSE 64 END AS dim, count(vec_id) AS points, count(DISTINCT vec_id) AS keys, count(*) FILTER (len(embedding) = CASE WHEN b.label = 2 THEN 32 ELSE 64 END) AS fitting FROM built b LEFT JOIN p USING (label) GROUP BY ALL)
+SELECT label, points, keys, fitting, CASE WHEN points = 0 THEN 'empty' WHEN fitting <> points THEN 'wrong_dimension' WHEN keys <> points THEN 'repeated_keys' WHEN points <> n THEN 'incomplete' ELSE 'ready' END AS status FROM f""")
 def index_readiness(spark: SparkSession, d: str) -> DataFrame:
-    """Two indexes, one of which lacks a point that was built."""
+    """Six indexes beside what was built: two whole, one of another dimension, one with rows lost, one with rows twice, one empty."""
     rows = table(spark, d, "embeddings")
-    one = lambda label, more: reports.readiness(rows.where(F.col("label") == label), rows.where(F.col("label") == label).count() + more, 64, "embedding", "vec_id").select(F.lit(label).alias("label"), "points", "keys", "fitting", "status")
-    return one(1, 0).unionByName(one(3, 1))
+    built = {r["label"]: r["count"] for r in rows.where("label BETWEEN 0 AND 4").groupBy("label").count().collect()} | {-1: 10}
+    stored = rows.where("label <> 3 OR vec_id % 7 > 0").unionByName(rows.where("label = 4 AND vec_id % 3 = 0"))
+    found = [reports.readiness(stored.where(F.col("label") == label), n, 32 if label == 2 else 64, "embedding", "vec_id").select(F.lit(label).alias("label"), "points", "keys", "fitting", "status") for label, n in sorted(built.items())]
+    return reduce(DataFrame.unionByName, found)
 
 
 FROZEN = "SELECT count(*) AS queries, sha256('[' || string_agg(DISTINCT '\"' || item_id || '\"', ',' ORDER BY '\"' || item_id || '\"') || ']') AS ids, count(DISTINCT c) AS contents, sha256('[' || string_agg(DISTINCT '\"' || c || '\"', ',' ORDER BY '\"' || c || '\"') || ']') AS content_hash, 0.24::DOUBLE AS min_score, 0.015::DOUBLE AS min_margin, 0.05::DOUBLE AS min_agreement FROM (SELECT item_id, sha256(" + MATCHING.format("text") + ") AS c FROM benchmark)"
@@ -212,17 +248,20 @@ def frozen_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return reports.frozen(table(spark, d, "benchmark"), "item_id", "text", 0.24, 0.015, 0.05)
 
 
-@query("SELECT unnest(['same', 'other_queries', 'other_score']) AS name, unnest([NULL, 'queries', 'min_score']) AS fault")
+_frozen = lambda where="true", text="text", score="0.24": FROZEN.replace("0.24::DOUBLE", f"{score}::DOUBLE").replace("FROM benchmark", f"FROM (SELECT item_id, {text} AS text FROM benchmark WHERE {where})")
+_FIELDS = ("queries", "ids", "contents", "content_hash", "min_score", "min_margin", "min_agreement")
+
+
+@query("WITH held AS (" + FROZEN + "), now AS (SELECT 'same' AS name, * FROM (" + _frozen() + ") UNION ALL SELECT 'other_case', * FROM (" + _frozen(text="upper(text)") + ") UNION ALL SELECT 'fewer_queries', * FROM (" + _frozen("item_id % 2 = 0")
+  + ") UNION ALL SELECT 'other_words', * FROM (" + _frozen(text="CASE WHEN item_id % 2 = 0 THEN text || ' more' ELSE text END") + ") UNION ALL SELECT 'other_score', * FROM (" + _frozen(score="0.25") + ")) SELECT name, CASE " + " ".join(f"WHEN h.{f} IS DISTINCT FROM n.{f} THEN '{f}'" for f in _FIELDS) + " END AS fault FROM held h, now n")
 def threshold_verification(spark: SparkSession, d: str) -> DataFrame:
-    """The first field in which frozen thresholds differ from what is at hand."""
+    """The first field in which frozen thresholds differ from what is at hand; texts in another case are the same content."""
     items = table(spark, d, "benchmark")
-    held = reports.frozen(items, "item_id", "text", 0.24, 0.015, 0.05)
-    others = {"same": held, "other_queries": reports.frozen(items.where("item_id > 0"), "item_id", "text", 0.24, 0.015, 0.05), "other_score": reports.frozen(items, "item_id", "text", 0.25, 0.015, 0.05)}
-    out = None
-    for name, now in others.items():
-        one = reports.differences(held, now).select(F.lit(name).alias("name"), "fault")
-        out = one if out is None else out.unionByName(one)
-    return out
+    freeze = lambda rows, score=0.24: reports.frozen(rows, "item_id", "text", score, 0.015, 0.05)
+    even = F.col("item_id") % 2 == 0
+    held = freeze(items)
+    others = {"same": held, "other_case": freeze(items.withColumn("text", F.upper("text"))), "fewer_queries": freeze(items.where(even)), "other_words": freeze(items.withColumn("text", F.when(even, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))), "other_score": freeze(items, 0.25)}
+    return reduce(DataFrame.unionByName, [reports.differences(held, now).select(F.lit(name).alias("name"), "fault") for name, now in others.items()])
 
 
 _rx = lambda patterns, c: " OR ".join(f"regexp_matches({c}, '" + p.replace("'", "''") + "', 'i')" for p in patterns if p.isascii())

@@ -21,6 +21,15 @@ def fixture(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     raise ValueError(f"unknown kind of file: {path}")
 
 
+def strict_csv(spark: SparkSession, path: str, header: tuple[str, ...]) -> DataFrame:
+    """CSV files as text columns; another header, letter case and order included, or a row of another length fails the read."""
+    found = tuple(spark.read.option("header", True).csv(path).columns)
+    if found != header:
+        raise ValueError(f"the header is {found}, not {header}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').csv(path)
+
+
 def partition_path(root: str, language: str, split: str, known: dict[str, set[str]]) -> str:
     if split not in known.get(language, set()):
         raise ValueError(f"no file for {language}, {split}")
