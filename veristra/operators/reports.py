@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veristra.functions import text as X
 from veristra.operators import evaluate, gates
@@ -30,6 +31,45 @@ def audit(docs: DataFrame, *by: str, text: str = "text", tokens=X.estimate_token
     )
 
 
+def full_audit(docs: DataFrame, labels: DataFrame, key: str, by: str, text: str = "text", source: str = "source", label: str = "label", tokens=X.estimate_tokens, short: int = 20) -> DataFrame:
+    """(whole, <by>, section, name, value): all that is known of a corpus, for each value of ``by`` and for the whole, a row a figure.
+
+    Sections: rows; field (missing and empty cells of each column); length (of texts: least, median, p95, greatest, mean,
+    and how many are under ``short``); tokens; copies (different texts, surplus, reused under several sources); label
+    (positive, negative, invalid, ratio, of labelled rows of the corpus; a section only where there are some). labels: key
+    and ``label``. Texts are measured once, copies combine by hash before any count of distinct values, labels are
+    joined without the texts. A null of ``by`` is a value of its own; ``whole`` tells the total apart. No rows, no figures.
+    """
+    t, n = F.col(f"`{text}`"), F.count("*")
+    blank = lambda f: F.count_if(F.trim(F.col(f"`{f.name}`")) == "") if isinstance(f.dataType, T.StringType) else F.lit(0)
+    # named apart from the columns, which may be called anything
+    measured = docs.withColumns({"__g": F.col(f"`{by}`"), "__length": F.length(t), "__tokens": tokens(t)})
+    figures = {("rows", "rows"): n}
+    for f in docs.schema.fields:
+        figures[("field", f"missing:{f.name}")] = F.count_if(F.col(f"`{f.name}`").isNull())
+        figures[("field", f"empty:{f.name}")] = blank(f)
+    figures |= {("length", k): c for k, c in (("least", F.min("__length")), ("p50", evaluate.nearest_rank("__length", 50)), ("p95", evaluate.nearest_rank("__length", 95)), ("greatest", F.max("__length")), ("mean", F.avg("__length")), ("short", F.count_if(F.col("__length") < short)))}
+    figures |= {("tokens", "sum"): F.sum("__tokens"), ("tokens", "greatest"): F.max("__tokens")}
+
+    def long(df: DataFrame, found: dict[tuple[str, str], Column]) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(name).alias("name"), c.cast("double").alias("value")) for (s, name), c in found.items()])
+        return df.select("whole", "__g", F.explode(rows).alias("x")).select("whole", F.col("__g").alias(by), "x.section", "x.name", "x.value")
+
+    def both(df: DataFrame, found: dict[tuple[str, str], Column]) -> DataFrame:
+        """Figures of each group and of the whole."""
+        named = {k: f"__{i}" for i, k in enumerate(found)}
+        counted = df.groupingSets([[F.col("__g")], []], F.col("__g")).agg((F.grouping("__g") == 1).alias("whole"), *[c.alias(named[k]) for k, c in found.items()])
+        return long(counted, {k: F.col(v) for k, v in named.items()})
+
+    per = docs.where(t.isNotNull()).select(F.col(f"`{by}`").alias("__g"), F.sha2(t, 256).alias("h"), F.col(f"`{source}`").alias("s")).groupBy("__g", "h", "s").agg(n.alias("n"))
+    texts = per.groupingSets([[F.col("__g"), F.col("h")], [F.col("h")]], F.col("__g"), F.col("h")).agg((F.grouping("__g") == 1).alias("whole"), F.sum("n").alias("n"), F.count_distinct("s").alias("s")).groupBy("whole", "__g").agg(n.alias("different"), F.sum(F.col("n") - 1).alias("surplus"), F.count_if(F.col("s") > 1).alias("reused"))
+    copies = long(texts, {("copies", c): F.col(c) for c in ("different", "surplus", "reused")})
+    of = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").alias("l")).join(docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{by}`").alias("__g")).distinct(), "k")
+    one, zero = F.count_if(F.col("l") == 1), F.count_if(F.col("l") == 0)
+    classes = both(of, {("label", "positive"): one, ("label", "negative"): zero, ("label", "invalid"): n - one - zero, ("label", "ratio"): F.try_divide(one, one + zero)})
+    return both(measured, figures).unionByName(copies).unionByName(classes)
+
+
 def speculation(rows: DataFrame, timings: str = "timings_ms") -> DataFrame:
     """Counters of work begun early: totals, reuse rate, coverage and rows that contradict themselves. timings: map<string,double>."""
     get = lambda name: F.try_element_at(F.col(timings), F.lit(name))

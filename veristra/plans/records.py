@@ -186,6 +186,21 @@ def audit_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.audit(table(spark, d, "documents"), "lang", "source")
 
 
+_FIGURES = lambda section, **named: ", ".join(f"{{'section': '{section}', 'name': '{name}', 'value': ({sql})::DOUBLE}}" for name, sql in named.items())
+_CELLS = ", ".join("{'section': 'field', 'name': 'missing:%s', 'value': (count(*) FILTER (%s IS NULL))::DOUBLE}, {'section': 'field', 'name': 'empty:%s', 'value': (%s)::DOUBLE}" % (c, c, c, f"count(*) FILTER (trim({c}) = '')" if c in ("text", "lang", "source") else "0") for c in ("doc_id", "text", "lang", "source", "n_chars"))
+
+
+@query("WITH m AS (SELECT *, length(text) AS n, " + TOKENS + " AS tokens FROM documents), t AS (SELECT lang, grouping(lang) = 1 AS whole, text, count(*) AS n, count(DISTINCT source) AS s FROM documents WHERE text IS NOT NULL GROUP BY GROUPING SETS ((lang, text), (text))), found AS (SELECT grouping(lang) = 1 AS whole, lang, ["
+  + ", ".join((_FIGURES("rows", rows="count(*)"), _CELLS, _FIGURES("length", least="min(n)", p50="quantile_disc(n, 0.5)", p95="quantile_disc(n, 0.95)", greatest="max(n)", mean="avg(n)", short="count(*) FILTER (n < 20)"), _FIGURES("tokens", sum="sum(tokens)", greatest="max(tokens)")))
+  + "] AS x FROM m GROUP BY GROUPING SETS ((lang), ()) UNION ALL SELECT whole, lang, [" + _FIGURES("copies", different="count(*)", surplus="sum(n - 1)", reused="count(*) FILTER (s > 1)") + "] FROM t GROUP BY whole, lang UNION ALL SELECT grouping(lang) = 1, lang, ["
+  + _FIGURES("label", positive="count(*) FILTER (quality = 1)", negative="count(*) FILTER (quality = 0)", invalid="count(*) FILTER (quality IS NULL OR quality NOT IN (0, 1))", ratio="count(*) FILTER (quality = 1) / nullif(count(*) FILTER (quality IN (0, 1)), 0)")
+  + "] FROM labels JOIN (SELECT DISTINCT doc_id, lang FROM documents) USING (doc_id) GROUP BY GROUPING SETS ((lang), ())) SELECT whole, lang, u.section AS section, u.name AS name, round(u.value, 6) AS value FROM (SELECT whole, lang, unnest(x) AS u FROM found)")
+def full_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, cells, lengths, tokens, copies and labels of every language and of all, a row a figure."""
+    found = reports.full_audit(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "lang", label="quality")
+    return found.withColumn("value", F.round("value", 6))
+
+
 @query("""WITH u AS (SELECT user_id, CASE WHEN user_id % 11 = 0 THEN NULL WHEN user_id % 13 = 0 THEN 2 ELSE max((event_type = 'view')::INT) END::DOUBLE AS l, max((event_type = 'purchase' AND value > 60)::INT)::DOUBLE AS r, max(value) FILTER (event_type = 'click') AS t FROM events GROUP BY user_id),
 s AS (SELECT count(*) AS requests, coalesce(sum(l), 0) AS launched, coalesce(sum(r), 0) AS reused, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS reported, count(*) FILTER (r > l) AS inconsistent, count(*) FILTER (NOT coalesce(l IN (0, 1) AND r IN (0, 1), false)) AS invalid, count(*) FILTER (l = 1 AND t IS NULL) AS without_duration FROM u)
 SELECT *, round(reported / requests, 6) AS coverage, round(reused / launched, 6) AS reuse_rate, inconsistent = 0 AND invalid = 0 AND reused <= launched AS consistent, reported = requests AND inconsistent = 0 AND invalid = 0 AND reused <= launched AND without_duration = 0 AS qualified FROM s""")
