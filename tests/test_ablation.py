@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from veristra.functions import encoders
-from veristra.operators import ablation, corpus, evaluate, retrieve
+from veristra.operators import ablation, corpus, evaluate, retrieve, scoring
 
 CHUNKS = "chunk_id long, parent_id long, strategy string, language string, text string"
 ROWS = [
@@ -151,3 +151,22 @@ def test_contained_looks_only_at_pairs_of_passages(spark):
     assert {tuple(r) for r in found.collect()} == want
     assert corpus.contained(spark.createDataFrame([], "doc_id long, text string"), "doc_id", spark.createDataFrame(passages, "item_id long, passage string"), "item_id").count() == 0
     assert corpus.contained(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", spark.createDataFrame([], "item_id long, passage string"), "item_id").count() == 0
+
+
+def test_development_scores_go_into_calibration(spark):
+    chunks = spark.createDataFrame([r for r in ROWS if r[0] is not None], CHUNKS)
+    queries = spark.createDataFrame([(q, t, t is not None and "apples" in t) for q, t in QUERIES], "query_id long, query string, answerable boolean")
+    scores = scoring.development_scores(queries, chunks, encoders.hashed())
+    got = {r.query_id: r for r in scores.collect()}
+    assert set(got) == {100, 101, 102, 103}
+    assert got[100].fused_hits > 0 and math.isclose(got[100].margin, got[100].top - got[100].second)
+    assert got[101].category == "descriptive" and got[100].encoder == encoders.hashed().fingerprint()
+    for q in (102, 103):
+        assert (got[q].top, got[q].agreement, got[q].dense_hits, got[q].sparse_hits, got[q].fused_hits) == (None, 0, 0, 0, 0)
+    one = lambda x: spark.createDataFrame([(x,)], "v double")
+    best = evaluate.calibrate(spark.createDataFrame(list(got.values())), one(got[100].top), one(-1.0), one(0.0)).first()
+    accepted = {q for q, r in got.items() if r.top is not None and r.top >= got[100].top}
+    assert (best.cases, best.tp, best.fp) == (4, 1, len(accepted - {100}))
+    nothing = scoring.development_scores(queries, chunks.limit(0), encoders.hashed()).collect()
+    assert len(nothing) == 4 and all(r.fused_hits == 0 for r in nothing)
+    assert scoring.development_scores(queries.limit(0), chunks, encoders.hashed()).count() == 0

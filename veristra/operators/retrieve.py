@@ -452,6 +452,16 @@ def hybrid(queries: DataFrame, dense: DataFrame, sparse: DataFrame, parents: Dat
     return hits, near
 
 
+def both_branches(asked: DataFrame, chunks: DataFrame, encoder: encoders.Encoder, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(query_id, rank, chunk_id, score) of the dense and of the sparse branch. asked: query_id, query. chunks: chunk_id, text."""
+    tokens = lambda c: F.concat_ws(" ", X.word_tokens(F.col(c)))
+    vectors = lambda df, key, text, role: encoders.encode(df.select(F.col(key).alias("chunk_id"), tokens(text).alias("text")), encoder, role=role)
+    dense = cut_lineage(dense_search(vectors(asked, "query_id", "query", "query"), vectors(chunks, "chunk_id", "text", "passage"), depth, key="chunk_id", same=True))
+    form = lambda df, key, text: df.select(key, X.plain_matching(F.col(text)).alias("form"))
+    sparse = cut_lineage(gram_search(form(asked, "query_id", "query"), form(chunks, "chunk_id", "text"), depth, "chunk_id"))
+    return dense, sparse
+
+
 def hybrid_search(queries: DataFrame, chunks: DataFrame, encoder: encoders.Encoder, depth: int = 24, limit: int = SETTINGS.final_limit) -> DataFrame:
     """(query_id, rank, parent_id, chunk_id, score, agreement): queries routed, searched both ways under ``encoder``, and fused.
 
@@ -460,10 +470,6 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, encoder: encoders.Encod
     n-grams: they find nothing and are not found. Either table may be empty.
     """
     asked = cut_lineage(route(queries.where("query_id IS NOT NULL").select("query_id", "query")).select("query_id", "query", F.col("plan.dense_weight").alias("dense_weight"), F.col("plan.sparse_weight").alias("sparse_weight")))
-    tokens = lambda c: F.concat_ws(" ", X.word_tokens(F.col(c)))
-    vectors = lambda df, key, text, role: encoders.encode(df.select(F.col(key).alias("chunk_id"), tokens(text).alias("text")), encoder, role=role)
-    dense = cut_lineage(dense_search(vectors(asked, "query_id", "query", "query"), vectors(chunks, "chunk_id", "text", "passage"), depth, key="chunk_id", same=True))
-    form = lambda df, key, text: df.select(key, X.plain_matching(F.col(text)).alias("form"))
-    sparse = cut_lineage(gram_search(form(asked, "query_id", "query"), form(chunks, "chunk_id", "text"), depth, "chunk_id"))
+    dense, sparse = both_branches(asked, chunks, encoder, depth)
     hits, near = hybrid(asked, dense, sparse, chunks.select("chunk_id", "parent_id"), limit)
     return hits.join(near, "query_id", "left").select("query_id", "rank", "parent_id", "chunk_id", "score", "agreement")

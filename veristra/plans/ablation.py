@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from veristra.checkpoints import cut_lineage
 from veristra.functions import encoders
-from veristra.operators import ablation, evaluate, retrieve
-from veristra.plans.queries import _TOKENS, HASHED, SPARSE
+from veristra.operators import ablation, corpus, evaluate, retrieve, scoring
+from veristra.plans.queries import _TOKENS, AGREEMENT, BRANCHES, HASHED, SPARSE
 from veristra.plans.registry import query
 from veristra.session import table
 
@@ -101,3 +101,30 @@ def ablation_queries(spark: SparkSession, d: str) -> DataFrame:
     """Every query under every configuration."""
     judged, _ = _judged(spark, d)
     return judged.withColumns({c: F.round(c, 6) for c in _ROUNDED})
+
+
+@query(
+    "WITH "
+    + BRANCHES
+    + AGREEMENT
+    + r""", t AS (SELECT item_id AS query_id, """
+    + _TOKENS
+    + r""" AS w FROM benchmark),
+k AS (SELECT query_id, regexp_matches(array_to_string(w, ' '), '[A-Za-z]') AS latin, CASE WHEN len(w) <= 8 AND (list_has_any(w, ['what','when','where','who','which']) OR regexp_matches(array_to_string(w, ' '), '[0-9]')) THEN 'short_factual' WHEN list_has_any(w, ['why','how','explain','describe']) THEN 'descriptive' ELSE 'general' END AS category FROM t),
+kw AS (SELECT *, CASE category WHEN 'short_factual' THEN 0.45 WHEN 'descriptive' THEN 0.75 ELSE 0.65 END::DOUBLE AS dw FROM k),
+weighed AS (SELECT query_id, vec_id AS chunk_id, vec_id // 1000 AS parent_id, sum(CASE source WHEN 'dense' THEN dw ELSE 1 - dw END / (60 + rank)) / (1.0 / 61) AS score FROM both_ JOIN kw USING (query_id) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY round(score, 12) DESC, chunk_id) AS n FROM weighed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, parent_id, chunk_id) AS place FROM best WHERE n = 1),
+e AS (SELECT p.query_id, list_reverse_sort(list(h.score) FILTER (h.score IS NOT NULL)) AS s, count(*) AS fused_hits FROM placed p LEFT JOIN hranked h ON h.query_id = p.query_id AND h.id = p.chunk_id AND h.rank <= 24 WHERE place <= 10 GROUP BY p.query_id),
+c AS (SELECT query_id, count(*) FILTER (source = 'dense') AS dense_hits, count(*) FILTER (source = 'sparse') AS sparse_hits FROM both_ GROUP BY query_id)
+SELECT query_id, EXISTS (SELECT 1 FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.item_id = kw.query_id) AS answerable, CASE WHEN latin THEN 'en' ELSE 'unknown' END AS language, category, round(s[1], 9) AS top, round(coalesce(s[2], 0), 9) AS second, round(s[1] - coalesce(s[2], 0), 9) AS margin,
+  coalesce(agreement, 0) AS agreement, coalesce(dense_hits, 0) AS dense_hits, coalesce(sparse_hits, 0) AS sparse_hits, coalesce(fused_hits, 0) AS fused_hits FROM kw LEFT JOIN e USING (query_id) LEFT JOIN near USING (query_id) LEFT JOIN c USING (query_id)"""
+)
+def development_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark passages scored against conversation turns; a passage that a document holds counts as answerable."""
+    turns, items = table(spark, d, "conversations"), table(spark, d, "benchmark")
+    held = corpus.contained(table(spark, d, "documents").select("doc_id", "text"), "doc_id", items.select("item_id", F.col("text").alias("passage")), "item_id").select("item_id").distinct().withColumn("held", F.lit(True))
+    queries = items.join(held, "item_id", "left").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.coalesce("held", F.lit(False)).alias("answerable"))
+    chunks = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("conv_id").alias("parent_id"), "text")
+    found = scoring.development_scores(queries, chunks, encoders.hashed()).drop("encoder")
+    return found.withColumns({c: F.round(c, 9) for c in ("top", "second", "margin", "agreement")})

@@ -503,11 +503,11 @@ m AS (SELECT rel.query_id, rel.label, count(*) FILTER (ql = cl AND rank <= 1) /
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    ranked = _dense(spark, d, 24).select("query_id", "rank", F.col("vec_id").alias("doc_id"))
+    """Rows of a query's label are relevant to it, but not itself: counted by label, never listed."""
     label = table(spark, d, "embeddings").select("vec_id", "label")
-    asked = label.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "label")
-    relevant = asked.join(label.withColumnRenamed("vec_id", "doc_id"), "label").where("query_id <> doc_id").select("query_id", "doc_id")
-    return evaluate.per_query(ranked, relevant, asked)
+    size = label.groupBy("label").agg((F.count("*") - 1).alias("n"))
+    asked = label.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "label").join(size, "label", "left")
+    return evaluate.judged(_dense(spark, d, 24).where("is_relevant").select("query_id", "rank"), asked)
 
 
 @query(PER_QUERY + "SELECT count(*) AS queries, round(avg(r1), 6) AS recall_1, round(avg(r5), 6) AS recall_5, round(avg(r10), 6) AS recall_10, round(avg(mrr), 6) AS mrr_10, round(avg(ndcg), 6) AS ndcg_10 FROM m")
