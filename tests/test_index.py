@@ -150,3 +150,11 @@ def test_states_refuse_what_does_not_fit(spark, tmp_path):
     folder.replace_json("current", header | {"version": 2})
     with pytest.raises(ValueError, match="version 2"):
         frequency.load(spark, root)
+
+
+def test_checksums_of_many_chunks_fit_a_long(spark):
+    """The sum of 100,000 ids of 48 set bits is beyond a long."""
+    ids = spark.range(100_000).select(F.lit("f" * 64).alias("id"))
+    assert ids.agg(indexing.checksum(F.col("id"))).first()[0] == 100_000 * (2**48 - 1) % indexing.CHECKSUMS
+    assert ids.limit(0).agg(indexing.checksum(F.col("id"))).first()[0] == 0
+    assert ids.limit(3).agg(indexing.checksum(F.col("id"))).first()[0] == 3 * (2**48 - 1)

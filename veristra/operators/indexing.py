@@ -23,6 +23,8 @@ from veristra.sources.publish import Folder
 
 LEDGER = "bucket int, print string, documents long, chunks long, ids long, bytes long, checksum long"
 VERSION = 1
+#: Checksums are taken modulo this, so that those of any number of chunks fit a long.
+CHECKSUMS = 1 << 63
 
 
 @dataclass(frozen=True)
@@ -48,8 +50,9 @@ def bucket_of(key: Column, buckets: int) -> Column:
 
 
 def checksum(ids: Column) -> Column:
-    """Sum of the ids' first 48 bits, which no order changes; ids are hexadecimal digests."""
-    return F.coalesce(F.sum(F.conv(F.substring(ids, 1, 12), 16, 10).cast("long")), F.lit(0)).cast("long")
+    """Sum of the ids' first 48 bits modulo ``CHECKSUMS``, which no order changes; ids are hexadecimal digests."""
+    total = F.sum(F.conv(F.substring(ids, 1, 12), 16, 10).cast("decimal(15,0)"))
+    return F.coalesce(total % F.lit(str(CHECKSUMS)).cast("decimal(19,0)"), F.lit(0)).cast("long")
 
 
 def settings_print(settings: dict) -> str:
@@ -104,7 +107,7 @@ def build(docs: DataFrame, root: str, chunk: Callable[[DataFrame], DataFrame], s
         raise RuntimeError("the ledger lacks parts that were just written")
     folder.replace_json(f"manifests/{build_id}.json", manifest)
     folder.replace("current", build_id)
-    return Build(build_id, len(missing), len(listed) - len(missing), sum(p.documents for p in parts), sum(p.chunks for p in parts), sum(p.checksum for p in parts))
+    return Build(build_id, len(missing), len(listed) - len(missing), sum(p.documents for p in parts), sum(p.chunks for p in parts), sum(p.checksum for p in parts) % CHECKSUMS)
 
 
 def _write(docs: DataFrame, parts: DataFrame, root: str, chunk: Callable[[DataFrame], DataFrame], buckets: int, files: int, key: str) -> None:
