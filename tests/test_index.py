@@ -158,3 +158,12 @@ def test_checksums_of_many_chunks_fit_a_long(spark):
     assert ids.agg(indexing.checksum(F.col("id"))).first()[0] == 100_000 * (2**48 - 1) % indexing.CHECKSUMS
     assert ids.limit(0).agg(indexing.checksum(F.col("id"))).first()[0] == 0
     assert ids.limit(3).agg(indexing.checksum(F.col("id"))).first()[0] == 3 * (2**48 - 1)
+
+
+def test_the_sql_of_rebuilds_writes_sharp_s_as_spark_does():
+    """In capitals Spark writes ß as SS; the other engine's upper alone leaves one letter."""
+    duckdb = pytest.importorskip("duckdb")
+    from veristra.plans.index import _RUNS
+
+    edit = _RUNS.split("CASE WHEN doc_id % 211 = 0 THEN ")[1].split(" ELSE")[0]
+    assert duckdb.sql(f"SELECT {edit} FROM (SELECT 'Straße' AS text)").fetchall() == [("STRASSE!",)]
