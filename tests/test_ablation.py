@@ -170,3 +170,11 @@ def test_development_scores_go_into_calibration(spark):
     nothing = scoring.development_scores(queries, chunks.limit(0), encoders.hashed()).collect()
     assert len(nothing) == 4 and all(r.fused_hits == 0 for r in nothing)
     assert scoring.development_scores(queries.limit(0), chunks, encoders.hashed()).count() == 0
+
+
+def test_every_twentieth_conversation_asks(spark):
+    from veristra.plans import ablation as planned
+
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    got = sorted(r.query_id for r in planned._openings(spark, "/root/testdata/sf0.001").collect())
+    assert got == sorted(r.conv_id for r in turns.where("turn = 0").collect() if r.conv_id % 20 == 0)
