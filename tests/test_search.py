@@ -85,3 +85,27 @@ def test_dense_search_goes_by_chunks_and_lengths(spark, monkeypatch):
         for r in retrieve.dense_search(df.where("vec_id < 6 OR vec_id IS NULL OR vec_id > 99"), df, 4).collect():
             got[r.query_id][r["rank"]] = r.vec_id
         assert {q: [x for _, x in sorted(v.items())] for q, v in got.items()} == {q: brute(q) for q in range(6) if q in good}
+
+
+def test_gram_search_by_small_blocks_stores_no_grams(spark, monkeypatch):
+    """Blocks are made where texts are read: any size gives the same rows, and no exchange carries grams of texts."""
+    found, asked = _form_tables(spark)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in df.collect())
+    found = found.repartition(3)
+    whole = retrieve.gram_search(asked, found, 5, "id")
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and not any("fids" in line or "values" in line for line in plan.splitlines() if "Exchange" in line)
+    for texts, features in ((1, 10**6), (4, 300), (7, 5000), (10**4, 1)):
+        monkeypatch.setattr(retrieve, "BLOCK_TEXTS", texts)
+        monkeypatch.setattr(retrieve, "BLOCK_FEATURES", features)
+        monkeypatch.setattr(retrieve, "GRAM_TEXTS", 9)
+        assert rows(retrieve.gram_search(asked, found, 5, "id")) == rows(whole)
+
+
+def test_floors_leave_out_only_what_others_beat():
+    rng = np.random.default_rng(5)
+    rows = [np.flatnonzero(rng.random(200) < 0.1) for _ in range(300)]
+    block = retrieve.Postings(np.arange(300), np.concatenate(rows), np.array([len(r) for r in rows]), np.concatenate([np.full(len(r), 1 / np.sqrt(max(1, len(r)))) for r in rows]))
+    asked, weights = [rows[0], rows[1]], [np.full(len(rows[i]), 0.3) for i in (0, 1)]
+    for (ids, scores), (few, left), floor in zip(block.search(asked, weights, 10), block.search(asked, weights, 10, [0.6, 99.0]), (0.6, 99.0), strict=True):
+        assert set(ids[scores >= floor]) <= set(few)
