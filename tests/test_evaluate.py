@@ -91,3 +91,10 @@ def test_groups_are_chosen_whole_and_by_place(spark):
             assert sides.setdefault((r.text or "").lower().strip(), r.split) == r.split
         assert evaluate.group_split(df.repartition(3), "text", rows).where("split = 'development'").count() == min(rows, len(texts))
     assert evaluate.group_split(df.limit(0), "text", 3).count() == 0
+
+
+def test_marginals_count_what_is_relevant_and_never_list_it(spark, monkeypatch):
+    from veristra.plans import queries
+
+    monkeypatch.setattr(evaluate, "per_query", lambda *_: pytest.fail("lists what is relevant"))
+    assert queries.corpus_size_marginals(spark, "/root/testdata/sf0.001").count() == len(queries.SIZES)
