@@ -98,3 +98,17 @@ def test_marginals_count_what_is_relevant_and_never_list_it(spark, monkeypatch):
 
     monkeypatch.setattr(evaluate, "per_query", lambda *_: pytest.fail("lists what is relevant"))
     assert queries.corpus_size_marginals(spark, "/root/testdata/sf0.001").count() == len(queries.SIZES)
+
+
+def _hashes(monkeypatch):
+    calls, real = [], evaluate.content_group
+    monkeypatch.setattr(evaluate, "content_group", lambda text: calls.append(1) or real(text))
+    return calls
+
+
+def test_provenance_hashes_contents_once(spark, monkeypatch):
+    from veristra.plans import records
+
+    calls = _hashes(monkeypatch)
+    records.held_out_provenance(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veristra.checkpoints import cut_lineage
 from veristra.functions import language as L
 from veristra.functions import text as X
 from veristra.functions import vectors as V
@@ -130,12 +131,12 @@ m AS (SELECT split, sum(a) > 0 AS development_not_empty, sum(b) > 0 AS final_not
 SELECT split, "check", passed FROM (SELECT *, NOT both_ AS contents_disjoint FROM m JOIN contents USING (split)) UNPIVOT (passed FOR "check" IN (development_not_empty, final_not_empty, ids_disjoint, contents_disjoint, source_covered, ids_unique))""")
 def held_out_provenance(spark: SparkSession, d: str) -> DataFrame:
     """A split by content, which holds out, and one by id that leaves rows out, has some twice and parts equal contents."""
-    docs = table(spark, d, "documents")
-    halves = evaluate.hash_split(docs, "text", 0.2)
+    docs = cut_lineage(table(spark, d, "documents").select("doc_id", evaluate.content_group(F.col("text")).alias("content")))
+    halves = evaluate.hash_split(docs, "content", 0.2, hashed=True)
     kept = docs.where(F.col("doc_id") % 7 > 0)
     by_id = kept.where(F.col("doc_id") % 5 == 0).unionByName(docs.where(F.col("doc_id") % 35 == 1)), kept.where(F.col("doc_id") % 5 > 0)
     splits = {"content": [halves.where(F.col("split") == s) for s in ("development", "final")], "id": by_id}
-    content, other = (reports.provenance(docs, *sides, "doc_id", "text").select(F.lit(name).alias("split"), "*") for name, sides in splits.items())
+    content, other = (reports.provenance(docs, *sides, "doc_id", "content", hashed=True).select(F.lit(name).alias("split"), "*") for name, sides in splits.items())
     return content.unionByName(other)
 
 
