@@ -112,3 +112,11 @@ def test_provenance_hashes_contents_once(spark, monkeypatch):
     calls = _hashes(monkeypatch)
     records.held_out_provenance(spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_group_split_hashes_contents_once(spark, monkeypatch):
+    from veristra.plans import queries
+
+    calls = _hashes(monkeypatch)
+    queries.group_split(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
