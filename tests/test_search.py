@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veristra.operators import retrieve
 
@@ -109,3 +110,14 @@ def test_floors_leave_out_only_what_others_beat():
     asked, weights = [rows[0], rows[1]], [np.full(len(rows[i]), 0.3) for i in (0, 1)]
     for (ids, scores), (few, left), floor in zip(block.search(asked, weights, 10), block.search(asked, weights, 10, [0.6, 99.0]), (0.6, 99.0), strict=True):
         assert set(ids[scores >= floor]) <= set(few)
+
+
+@pytest.mark.parametrize("most", [retrieve.MANY, 10])
+def test_squares_of_grams_agree_with_named_features(spark, most):
+    found, _ = _form_tables(spark)
+    keyed = found.where("id IS NOT NULL")
+    named, counted, total = retrieve.features(keyed, "id"), retrieve.gram_features(keyed, "id"), keyed.count()
+    raw = named.join(retrieve.document_frequency(named), "feature").select("id", ((1 + F.log("n")) * (F.log(F.lit(total + 1) / (F.col("df") + 1)) + 1)).alias("raw"))
+    rows = lambda df: sorted((r.id, r.features, round(r.square, 6)) for r in df.collect())
+    want = rows(raw.groupBy("id").agg(F.count("*").alias("features"), F.sum(F.col("raw") * F.col("raw")).alias("square")))
+    assert rows(retrieve.gram_squares(counted, retrieve.gram_frequency(counted), total, "id", most)) == want
