@@ -142,3 +142,11 @@ def test_ngrams(spark):
     for f, g in zip(forms, got, strict=True):
         p = f" {f} "
         assert g == sorted(f"c{n}:{p[i : i + n]}" for n in (3, 4, 5) for i in range(len(p) - n + 1) if p[i : i + n].strip())
+
+
+def test_a_table_of_few_splits_is_dealt_by_its_rows(spark, tmp_path):
+    from veristra.session import table
+
+    spark.range(10_000).coalesce(1).write.parquet(f"{tmp_path}/some.parquet")
+    dealt = table(spark, str(tmp_path), "some", each=100)
+    assert dealt.rdd.getNumPartitions() == 100 and dealt.count() == 10_000
