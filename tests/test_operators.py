@@ -150,3 +150,23 @@ def test_a_table_of_few_splits_is_dealt_by_its_rows(spark, tmp_path):
     spark.range(10_000).coalesce(1).write.parquet(f"{tmp_path}/some.parquet")
     dealt = table(spark, str(tmp_path), "some", each=100)
     assert dealt.rdd.getNumPartitions() == 100 and dealt.count() == 10_000
+
+
+def test_chunk_metrics_find_sentences_once(spark):
+    """All strategies' counts against their chunks, from one pass of Python over the texts; sources aren't cut in Spark."""
+    long_ = " ".join(f"Satz {i} hat ein paar Wörter." for i in range(9))
+    docs = spark.createDataFrame([("1", "de", long_), ("2", "de", long_), ("3", "en", long_), ("4", "en", "One. Two."), ("5", None, "x " * 400), ("6", "en", "")], "parent_id string, language string, source string")
+    chunks = [r.asDict() for r in chunking.all_chunks(docs).collect()]
+    for one in (chunking.atomic, chunking.sentence_windows, chunking.parent_children, chunking.semantic_sections):
+        found = one(docs)
+        assert sorted(map(str, found.collect())) == sorted(str(r) for r in chunking.all_chunks(docs).where(F.col("strategy") == found.first().strategy).collect())
+    got = chunking.chunk_metrics(docs)
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = []
+    for strategy in {c["strategy"] for c in chunks}:
+        of = [c for c in chunks if c["strategy"] == strategy]
+        want += [(strategy, lang, [c for c in of if c["language"] == lang]) for lang in {c["language"] for c in of}] + [(strategy, "all", of)]
+    want.append(("all", "all", chunks))
+    sums = sorted((len(x), sum(len(c["text"]) for c in x), sum(len(c["text"].split()) for c in x), sum(len(c["text"].encode()) for c in x), len(x) - len({c["text"] for c in x})) for _, _, x in want)
+    assert sorted(tuple(r)[2:] for r in got.collect()) == sums
+    assert {(r.strategy, r.chunks) for r in got.collect()} == {(None if s == "all" else s, len(x)) for s, _, x in want}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ SEPARATOR = "\n[EN] "
 CHUNK = ["chunk_id", "parent_id", "language", "strategy", "text", "span_start", "span_end"]
 
 
-def _finish(df: DataFrame, strategy: str) -> DataFrame:
-    text = F.col("source").substr(F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))
+def _finish(df: DataFrame, strategy: str | Column, text: Column | None = None) -> DataFrame:
+    text = F.col("source").substr(F.col("span_start") + 1, F.col("span_end") - F.col("span_start")) if text is None else text
     named = df.withColumn("text", text).withColumn("strategy", F.lit(strategy))
     ident = X.sha_id("parent_id", "strategy", "language", F.col("span_start").cast("string"), F.col("span_end").cast("string"), F.col("text"))
     return named.withColumn("chunk_id", ident).select(*CHUNK)
@@ -59,30 +61,25 @@ def parent_children(docs: DataFrame) -> DataFrame:
 
 def sections(sentences: list[dict], vectors: list[list[float]] | None, quantile: float, most: int) -> list[tuple[int, int]]:
     """Spans of sections: a break where neighbours' similarity is in the lowest share, and where the words run over."""
-    import math
-    import re
-
-    import numpy as np
-
-    meaty = [s for s in sentences if len(s["text"].split()) >= 3]
-    sims = []
-    for a, b in zip(vectors, vectors[1:], strict=False):
-        a, b = np.asarray(a, float), np.asarray(b, float)
-        size = math.sqrt(a @ a) * math.sqrt(b @ b)
-        sims.append(float(a @ b) / size if size else 0.0)
-    limit = sorted(sims)[int((len(sims) - 1) * quantile)]
-    breaks = {s["start"] for s, x in zip(meaty[1:], sims, strict=True) if x <= limit}
+    words = [len(s["text"].split()) for s in sentences]
+    meaty = [s for s, n in zip(sentences, words, strict=True) if n >= 3]
+    v = np.asarray(vectors, float)
+    size, dots = np.sqrt((v * v).sum(1)), (v[:-1] * v[1:]).sum(1)
+    size = size[:-1] * size[1:]
+    sims = np.where(size > 0, dots / np.where(size > 0, size, 1.0), 0.0)
+    limit = np.sort(sims)[int((len(sims) - 1) * quantile)]
+    breaks = {meaty[i + 1]["start"] for i in np.flatnonzero(sims <= limit)}
     out, first, last, held = [], None, None, 0
-    for s in sentences:
-        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", s["text"])]
-        if first is not None and (held + len(words) > most or s["start"] in breaks):
+    for s, n in zip(sentences, words, strict=True):
+        if first is not None and (held + n > most or s["start"] in breaks):
             out.append((first, last))
             first, held = None, 0
-        if len(words) > most:
-            out += [(s["start"] + words[i][0], s["start"] + words[min(i + most, len(words)) - 1][1]) for i in range(0, len(words), most)]
+        if n > most:
+            at = [(m.start(), m.end()) for m in re.finditer(r"\S+", s["text"])]
+            out += [(s["start"] + at[i][0], s["start"] + at[min(i + most, n) - 1][1]) for i in range(0, n, most)]
             continue
         first = s["start"] if first is None else first
-        last, held = s["end"], held + len(words)
+        last, held = s["end"], held + n
     if first is not None:
         out.append((first, last))
     return out
@@ -94,36 +91,75 @@ HASHED = encoders.hashed(unit=False, fold=True)
 TOGETHER = 1024
 
 
-def semantic_sections(docs: DataFrame, encoder: encoders.Encoder = HASHED, least: int = SETTINGS.semantic_sentences, quantile: float = SETTINGS.semantic_quantile, most: int = SETTINGS.semantic_words) -> DataFrame:
-    """Sections of texts with at least ``least`` sentences of three words. Sentences of many texts are encoded together."""
+def section_spans(found: list[list[dict]], encoder: encoders.Encoder, least: int, quantile: float, most: int) -> list[list[tuple[int, int]]]:
+    """``sections`` of many texts' sentences; none for a text of fewer than ``least`` sentences of three words."""
+    out: list[list[tuple[int, int]]] = []
+    waiting: list[tuple[list[dict], list[str]]] = []
+
+    def flush() -> None:
+        vectors = encoders.encode_list(encoder, [t for _, meaty in waiting for t in meaty])
+        at = 0
+        for sentences, meaty in waiting:
+            mine, at = vectors[at : at + len(meaty)], at + len(meaty)
+            out.append(sections(sentences, mine, quantile, most) if meaty else [])
+        waiting.clear()
+
+    held = 0
+    for sentences in found:
+        meaty = [s["text"] for s in sentences if len(s["text"].split()) >= 3]
+        waiting.append((sentences, meaty if len(meaty) >= max(2, least) else []))
+        held += len(waiting[-1][1])
+        if held >= TOGETHER:
+            flush()
+            held = 0
+    flush()
+    return out
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out: list[list[dict]] = []
-            waiting: list[tuple[list[dict], list[str]]] = []
 
-            def flush(out=out, waiting=waiting) -> None:
-                vectors = encoders.encode_list(encoder, [t for _, meaty in waiting for t in meaty])
-                at = 0
-                for found, meaty in waiting:
-                    mine, at = vectors[at : at + len(meaty)], at + len(meaty)
-                    out.append([{"start": a, "end": b} for a, b in sections(found, mine, quantile, most)] if meaty else [])
-                waiting.clear()
+def windows_of(sentences: list[dict], total: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """``window_spans`` of one text."""
+    if len(sentences) <= 1:
+        return [(0, total)]
+    step = size - overlap
+    last = max(0, math.ceil((len(sentences) - size) / step))
+    return [(sentences[k * step]["start"], sentences[min(k * step + size, len(sentences)) - 1]["end"]) for k in range(last + 1)]
+
+
+PIECES = "array<struct<kind:int,start:int,end:int,text:string>>"
+
+
+def pieces(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> pa.Array:
+    """Lists of (kind, start, end) with their texts, cut here: Spark would read a source from its start for each of its spans."""
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in spans]))).astype(np.int32)
+    kinds, starts, stops = (pa.array([s[i] for x in spans for s in x], pa.int32()) for i in range(3))
+    cut = pa.array([t[s[1] : s[2]] for t, x in zip(texts, spans, strict=True) for s in x], pa.string())
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([kinds, starts, stops, cut], names=["kind", "start", "end", "text"]))
+
+
+def _pieces(docs: DataFrame, spans: Column, strategies: Column) -> DataFrame:
+    """(parent_id, language, span_start, span_end, text, strategies): the texts of ``PIECES`` with the strategies of their kind."""
+    found = docs.where("length(source) > 0").select("parent_id", "language", F.explode(spans).alias("w"))
+    return found.select("parent_id", "language", F.col("w.start").alias("span_start"), F.col("w.end").alias("span_end"), F.col("w.text").alias("text"), strategies.alias("strategies"))
 
-            held = 0
-            for t in texts:
-                found = [dict(zip(("text", "start", "end"), s, strict=True)) for s in X.split_sentences(t)]
-                meaty = [s["text"] for s in found if len(s["text"].split()) >= 3]
-                waiting.append((found, meaty if len(meaty) >= max(2, least) else []))
-                held += len(waiting[-1][1])
-                if held >= TOGETHER:
-                    flush()
-                    held = 0
-            flush()
-            yield pd.Series(out, dtype=object)
 
-    return _spans(docs.where("length(source) > 0"), spans(F.col("source")), "semantic_section")
+def _each(found: DataFrame) -> DataFrame:
+    """A chunk for every strategy of a piece."""
+    return _finish(found.withColumn("strategy", F.explode("strategies")), F.col("strategy"), F.col("text"))
+
+
+def sentences_of(texts: list[str]) -> list[list[dict]]:
+    return [[{"text": t, "start": a, "end": b} for t, a, b in X.split_sentences(x)] for x in texts]
+
+
+def semantic_sections(docs: DataFrame, encoder: encoders.Encoder = HASHED, least: int = SETTINGS.semantic_sentences, quantile: float = SETTINGS.semantic_quantile, most: int = SETTINGS.semantic_words) -> DataFrame:
+    """Sections of texts with at least ``least`` sentences of three words. Sentences of many texts are encoded together."""
+
+    @F.arrow_udf(PIECES)
+    def spans(source: pa.Array) -> pa.Array:
+        texts = source.to_pylist()
+        return pieces(texts, [[(0, a, b) for a, b in x] for x in section_spans(sentences_of(texts), encoder, least, quantile, most)])
+
+    return _each(_pieces(docs, spans(F.col("source")), F.array(F.lit("semantic_section"))))
 
 
 def bilingual_pairs(docs: DataFrame, most: int = SETTINGS.pair_characters) -> DataFrame:
@@ -139,9 +175,41 @@ def bilingual_pairs(docs: DataFrame, most: int = SETTINGS.pair_characters) -> Da
     return rows.withColumn("chunk_id", ident).select(*CHUNK, F.col("p.b.start").alias("other_start"), F.col("p.b.end").alias("other_end"))
 
 
-def all_chunks(docs: DataFrame) -> DataFrame:
+def all_pieces(docs: DataFrame, encoder: encoders.Encoder = HASHED) -> DataFrame:
+    """What every strategy makes of one-language documents, a text that two strategies share once: see ``_pieces``.
+
+    A strategy is in one set of strategies alone. Sentences are found once for all.
+    """
+    c = SETTINGS
+
+    @F.arrow_udf(PIECES)
+    def spans(source: pa.Array) -> pa.Array:
+        texts = source.to_pylist()
+        found = sentences_of(texts)
+        parts = section_spans(found, encoder, c.semantic_sentences, c.semantic_quantile, c.semantic_words)
+        windows = [windows_of(x, len(t), c.window_sentences, c.window_overlap) for t, x in zip(texts, found, strict=True)]
+        return pieces(texts, [[*((0, *s) for s in w), *((1, *s) for s in p)] for w, p in zip(windows, parts, strict=True)])
+
+    kinds = F.when(F.col("w.kind") == 0, F.array(F.lit("sentence_window"), F.lit("parent_child"))).otherwise(F.array(F.lit("semantic_section")))
+    whole = docs.where("length(source) > 0").select("parent_id", "language", F.lit(0).alias("span_start"), F.length("source").alias("span_end"), F.col("source").alias("text"), F.array(F.lit("atomic")).alias("strategies"))
+    return whole.unionByName(_pieces(docs, spans(F.col("source")), kinds))
+
+
+def all_chunks(docs: DataFrame, encoder: encoders.Encoder = HASHED) -> DataFrame:
     """Every strategy of one-language documents in one table."""
-    return atomic(docs).unionByName(sentence_windows(docs)).unionByName(parent_children(docs)).unionByName(semantic_sections(docs))
+    return _each(all_pieces(docs, encoder))
+
+
+def chunk_metrics(docs: DataFrame) -> DataFrame:
+    """(strategy, language, chunks, chars, words, bytes, repeated) of all chunks, with totals: those of strategies that share texts are worked out once."""
+    sums = {"chunks": F.count("*"), "chars": F.sum(F.length("text")), "words": F.sum(X.split_count(F.col("text"))), "bytes": F.sum(F.octet_length("text"))}
+    per = all_pieces(docs).groupBy("strategies", "language", F.unhex(F.sha2("text", 256)).alias("h")).agg(*[v.alias(k) for k, v in sums.items()])
+    total = F.grouping_id() == 3
+    # in the total of all strategies a piece counts once for each of its strategies
+    per = per.withColumns({f"{k}_all": F.col(k) * F.size("strategies") for k in sums})
+    own = {k: F.when(total, F.sum(f"{k}_all")).otherwise(F.sum(k)) for k in sums}
+    found = per.rollup("strategies", "language").agg(*[v.alias(k) for k, v in own.items()], F.count_distinct("h").alias("texts"))
+    return found.select(F.explode_outer("strategies").alias("strategy"), "language", *sums, (F.col("chunks") - F.col("texts")).alias("repeated"))
 
 
 def late_windows(parents: DataFrame, size: int = SETTINGS.late_sentences) -> DataFrame:
