@@ -121,3 +121,15 @@ def test_squares_of_grams_agree_with_named_features(spark, most):
     rows = lambda df: sorted((r.id, r.features, round(r.square, 6)) for r in df.collect())
     want = rows(raw.groupBy("id").agg(F.count("*").alias("features"), F.sum(F.col("raw") * F.col("raw")).alias("square")))
     assert rows(retrieve.gram_squares(counted, retrieve.gram_frequency(counted), total, "id", most)) == want
+
+
+def test_dense_search_works_out_vectors_once(spark):
+    """Vectors from Python are made once a row, and those without a direction are left out where they are multiplied."""
+    from veristra.functions import encoders
+
+    texts = spark.createDataFrame([(0, "rain on hills"), (1, "rain on hills"), (2, ""), (3, None), (4, "rain in town")], "vec_id long, text string")
+    base = encoders.encode(texts, encoders.hashed())
+    found = retrieve.dense_search(base, base, 3)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in found.collect())
+    assert got == [(0, 1, 1), (0, 2, 4), (1, 1, 0), (1, 2, 4), (4, 1, 0), (4, 2, 1)]
