@@ -133,3 +133,18 @@ def test_dense_search_works_out_vectors_once(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in found.collect())
     assert got == [(0, 1, 1), (0, 2, 4), (1, 1, 0), (1, 2, 4), (4, 1, 0), (4, 2, 1)]
+
+
+def test_text_frequency_makes_no_row_for_a_gram_of_a_text(spark):
+    """Counted by batches it is what the features of texts give, also with many different signs and with none."""
+    from veristra.operators import frequency
+
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))
+    forms = ["rain on 12 hills", "rain on 12 12 hills", "", "a", "ab", "日本語 x 3.5", "straße   x", wide, wide[:9] + " rain", None, "a\x00b\x00"]
+    texts = spark.createDataFrame(list(enumerate(forms)), "id long, form string")
+    got, found = retrieve.text_frequency(texts, "id"), retrieve.features(texts, "id")
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    state = frequency.of_texts(texts)
+    want = {r.feature: r.df for r in retrieve.document_frequency(found).collect()}
+    assert {r.feature: r.df for r in got.collect()} == want == {r.feature: r.df for r in state.frequency.collect()}
+    assert state.documents == frequency.count(found, len(forms)).documents

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristra.config import SETTINGS
+from veristra.operators import retrieve
 from veristra.sources.publish import Folder
 
 VERSION = 1
@@ -33,6 +34,11 @@ def count(found: DataFrame, documents: int, key: str = "id", feature: str = "fea
     return State(pairs.groupBy(feature).agg(F.count("*").alias("df")), documents, settings, feature)
 
 
+def of_texts(texts: DataFrame, key: str = "id", text: str = "form") -> State:
+    """State of the n-grams of (<key>, <text>), as ``count`` of their features, where no key comes twice."""
+    return State(retrieve.text_frequency(texts, key, text), texts.count())
+
+
 def fold(state: State, batch: State, sign: int = 1) -> State:
     """``state`` with a batch's documents added (1) or taken out (-1).
 

@@ -79,7 +79,7 @@ def index_rebuilds(spark: SparkSession, d: str) -> DataFrame:
 def frequency_state(spark: SparkSession, d: str) -> DataFrame:
     """Frequencies of n-grams folded in two halves, saved, loaded, and with every fifth conversation taken out again."""
     turns = table(spark, d, "conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), X.plain_matching(F.col("text")).alias("form"))
-    counted = lambda rows: frequency.count(retrieve.features(rows.select("id", "form"), "id"), rows.count())
+    counted = lambda rows: frequency.of_texts(rows.select("id", "form"))
     root = scratch(spark, "state")
     frequency.save(counted(turns.where("conv_id % 2 = 0")), root)
     frequency.save(frequency.fold(frequency.load(spark, root), counted(turns.where("conv_id % 2 = 1"))), root)
