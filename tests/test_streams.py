@@ -119,3 +119,27 @@ def test_a_ring_of_samples_over_triggers_is_that_of_the_table(spark, tmp_path):
     got = exact(upsert.read(spark, f"{tmp_path}/table", "stage"))
     assert got == exact(recorder.summaries(spark.createDataFrame(rows, schema), "stage", "value", "ts", "event_id", 50))
     assert {r[0]: r[2] for r in got}["once"] == 1 and len(got) == 4
+
+
+def test_ring_holds_no_more_than_it_keeps(monkeypatch):
+    """A trigger's samples come in parts; what is held at once goes by ``kept``, not by how many come."""
+    import pandas as pd
+
+    from veristra.streaming import recorder
+
+    class State(dict):
+        exists, get, values = lambda s: "n" in s, lambda s: s["n"], lambda s: list(dict.values(s))
+        update = lambda s, v: s.__setitem__("n", v)
+        updateValue = dict.__setitem__  # noqa: N815
+
+    sizes, plain = [], pd.concat
+    monkeypatch.setattr(recorder.pd, "concat", lambda parts: (lambda parts: sizes.append(sum(map(len, parts))) or plain(parts))(list(parts)))
+    ring = recorder.Ring("k", 7)
+    ring.came, ring.slots = State(), State()
+    at = [(i * 37) % 101 for i in range(101)]
+    parts = [pd.DataFrame({"at": at[i : i + 10], "tie": 0, "value": [float(x) for x in at[i : i + 10]]}) for i in range(0, 101, 10)]
+    (out,) = ring.handleInputRows(("a",), iter(parts), None)
+    assert sorted(v[0] for v in ring.slots.values()) == [94.0, 95.0, 96.0, 97.0, 98.0, 99.0, 100.0]
+    assert (out.came[0], out.samples[0], out.p50[0]) == (101, 7, 97.0) and max(sizes) <= 17
+    (out,) = ring.handleInputRows(("a",), iter([pd.DataFrame({"at": [5, 4], "tie": 0, "value": [1.0, 2.0]})]), None)
+    assert (out.came[0], sorted(v[0] for v in ring.slots.values())) == (103, [1.0, 2.0, 96.0, 97.0, 98.0, 99.0, 100.0])

@@ -32,11 +32,14 @@ class Ring(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         before = int(self.came.get()[0]) if self.came.exists() else 0
-        new = pd.concat(rows).sort_values(["at", "tie"], kind="stable")["value"].tolist()
-        n = before + len(new)
-        # of the new samples only the last ``kept`` are ever seen
-        for i in range(max(before, n - self.kept), n):
-            self.slots.updateValue((i % self.kept,), (float(new[i - before]),))
+        # of the new samples only the last ``kept`` are ever seen, and no more are held
+        n, new = before, pd.DataFrame({"at": [], "tie": [], "value": []})
+        for part in rows:
+            n += len(part)
+            part = part[["at", "tie", "value"]]
+            new = (pd.concat([new, part]) if len(new) else part).sort_values(["at", "tie"], kind="stable").tail(self.kept)
+        for i, value in enumerate(new["value"].tolist(), n - len(new)):
+            self.slots.updateValue((i % self.kept,), (float(value),))
         self.came.update((n,))
         held = sorted(v[0] for v in self.slots.values())
         found = [held[rank(len(held), p)] for p in PERCENTS]
