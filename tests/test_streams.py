@@ -143,3 +143,40 @@ def test_ring_holds_no_more_than_it_keeps(monkeypatch):
     assert (out.came[0], out.samples[0], out.p50[0]) == (101, 7, 97.0) and max(sizes) <= 17
     (out,) = ring.handleInputRows(("a",), iter([pd.DataFrame({"at": [5, 4], "tie": 0, "value": [1.0, 2.0]})]), None)
     assert (out.came[0], sorted(v[0] for v in ring.slots.values())) == (103, [1.0, 2.0, 96.0, 97.0, 98.0, 99.0, 100.0])
+
+
+def test_events_of_a_key_are_few_values_of_state(monkeypatch):
+    """A trigger's events go into state by packs and sessions come out by packs, however many they are, and are those of the plain rule."""
+    import pandas as pd
+
+    class Kept(list):
+        exists, get, appendList, appendValue = lambda s: bool(s), lambda s: iter(list(s)), list.extend, list.append  # noqa: N815
+        put = lambda s, values: s.__setitem__(slice(None), values)
+
+    class One(Kept):
+        get, update = lambda s: s[0] if s else None, lambda s, v: s.__setitem__(slice(None), [v])
+
+    class Times:
+        getCurrentWatermarkInMs = lambda s: s.ms  # noqa: E731, N815
+
+    monkeypatch.setattr(capped, "PACK", 100, raising=False)
+    rng, second, timers = random.Random(3), 10**6, []
+    ticks = sorted(rng.sample(range(2, 9000), 700))
+    events = [t * second // 2 for t in ticks]
+    rng.shuffle(events)
+    machine, now = capped.CappedSessions("user_id", 30 * second, 90 * second), Times()
+    machine.handle, machine.session, machine.pending = type("Handle", (), {"registerTimer": lambda s, ms: timers.append(ms)})(), One(), Kept()
+    now.ms = 500
+    frames = [pd.DataFrame({"at": events[i : i + 40]}) for i in range(0, 700, 40)]
+    late = list(machine.handleInputRows(("u",), iter([*frames, pd.DataFrame({"at": [500_000, 7, 1]})]), now))
+    assert len(late) == 1 and late[0]["cells"][0] == [x for t in (1, 7, 500_000) for x in (t, t, 1, capped.LATE)]
+    assert len(machine.pending) == 6 and len(timers) == 1 and timers[0] == min(events) // 1000
+    got = []
+    for now.ms in (2_000_000, 2_000_000, 3_000_000, 10_000_000):
+        out = list(machine.handleExpiredTimer(("u",), now, None))
+        assert len(out) <= 7 and len(machine.pending) <= 7
+        got += [cells for frame in out for cells in frame["cells"]]
+    cells = [x for c in got for x in c]
+    found = [("u", *cells[i : i + 3], capped.REASONS[cells[i + 3]]) for i in range(0, len(cells), 4)]
+    assert sorted(found, key=repr) == plain([("u", t / second) for t in events], 30, 90)
+    assert not machine.pending and not machine.session

@@ -77,8 +77,18 @@ def capped_sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", idl
     return dealt.mapInArrow(read, f"__key {kind}, start_us long, end_us long, n long, reason string").withColumnRenamed("__key", key)
 
 
+#: Events that are put into state together, as one value.
+PACK = 1 << 16
+REASONS = ("idle", "longest", "behind the watermark")
+LATE = len(REASONS) - 1
+
+
 class CappedSessions(StatefulProcessor):
-    """State of a key: events that the watermark hasn't passed, and the running session. One timer a key is due at a time or more."""
+    """State of a key: events that the watermark hasn't passed, and the running session. One timer a key is due at a time or more.
+
+    What a key costs is calls to the state store, values of state and cells of frames, far more than bytes. So up to
+    ``PACK`` events go into state as one binary value, and what is found comes out as one list of numbers, four a session.
+    """
 
     def __init__(self, key: str, idle: int, longest: int):
         self.key, self.idle, self.longest = key, idle, longest
@@ -86,48 +96,66 @@ class CappedSessions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.session = handle.getValueState("session", "start long, last long, n long")
-        self.pending = handle.getListState("pending", "at long")
+        self.pending = handle.getListState("pending", "at binary")
+
+    def found(self, key: tuple, cells: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]], "cells": [cells]})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held, size, first = [], 0, None
         for frame in rows:
             at = frame["at"].to_numpy(np.int64)
-            late, waiting = at[at <= passed], np.sort(at[at > passed])
+            late, waiting = at[at <= passed], at[at > passed]
             if len(waiting):
-                self.pending.appendList([(int(a),) for a in waiting])
-                self.handle.registerTimer(-(-int(waiting[0]) // 1000))
+                held.append(waiting)
+                size += len(waiting)
+                first = int(waiting.min()) if first is None else min(first, int(waiting.min()))
+            if size >= PACK:
+                self.pending.appendValue((np.concatenate(held).tobytes(),))
+                held, size = [], 0
             if len(late):
-                yield pd.DataFrame({self.key: [key[0]] * len(late), "kind": "late", "start_us": np.sort(late), "end_us": np.sort(late), "n": 1, "reason": "behind the watermark"})
+                yield self.found(key, [x for t in np.sort(late).tolist() for x in (t, t, 1, LATE)])
+        if held:
+            self.pending.appendValue((np.concatenate(held).tobytes(),))
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(r[0] for r in self.pending.get()) if self.pending.exists() else []
-        ready, waiting = [a for a in waiting if a <= passed], [a for a in waiting if a > passed]
-        session = tuple(int(x) for x in self.session.get()) if self.session.exists() else None
+        waiting = np.sort(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[0], np.int64) for r in self.pending.get())]))
+        cut = int(np.searchsorted(waiting, passed, "right"))
+        ready, waiting = waiting[:cut], waiting[cut:]
+        before = self.session.get()
+        session = before = None if before is None else tuple(int(x) for x in before)
         out = []
-        for at in ready:
-            session, closed = take(session, at, self.idle, self.longest)
-            if closed is not None:
-                out.append(closed)
+        for low in range(0, len(ready), PACK):
+            if out:
+                yield self.found(key, out)
+                out = []
+            for at in ready[low : low + PACK].tolist():
+                session, closed = take(session, at, self.idle, self.longest)
+                if closed is not None:
+                    out += (*closed[:3], REASONS.index(closed[3]))
         if session is not None:
             end, reason = end_of(session[0], session[1], self.idle, self.longest)
             if end <= passed:
-                out.append((session[0], end, session[2], reason))
+                out += (session[0], end, session[2], REASONS.index(reason))
                 session = None
             else:
                 self.handle.registerTimer(-(-end // 1000))
-        if ready:
-            if waiting:
-                self.pending.put([(a,) for a in waiting])
-                self.handle.registerTimer(-(-waiting[0] // 1000))
+        if len(ready):
+            if len(waiting):
+                self.pending.put([(waiting[low : low + PACK].tobytes(),) for low in range(0, len(waiting), PACK)])
+                self.handle.registerTimer(-(-int(waiting[0]) // 1000))
             else:
                 self.pending.clear()
-        if session is None:
-            self.session.clear()
-        else:
+        if session is not None:
             self.session.update(session)
+        elif before is not None:
+            self.session.clear()
         if out:
-            yield pd.DataFrame([(key[0], "session", *x) for x in out], columns=[self.key, "kind", *SESSION])
+            yield self.found(key, out)
 
     def close(self) -> None:
         pass
@@ -142,4 +170,8 @@ def stream_capped_sessions(events: DataFrame, key: str = "user_id", ts: str = "t
     kind = events.schema[key].dataType.simpleString()
     # only the number goes on, so that Spark doesn't drop late rows before they are told
     rows = timed.select(key, F.unix_micros(ts).alias("at"))
-    return rows.groupBy(key).transformWithStateInPandas(CappedSessions(key, idle * SECOND, longest * SECOND), f"{key} {kind}, kind string, start_us long, end_us long, n long, reason string", "Append", "EventTime")
+    found = rows.groupBy(key).transformWithStateInPandas(CappedSessions(key, idle * SECOND, longest * SECOND), f"{key} {kind}, cells array<long>", "Append", "EventTime")
+    cell = lambda i: F.get("cells", F.col("__i") + i)
+    each = found.withColumn("__i", F.explode(F.sequence(F.lit(0), F.size("cells") - 1, F.lit(len(SESSION)))))
+    named = F.get(F.array(*map(F.lit, REASONS)), cell(3).cast("int"))
+    return each.select(key, F.when(cell(3) == LATE, "late").otherwise("session").alias("kind"), cell(0).alias("start_us"), cell(1).alias("end_us"), cell(2).alias("n"), named.alias("reason"))
