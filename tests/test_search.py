@@ -148,3 +148,15 @@ def test_text_frequency_makes_no_row_for_a_gram_of_a_text(spark):
     want = {r.feature: r.df for r in retrieve.document_frequency(found).collect()}
     assert {r.feature: r.df for r in got.collect()} == want == {r.feature: r.df for r in state.frequency.collect()}
     assert state.documents == frequency.count(found, len(forms)).documents
+
+
+def test_copies_of_a_text_do_not_pile_up(spark, monkeypatch):
+    """Of texts of equal score a task hands over the k of smallest keys, however many blocks they lie in."""
+    monkeypatch.setattr(retrieve, "BLOCK_TEXTS", 50)
+    handed, plain = [], retrieve.best
+    monkeypatch.setattr(retrieve, "best", lambda scored, k, *order: handed.append(scored.count()) or plain(scored, k, *order))
+    texts = spark.createDataFrame([(i, "blue lamp on the table" if i % 3 else f"green chair {i}") for i in range(900, 0, -1)], "id long, form string").coalesce(1)
+    asked = spark.createDataFrame([(1, "a blue lamp"), (2, "green chair 3")], "query_id long, form string")
+    got = {(r.query_id, r["rank"]): r.id for r in retrieve.gram_search(asked, texts, 4, "id").collect()}
+    assert [got[1, i] for i in range(1, 5)] == [1, 2, 4, 5] and got[2, 1] == 3
+    assert handed[0] <= 2 * 4 * 3
