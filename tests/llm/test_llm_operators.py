@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,31 @@ def test_word_encoder_equals_library():
         assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == e.library.encode(t, add_special_tokens=False).ids
 
 
+def test_word_encoder_on_slices_and_in_small_groups(monkeypatch):
+    e = packing.encoder(tokenizer_file())
+    rng = random.Random(6)
+    signs = "abcstrevmld''''  \n\t0123½²ªºßİŞéÈñ!#%$<|>\xa0\xad \x1c\x1f\x85\x00\x7f日本Σς̇ẞȺɐ🙂"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(2000)] + ["", None, "'", "x're've's's", "''s", "a'", "1'll"]
+    want = [b"" if t is None else np.array(e.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    held = pa.array(["before"] * 9 + texts, pa.string()).slice(9)
+    for together in (1 << 22, 100, 1):
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        assert [x for low in range(0, len(held), 300) for x in e.encode(held.slice(low, 300))] == want
+
+
+def test_word_encoder_keeps_the_words_that_recur(monkeypatch):
+    """Words that are met once don't push out those of every batch."""
+    monkeypatch.setattr(packing, "CACHE", 800)
+    e = packing.WordEncoder(tokenizer_file())
+    made, merge = collections.Counter(), e._merge
+    monkeypatch.setattr(e, "_merge", lambda parts: made.update(parts) or merge(parts))
+    spell = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    often = ["often" + spell(i) for i in range(50)]
+    for batch in range(40):
+        e.encode([" ".join([*often, *("once" + spell(100 * batch + i) for i in range(100))])])
+    assert all(made[w.encode()] == 1 for w in often) and len(made) >= 4050
+
+
 def test_forest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 6))

@@ -97,7 +97,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, most: int, end: int = END, text:
             for low in range(0, got.num_rows, 512):
                 some = got.slice(low, 512)
                 rows: list[tuple] = []
-                for doc, raw in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
+                for doc, raw in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
                     raw += last
                     for number, start in enumerate(range(0, len(raw) // 4, most)):
                         piece = raw[4 * start : 4 * (start + most)]

@@ -7,21 +7,22 @@ exceeds the capacity, the count rises by one and the batch is packed again. A ba
 depends on the size of the table, and a repeated document is only one more row.
 
 Tokens come from a BPE file of the ``tokenizers`` library with white space between words dropped (normalised
-by NFC and lower case, split into letter runs, digits and other runs). Words are encoded once a worker and kept
-in a bounded cache; new words made of Latin letters, digits and signs are encoded together by array operations
-that apply the merges in rank order, all others by the library itself.
+by NFC and lower case, split into letter runs, digits and other runs). A batch of texts is reduced to its
+different words and these to their different parts, whose ids a worker keeps in a bounded cache. New parts made of
+Latin letters, digits and signs are encoded together by array operations that apply the merges in rank order, all
+other words by the library itself.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +34,51 @@ END = 2
 PIECE_MOST = 512
 #: Pieces of rests a batch.
 BATCH = 2048
-#: Words and parts of words that a worker keeps, of some 200 bytes each.
+#: Parts of words, and words of other signs, that a worker keeps, of some 200 bytes each.
 CACHE = 600_000
+#: Bytes of texts that are encoded together.
+TOGETHER = 1 << 22
 SPECIALS = "<|"
-#: Stands between the ids of words.
-NO_ID = 0xFFFFFFFF
-BREAK = np.array([NO_ID], "<u4").tobytes()
+#: Kinds of signs: letters, digits, line ends between words, others.
+LETTER, DIGIT, BREAK, OTHER = 1, 2, 3, 4
+
+
+class Recent:
+    """The ids of at most ``most`` keys: those used last, by halves."""
+
+    def __init__(self, most: int):
+        self.half, self.new, self.old = most // 2, {}, {}
+
+    def of(self, keys: list, make: Callable[[list], list[bytes]]) -> list[bytes]:
+        """Ids of different keys; ``make`` gives those of keys that are not held."""
+        found = list(map(self.new.get, keys))
+        rest = [k for k, x in zip(keys, found, strict=True) if x is None]
+        if not rest:
+            return found
+        again = list(map(self.old.get, rest))
+        missing = [k for k, x in zip(rest, again, strict=True) if x is None]
+        if missing:
+            made = iter(make(missing))
+            again = [next(made) if x is None else x for x in again]
+        if len(self.new) + len(rest) > self.half:
+            self.new, self.old = {}, self.new
+        # one batch alone may exceed the half
+        self.new.update(zip(rest[: self.half], again))
+        late = iter(again)
+        return [next(late) if x is None else x for x in found]
+
+
+def listed(values: pa.Array) -> list:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def spans(held: pa.LargeBinaryArray) -> np.ndarray:
+    """Where each value begins in the data, and the end."""
+    return np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+
+
+def sliced(data: pa.Buffer | None, ends: np.ndarray) -> pa.LargeBinaryArray:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), data or pa.py_buffer(b"")])
 
 
 class WordEncoder:
@@ -73,12 +113,16 @@ class WordEncoder:
             self.keys[at[put]], self.ranks[at[put]], self.made[at[put]] = pairs[left[put]], rank[left[put]], made[left[put]]
             rest = np.setdiff1d(np.arange(len(left)), put)
             left, at = left[rest], (at[rest] + 1) % size
-        self.fast = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-ɏ]+")
-        self.control = re.compile("[\x00-\x09\x0b-\x20\x7f]")
-        self.parted = re.compile("[\x1c-\x1f\x85]")  # Python splits there, the library does not
-        self.pieces = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        # signs whose words are encoded here, and the kind of each sign that these have in lower case
+        self.fast = np.zeros(0x251, bool)
+        for low, high in ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0x24F)):
+            self.fast[low : high + 1] = True
+        lower = {c for x in np.flatnonzero(self.fast).tolist() for c in chr(x).lower()}
+        self.kind = np.full(max(map(ord, lower)) + 1, OTHER, np.int8)
+        for kind, pattern in ((LETTER, r"\p{L}"), (DIGIT, r"\p{N}")):
+            self.kind[[ord(c) for c in lower if regex.fullmatch(pattern, c)]] = kind
+        self.fast[10], self.kind[10] = True, BREAK
+        self.words, self.parts = Recent(CACHE // 4), Recent(CACHE - CACHE // 4)
 
     @staticmethod
     def _byte_signs() -> list[str]:
@@ -150,58 +194,87 @@ class WordEncoder:
             if width < ids.shape[1]:
                 ids, rank, made = ids[:, :width], rank[:, :width], made[:, :width]
 
-    def _odd(self, new: list[str]) -> list[str]:
-        """Words that only the library encodes."""
-        plain = [w for w in new if w.isascii()]
-        odd = [w for w in new if not w.isascii() and (not self.fast.fullmatch(w) or SPECIALS in w)]
-        joined = "\n".join(plain)
-        if SPECIALS in joined or self.control.search(joined):
-            odd += [w for w in plain if SPECIALS in w or self.control.search(w)]
-        return odd
-
-    def learn(self, new: list[str]) -> None:
-        """Put the ids of these words into the cache."""
-        odd = self._odd(new)
-        even = new
-        if odd:
-            for w, e in zip(odd, self.library.encode_batch(odd, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
-            even = [w for w in new if w not in self.words]
-        if not even:
-            return
-        split = self.pieces.findall("\n".join(even).lower())
-        split.append("\n")
-        by_length: dict[int, list[str]] = {}
-        self.parts["\n"] = BREAK
-        for p in set(split).difference(self.parts):
-            by_length.setdefault((len(p.encode()) + 3) // 4, []).append(p)
-        for same in by_length.values():
-            step = max(1, (1 << 20) // max(len(p.encode()) for p in same))
-            for i in range(0, len(same), step):
-                self.parts.update(zip(same[i : i + step], self._merge([p.encode() for p in same[i : i + step]]), strict=True))
-        held = b"".join(map(self.parts.__getitem__, split))
-        ends = (4 * np.flatnonzero(np.frombuffer(held, "<u4") == NO_ID)).tolist()
-        self.words.update(zip(even, (held[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.split() if t else [] for t in texts]
-        whole = [i for i, t in enumerate(texts) if t and (SPECIALS in t or self.parted.search(t))]
-        for i in whole:
-            split[i] = []
-        if len(self.words) + len(self.parts) > CACHE:
-            self.words.clear()
-            self.parts.clear()
-        known = self.words
-        new = set().union(*split).difference(known)
-        if new:
-            self.learn(list(new))
-        get = known.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
-        for i in whole:
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+    def _library(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
+
+    def _new_parts(self, parts: list[bytes]) -> list[bytes]:
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        order = np.argsort(lengths, kind="stable")
+        out: list[bytes] = [b""] * len(parts)
+        like = (lengths[order] + 3) // 4
+        for same in np.split(order, np.flatnonzero(np.diff(like)) + 1):
+            step = max(1, (1 << 20) // int(lengths[same[-1]]))
+            for low in range(0, len(same), step):
+                some = same[low : low + step].tolist()
+                for i, ids in zip(some, self._merge([parts[i] for i in some]), strict=True):
+                    out[i] = ids
         return out
 
+    def _starts(self, codes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Where parts begin: contractions such as 's, runs of letters, single digits, runs of other signs; line ends part words."""
+        begins = np.ones(len(codes), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT) | (kind[1:] == BREAK)
+        quotes = np.flatnonzero((codes == ord("'")) & begins)
+        if len(quotes):
+            # a line end is last, so that two signs follow each quote or their place doesn't matter
+            one, two = codes[quotes + 1], codes[np.minimum(quotes + 2, len(codes) - 1)]
+            size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 2, 0)
+            for a, b in ("re", "ve", "ll"):
+                size[(one == ord(a)) & (two == ord(b))] = 3
+            quotes, size = quotes[size > 0], size[size > 0]
+            begins[quotes + 1] = False
+            begins[quotes + size] = True
+        return np.flatnonzero(begins)
+
+    def _even(self, words: list[str]) -> pa.LargeBinaryArray:
+        """Ids of words of Latin letters, digits and signs."""
+        text = "\n".join(words).lower() + "\n"
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        kind = self.kind[codes]
+        at = self._starts(codes, kind)
+        ends = np.append(at, len(codes))
+        if not text.isascii():
+            ends = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800))])[ends]
+        parts = sliced(pa.py_buffer(text.encode()), ends).dictionary_encode()
+        held = self.parts.of(listed(parts.dictionary), lambda new: [b"" if p == b"\n" else x for p, x in zip(new, self._new_parts(new), strict=True)])
+        ids = pa.array(held, pa.large_binary()).take(parts.indices)
+        return sliced(ids.buffers()[2], spans(ids)[np.concatenate([[0], np.flatnonzero(kind[at] == BREAK)])])
+
+    def _of_words(self, words: list[str]) -> pa.LargeBinaryArray:
+        """Ids of different words without white space of ASCII."""
+        text = "\n".join(words)
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        strange = np.flatnonzero(~self.fast[np.minimum(codes, len(self.fast) - 1)])
+        if not len(strange):
+            return self._even(words)
+        odd = np.unique(np.searchsorted(np.flatnonzero(codes == 10), strange))
+        even = np.delete(np.arange(len(words)), odd)
+        held = pa.array(self.words.of([words[i] for i in odd.tolist()], self._library), pa.large_binary())
+        if len(even):
+            held = pa.concat_arrays([held, self._even([words[i] for i in even.tolist()])])
+        return held.take(pa.array(np.argsort(np.concatenate([odd, even]))))
+
+    def _together(self, texts: pa.LargeStringArray) -> list[bytes]:
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        if not len(words):
+            return [b""] * len(texts)
+        ids = self._of_words(listed(words.dictionary)).take(words.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))])
+        return listed(sliced(ids.buffers()[2], spans(ids)[ends]))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        # signs of special tokens may be part of one
+        whole = pc.fill_null(pc.match_substring(texts, SPECIALS), False).to_numpy(zero_copy_only=False)
+        # taken, not masked: if_else of pyarrow 23 mixes up the texts of a cast slice
+        parted = texts.take(pa.array(np.flatnonzero(~whole))).cast(pa.large_string())
+        sizes = pc.fill_null(pc.binary_length(parted), 0).to_numpy(zero_copy_only=False)
+        cuts = (np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1).tolist()
+        found = (x for low, high in zip([0, *cuts], [*cuts, len(parted)], strict=True) for x in self._together(parted.slice(low, high - low)))
+        return [self._library([texts[i].as_py()])[0] if odd else next(found) for i, odd in enumerate(whole.tolist())]
+
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -288,7 +361,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, batch:
             for low in range(0, got.num_rows, 512):
                 some = got.slice(low, 512)
                 rows: list[tuple] = []
-                for doc, raw in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
+                for doc, raw in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
                     raw += end
                     total = len(raw) // 4
                     whole = total - total % window
