@@ -170,3 +170,24 @@ def test_chunk_metrics_find_sentences_once(spark):
     sums = sorted((len(x), sum(len(c["text"]) for c in x), sum(len(c["text"].split()) for c in x), sum(len(c["text"].encode()) for c in x), len(x) - len({c["text"] for c in x})) for _, _, x in want)
     assert sorted(tuple(r)[2:] for r in got.collect()) == sums
     assert {(r.strategy, r.chunks) for r in got.collect()} == {(None if s == "all" else s, len(x)) for s, _, x in want}
+
+
+def test_token_estimates_as_their_sql_has_them(spark, tmp_path):
+    """Blank texts have no estimate, rows of one document are added up, and half a millionth is rounded as there."""
+    import duckdb
+
+    from veristra.plans.queries import token_estimate_distribution
+    from veristra.plans.registry import ORACLE_SQL
+
+    def both(rows):
+        root = str(tmp_path / str(len(rows)))
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{root}/documents.parquet")
+        with duckdb.connect() as con:
+            con.sql(f"CREATE VIEW documents AS SELECT * FROM '{root}/documents.parquet/*.parquet'")
+            want = con.sql(ORACLE_SQL["token_estimate_distribution"]).fetchall()[0]
+        return tuple(token_estimate_distribution(spark, root).first()), want
+
+    got, want = both([(1, "one two, three"), (2, None), (3, " \n"), (4, "seven"), (4, "eight nine"), (None, "ten"), (5, "")])
+    assert got == want and got[0] == 3
+    got, want = both([(i, "a b" if i == 0 else "a") for i in range(640)])
+    assert got == want and got[-1] == 1.001562
