@@ -172,9 +172,12 @@ def test_development_scores_go_into_calibration(spark):
     assert scoring.development_scores(queries.limit(0), chunks, encoders.hashed()).count() == 0
 
 
-def test_every_twentieth_conversation_asks(spark):
+def test_every_conversation_asks(spark):
     from veristra.plans import ablation as planned
+    from veristra.plans.registry import ORACLE_SQL
 
     turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     got = sorted(r.query_id for r in planned._openings(spark, "/root/testdata/sf0.001").collect())
-    assert got == sorted(r.conv_id for r in turns.where("turn = 0").collect() if r.conv_id % 20 == 0)
+    assert got == sorted(r.conv_id for r in turns.where("turn = 0").collect())
+    for name in ("ablation_queries", "ablation_report"):
+        assert "openings AS (SELECT conv_id AS item_id, text FROM conversations WHERE turn = 0)," in ORACLE_SQL[name]
