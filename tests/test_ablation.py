@@ -181,3 +181,56 @@ def test_every_conversation_asks(spark):
     assert got == sorted(r.conv_id for r in turns.where("turn = 0").collect())
     for name in ("ablation_queries", "ablation_report"):
         assert "openings AS (SELECT conv_id AS item_id, text FROM conversations WHERE turn = 0)," in ORACLE_SQL[name]
+
+
+def test_only_parts_that_plans_ask_are_searched(spark):
+    """A plan's hits are those of a search of all parts; what no plan may take isn't looked for, and no list is deeper than limits."""
+    chunks, queries = spark.createDataFrame(ROWS, CHUNKS), spark.createDataFrame(QUERIES, "query_id long, query string")
+    planned = ablation.plans(retrieve.route(queries.where("query_id IS NOT NULL"))).withColumn("dense_limit", F.lit(2)).withColumn("sparse_limit", F.lit(1))
+    few, whole = (ablation.search_parts(queries, chunks, encoders.hashed(), 24, planned=p) for p in (planned, None))
+    rows = lambda hits: sorted(map(str, ablation.rankings(planned, hits).collect()))
+    assert rows(few) == rows(whole) and few.count() < whole.count()
+    assert few.where("source = 'sparse' AND strategy = 'bilingual_paired'").count() == 0 < whole.where("source = 'sparse' AND strategy = 'bilingual_paired'").count()
+    assert few.groupBy("query_id", "source", "strategy", "language").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_blocks_of_texts_and_queries_hold_the_best_of_all(monkeypatch):
+    """Scores of a block are those of plain sums, whatever the number of frequent features, and the best of blocks those of all."""
+    import numpy as np
+    import pyarrow as pa
+
+    from veristra.operators import parts
+
+    monkeypatch.setattr(parts, "PRODUCTS", 50)
+    rng = np.random.default_rng(0)
+    known = np.sort(rng.choice(10_000, 60, replace=False))
+    vector = lambda n: (np.sort(rng.choice(60, n, replace=False)), rng.random(n).round(1) + 0.1)
+    texts, queries = [vector(n) for n in [0, *rng.integers(1, 20, 89)]], [vector(n) for n in [5, 0, *rng.integers(1, 15, 11)]]
+    table = pa.table({"query_id": pa.array(range(100, 113)), "fids": pa.array([[*known[f], 10_001] for f, _ in queries]), "values": pa.array([[*v, 7.0] for _, v in queries])})
+    full = lambda rows: np.array([np.bincount(f, v, 60) for f, v in rows])
+    want = full(queries) @ full(texts).T
+    for frequent in (0, 7, 60):
+        column = np.full(60, -1, np.int32)
+        column[rng.permutation(60)[:frequent]] = np.arange(frequent)
+        asked, best = parts.Asked(table, known, column), parts.Best(13, 4, 9, True)
+        for low in range(0, 90, 30):
+            block = parts.Block([f.astype(np.int32) for f, _ in texts[low : low + 30]], [v for _, v in texts[low : low + 30]], column, asked)
+            for first in (0, 8):
+                scores = block.scores(asked, first, min(first + 8, 13))
+                assert np.allclose(scores, want[first : first + 8, low : low + 30])
+                best.add(3, first, np.arange(low, low + 30), scores)
+        got = {q: list(zip(ids, scores, strict=True)) for b in best.batches(asked.names, 5) for q, ids, scores in zip(*(b.column(c).to_pylist() for c in ("query_id", "ids", "scores")), strict=True)}
+        for q in range(13):
+            order = sorted((t for t in range(90) if want[q, t] > 0), key=lambda t: (-round(want[q, t], 9), t))[:4]
+            assert [t for t, _ in got.get(100 + q, [])] == order
+            assert np.allclose([s for _, s in got.get(100 + q, [])], want[q, order])
+
+
+def test_frequencies_by_batches_equal_those_by_rows(spark):
+    from veristra.operators import parts
+
+    rows = [(i, t) for i, t in enumerate(["red apples in 1999", "red apples in 1999", "ab", "", None, "whales 7 7"])]
+    texts = spark.createDataFrame(rows, "chunk_id long, text string").repartition(3)
+    forms = parts.forms(texts)
+    want = retrieve.gram_frequency(retrieve.gram_features(forms, "chunk_id"))
+    assert sorted(map(tuple, parts.frequencies(forms).collect())) == sorted(map(tuple, want.collect()))
