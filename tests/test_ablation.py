@@ -234,3 +234,14 @@ def test_frequencies_by_batches_equal_those_by_rows(spark):
     forms = parts.forms(texts)
     want = retrieve.gram_frequency(retrieve.gram_features(forms, "chunk_id"))
     assert sorted(map(tuple, parts.frequencies(forms).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_many_small_partitions_are_searched_in_few_tasks(spark):
+    from veristra.operators import parts
+
+    cores = spark.sparkContext.defaultParallelism
+    chunks, queries = spark.createDataFrame([r for r in ROWS if r[0] is not None], CHUNKS), spark.createDataFrame(QUERIES, "query_id long, query string")
+    dealt = chunks.repartition(5 * cores)
+    assert parts.together(dealt).rdd.getNumPartitions() == cores and parts.together(chunks.coalesce(1)).rdd.getNumPartitions() == 1
+    rows = lambda df: sorted(map(str, ablation.search_parts(queries, df, encoders.hashed(), 3).collect()))
+    assert rows(dealt) == rows(chunks)
